@@ -76,7 +76,12 @@ def scan_text(text: str, patterns: Sequence[Pattern] = PATTERNS) -> str:
 def has_pii(value: str, patterns: Sequence[Pattern] = PATTERNS) -> str:
     """True iff any pattern matches; stops at the first that does."""
     with_digits, without = _split_by_guard(patterns)
-    test = lambda members: " OR ".join(f"{value} RLIKE {lit(java_regex(p))}" for _, p in members)
+
+    def one(p: Pattern) -> str:
+        match = f"{value} RLIKE {lit(java_regex(p))}"
+        return f"(contains({value}, {lit(p.literal)}) AND {match})" if p.literal else match
+
+    test = lambda members: " OR ".join(one(p) for _, p in members)
     parts = []
     if with_digits:
         parts.append(f"({value} RLIKE {_ANY_DIGIT} AND ({test(with_digits)}))")

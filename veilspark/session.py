@@ -34,6 +34,9 @@ def hide_keys(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.redaction.string.regex", KEY_REDACTION)
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir.
 
@@ -42,11 +45,20 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="veilspark-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if context.applicationId not in _own_dirs:
+        _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="veilspark-")
+    return _own_dirs[context.applicationId]
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write a result once to the shared folder, to be read several times."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
