@@ -47,7 +47,7 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = ",", encoding: st
     if quoted_newlines == "auto":
         quoted_newlines = encoding.lower() not in _ASCII_LIKE or has_quoted_newlines(spark, path)
     df = (spark.read.option("header", True).option("sep", sep or sniff_separator(spark, path))
-          .option("encoding", encoding).option("quote", '"').option("escape", '"')
+          .option("encoding", encoding).option("quote", '"').option("escape", '"').option("nullValue", _NO_TEXT)
           .option("multiLine", bool(quoted_newlines)).csv(path))
     return drop_blank_rows(df) if skip_blank_rows else df
 
