@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veilspark.session import spread
 
@@ -51,9 +52,10 @@ CONTACT_COLUMNS = ("contact_id", "full_name", "email", "phone", "ssn", "credit_c
                    "salary", "dept", "remark", "notes")
 
 
-def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table with personal data in every shape, one row per customer."""
-    return spark.sql(CONTACTS_SQL, customer=spread(table(spark, sf_dir, "customer", "c_custkey")))
+def contacts(spark: SparkSession, sf_dir: str, base: str = "customer", key: str = "c_custkey") -> DataFrame:
+    """A table with personal data in every shape, one row per row of the base table."""
+    keys = table(spark, sf_dir, base).select(F.col(key).alias("c_custkey"))
+    return spark.sql(CONTACTS_SQL, customer=spread(keys))
 
 
 CONTACTS = "(" + CONTACTS_SQL.replace("{customer}", "customer") + ")"

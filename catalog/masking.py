@@ -43,7 +43,7 @@ def cell_type(spark, sf_dir):
     return _cells(spark, sf_dir).select("contact_id", "column", F.expr(cell_type_sql("v")).alias("pii_type"))
 
 
-@query(lambda: f"""select "column", count(*) as cells, count_if({o.first_type('v')} is not null) as with_pii
+@query(lambda: f"""select "column", count(*) as cells, count(*) filter (where {o.first_type('v')} is not null) as with_pii
 from {CELLS_SQL} u group by all""")
 def cells_with_pii(spark, sf_dir):
     """Cells with any finding, per column."""
@@ -77,7 +77,7 @@ def _classify_sql(source: str, keys: list[str], columns: list[str], rows: int |
     return f"""with head as materialized {head},
 cells as ({cells}),
 typed as (select *, regexp_matches(coalesce(v, ''), '\\S') as filled, {o.first_type('v')} as t from cells),
-counted as (select "column", by_name, count_if(filled and not by_name and t is not null) as hits, count_if(filled) as filled,
+counted as (select "column", by_name, count(*) filter (where filled and not by_name and t is not null) as hits, count(*) filter (where filled) as filled,
   coalesce(arg_min(coalesce(t, 'mixed'), _row) filter (where filled and _row <= 10), 'mixed') as kind
   from typed group by all),
 judged as (select *, case when by_name or filled = 0 then 0.0::double else hits / filled end as rate from counted)
@@ -232,7 +232,7 @@ def scrub_spans(spark, sf_dir):
     return scrub(df, {"remark": "scrub"}, span_style="placeholder").withColumnRenamed("remark", "redacted")
 
 
-FILLED = {c: f"count_if(regexp_matches(coalesce({c}, ''), '\\S'))" for c in SENSITIVE}
+FILLED = {c: f"count(*) filter (where regexp_matches(coalesce({c}, ''), '\\S'))" for c in SENSITIVE}
 
 
 @query(lambda: " union all ".join(

@@ -78,7 +78,7 @@ def scan_stats_rollup(spark, sf_dir):
 @query(lambda: o.scan(TEXTS, "source || ':' || id", "text", """
 , per as (select src.k, any_value(length(src.text)) as chars, count(kept.k) as n
     from src left join kept on kept.k = src.k group by src.k)
-select split_part(k, ':', 1) as source, count(*) as documents, count_if(n > 0) as with_findings,
+select split_part(k, ':', 1) as source, count(*) as documents, count(*) filter (where n > 0) as with_findings,
  cast(sum(n) as bigint) as findings, cast(sum(chars) as bigint) as scanned_chars from per group by 1""".lstrip("\n")))
 def scan_totals(spark, sf_dir):
     """Per text table: documents, documents with findings, findings, characters."""
@@ -104,7 +104,7 @@ def doc_report(spark, sf_dir):
 
 
 @query(lambda: o.scan("documents", "doc_id", "text", """
-select src.k as doc_id, any_value(length(src.text)) as scanned_chars, cast(count(kept.k) as integer) as total,
+select src.k as doc_id, any_value(length(src.text))::integer as scanned_chars, cast(count(kept.k) as integer) as total,
  coalesce(max(case when kept.k is not null then 'regex' end), '') as methods
 from src left join kept on kept.k = src.k group by src.k"""))
 def document_stats(spark, sf_dir):
@@ -116,7 +116,7 @@ def document_stats(spark, sf_dir):
 
 @query(lambda: o.scan("documents", "doc_id", "text", """
 , per as (select src.k, count(kept.k) as n from src left join kept on kept.k = src.k group by src.k)
-select quality, toxic, count(*) as documents, count_if(n > 0) as with_findings, cast(sum(n) as bigint) as findings
+select quality, toxic, count(*) as documents, count(*) filter (where n > 0) as with_findings, cast(sum(n) as bigint) as findings
 from labels join per on per.k = labels.doc_id group by all""".lstrip("\n")))
 def labelled_report(spark, sf_dir):
     """Findings by the labels some documents carry; labelled documents without findings count."""
@@ -317,7 +317,7 @@ def _replies(spark, sf_dir):
 
 
 @query("""select c_custkey as k, 'PERSON_NAME' as category, 'person_name' as type, c_name as match, 0 as start,
- length(c_name) as "end", 0.95::double as confidence from customer where c_custkey % 5 = 0
+ length(c_name)::integer as "end", 0.95::double as confidence from customer where c_custkey % 5 = 0
 union all select c_custkey, 'ADDRESS', 'address', 'x' || c_custkey, 3, 9, 0.7 from customer where c_custkey % 5 = 1
 union all select c_custkey, 'UNKNOWN', 'unknown', 'y' || c_custkey, 2, 5, 0.8 from customer where c_custkey % 5 = 2""")
 def model_findings_parse(spark, sf_dir):
@@ -327,7 +327,7 @@ def model_findings_parse(spark, sf_dir):
 
 
 @query(lambda: f"""with recursive {o.found("(select c_custkey, c_name from customer)", "c_custkey", "c_name")},
-model as (select c_custkey as k, 'person_name' as type, 0 as start, length(c_name) as "end" from customer where c_custkey % 5 = 0
+model as (select c_custkey as k, 'person_name' as type, 0 as start, length(c_name)::integer as "end" from customer where c_custkey % 5 = 0
  union all select c_custkey, 'address', 3, 9 from customer where c_custkey % 5 = 1
  union all select c_custkey, 'unknown', 2, 5 from customer where c_custkey % 5 = 2),
 both_ as (select k, type, start, "end", 'llm' as method, 0 as m, 0 as rank from model
@@ -367,7 +367,7 @@ def _audits(spark, sf_dir):
 @query(lambda: o.scan("documents", "doc_id", "text", """
 , per as (select k, count(*) as n from kept group by k)
 select epoch_ms((1704067200 + per.k) * 1000) as timestamp, '/in/doc_' || per.k || '.txt' as file, 'block' as redaction_style,
- cast(n as integer) as total_findings, length(src.text) as scanned_chars from per join src on src.k = per.k""".lstrip("\n")))
+ cast(n as integer) as total_findings, length(src.text)::integer as scanned_chars from per join src on src.k = per.k""".lstrip("\n")))
 def audit_scan(spark, sf_dir):
     """Audit records of a scan."""
     return _audits(spark, sf_dir).select("timestamp", "file", "redaction_style", "total_findings", "scanned_chars")

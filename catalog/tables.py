@@ -141,8 +141,8 @@ INFERRED = {"cell": "string", "whole": "bigint", "fraction": "double", "flag": "
 
 
 @query(" union all ".join(
-    f"""select '{c}' as "column", count_if(k = 'null') as n_null, count_if(k = 'bool') as n_bool, count_if(k = 'int') as n_int,
- count_if(k = 'float') as n_float, count_if(k = 'str') as n_str, '{t}' as type
+    f"""select '{c}' as "column", count(*) filter (where k = 'null') as n_null, count(*) filter (where k = 'bool') as n_bool, count(*) filter (where k = 'int') as n_int,
+ count(*) filter (where k = 'float') as n_float, count(*) filter (where k = 'str') as n_str, '{t}' as type
  from (select {_kind_sql(f'trim({c})')} as k from {RAW_SQL} r) a""" for c, t in INFERRED.items()))
 def infer_types(spark, sf_dir):
     """The narrowest type every cell of a column agrees with."""

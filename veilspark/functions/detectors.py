@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from ..patterns import PATTERNS, Pattern, java_regex
 from .spans import FINDING, FINDINGS, NO_FINDINGS, finding, resolve_overlaps, sort_findings
-from .sql import case, filter_, let, lit, running, struct, transform, transform_indexed
+from .sql import filter_, let, lit, running, struct, transform, transform_indexed
 
 # Fixed value: findings a model is less sure of are ignored.
 CONFIDENCE_THRESHOLD = 0.7
@@ -14,11 +14,6 @@ CONFIDENCE_THRESHOLD = 0.7
 _ANY_DIGIT = lit(r"\p{Nd}")
 
 
-def _split_by_guard(patterns: Sequence[Pattern]):
-    numbered = list(enumerate(patterns))
-    return [x for x in numbered if x[1].digits], [x for x in numbered if not x[1].digits]
-
-
 def find_pii(text: str, patterns: Sequence[Pattern] = PATTERNS) -> str:
     """Every non-overlapping match of every pattern, as an array of findings.
 
@@ -41,7 +36,8 @@ def find_pii(text: str, patterns: Sequence[Pattern] = PATTERNS) -> str:
     def group(members) -> str:
         return f"CAST(array({', '.join(entry(i, p) for i, p in members)}) AS {entries})"
 
-    with_digits, without = _split_by_guard(patterns)
+    numbered = list(enumerate(patterns))
+    with_digits, without = [x for x in numbered if x[1].digits], [x for x in numbered if not x[1].digits]
     groups = []
     if with_digits:
         groups.append(f"IF({text} RLIKE {_ANY_DIGIT}, {group(with_digits)}, CAST(array() AS {entries}))")
@@ -73,21 +69,33 @@ def scan_text(text: str, patterns: Sequence[Pattern] = PATTERNS) -> str:
     return resolve_overlaps(find_pii(text, patterns))
 
 
-def has_pii(value: str, patterns: Sequence[Pattern] = PATTERNS) -> str:
-    """True iff any pattern matches; stops at the first that does."""
-    with_digits, without = _split_by_guard(patterns)
+def _with_features(value: str, body) -> str:
+    """Bind a cell with what tells cheaply which patterns cannot match it.
+
+    In ASCII cells digits are counted without a regular expression.
+    """
+    digits = (f"IF(octet_length({value}) = length({value}), "
+              f"length({value}) - length(translate({value}, '0123456789', '')), "
+              f"length(regexp_replace({value}, {lit(chr(92) + 'P{Nd}+')}, '')))")
+    return let(struct(v=value, digits=digits), lambda c: let(struct(
+        v=f"{c}.v", digits=f"{c}.digits",
+        run=f"{c}.digits >= 5 AND {c}.v RLIKE {lit(chr(92) + 'p{Nd}{5}')}",
+        letters=f"lower({c}.v) <> upper({c}.v)", capitals=f"lower({c}.v) <> {c}.v"), body))
 
-    def one(p: Pattern) -> str:
-        match = f"{value} RLIKE {lit(java_regex(p))}"
-        return f"(contains({value}, {lit(p.literal)}) AND {match})" if p.literal else match
 
-    test = lambda members: " OR ".join(one(p) for _, p in members)
-    parts = []
-    if with_digits:
-        parts.append(f"({value} RLIKE {_ANY_DIGIT} AND ({test(with_digits)}))")
-    if without:
-        parts.append(test(without))
-    return f"coalesce({' OR '.join(parts)}, false)"
+def _matches(cell: str, p: Pattern) -> str:
+    """Whether a pattern matches a bound cell; cheap necessary conditions come first."""
+    tests = [f"{cell}.digits >= {p.digits}"] if p.digits else []
+    tests += [f"length({cell}.v) >= {p.size}"] if p.size else []
+    tests += [f"{cell}.{flag}" for flag in ("run", "capitals", "letters") if getattr(p, flag)]
+    tests += [f"contains({cell}.v, {lit(p.literal)})"] if p.literal else []
+    return "(" + " AND ".join([*tests, f"{cell}.v RLIKE {lit(java_regex(p))}"]) + ")"
+
+
+def has_pii(value: str, patterns: Sequence[Pattern] = PATTERNS) -> str:
+    """True iff any pattern matches; stops at the first that does."""
+    found = _with_features(value, lambda c: " OR ".join(_matches(c, p) for p in patterns))
+    return f"coalesce({found}, false)"
 
 
 def cell_type(value: str, patterns: Sequence[Pattern] = PATTERNS) -> str:
@@ -95,23 +103,25 @@ def cell_type(value: str, patterns: Sequence[Pattern] = PATTERNS) -> str:
 
     That is the type of the first finding: smallest start, then longest match,
     then registry order. The first finding always survives overlap resolution,
-    so first matches suffice and no arrays of matches are built.
+    so first matches suffice. Only cells that several patterns claim are looked
+    at for positions.
     """
-    def first(rank: int, p: Pattern) -> str:
-        rx = lit(java_regex(p))
-        return f"IF({value} RLIKE {rx}, " + struct(
-            start=f"regexp_instr({value}, {rx})", size=f"-length(regexp_substr({value}, {rx}))",
-            rank=str(rank), type=lit(p.type)) + ", NULL)"
-
-    with_digits, without = _split_by_guard(patterns)
-    array = lambda members: f"array({', '.join(first(i, p) for i, p in members)})"
-    if not with_digits:
-        return f"array_min({array(without)}).type"
-    if not without:
-        return f"IF({value} RLIKE {_ANY_DIGIT}, array_min({array(with_digits)}).type, NULL)"
-    return case([(f"{value} RLIKE {_ANY_DIGIT}",
-                  f"array_min({array(list(enumerate(patterns)))}).type")],
-                f"array_min({array(without)}).type")
+    types = f"array({', '.join(lit(p.type) for p in patterns)})"
+
+    def place(cell: str, hits: str) -> str:
+        def first(rank: int, p: Pattern) -> str:
+            rx = lit(java_regex(p))
+            return f"IF(array_contains({hits}, {rank}), " + struct(
+                start=f"regexp_instr({cell}.v, {rx})", size=f"-length(regexp_substr({cell}.v, {rx}))",
+                rank=str(rank)) + ", NULL)"
+        return f"array_min(array({', '.join(first(i, p) for i, p in enumerate(patterns))})).rank"
+
+    def choose(cell: str) -> str:
+        hits = ", ".join(f"IF({_matches(cell, p)}, {i}, NULL)" for i, p in enumerate(patterns))
+        return let(f"array_compact(array({hits}))", lambda h: (
+            f"get({types}, CASE size({h}) WHEN 0 THEN NULL WHEN 1 THEN {h}[0] ELSE {place(cell, h)} END)"))
+
+    return _with_features(value, choose)
 
 
 def dominant_type(findings: str) -> str:

@@ -19,8 +19,8 @@ PRIVATE_IP_PREFIXES = ("192.168.", "10.", "172.16.")
 
 
 def is_filled(v: str) -> str:
-    """Something other than white space."""
-    return f"{v} RLIKE {lit('[^' + SPACE_CLASS[1:])}"
+    """Something other than white space; most cells show it by their first character."""
+    return f"(ascii({v}) BETWEEN 33 AND 126 OR {v} RLIKE {lit('[^' + SPACE_CLASS[1:])})"
 
 
 def strip(v: str) -> str:
@@ -84,8 +84,10 @@ def mask_partial(v: str, kind: str) -> str:
 
 
 def _ip_from(v: str, h: str) -> str:
-    byte = lambda at: f"conv(substr({h}, {at}, 2), 16, 10)"
-    return f"IF({is_private_ip(v)}, {v}, concat('10.', {byte(1)}, '.', {byte(3)}, '.', {byte(5)}))"
+    def public(d: str) -> str:
+        byte = lambda at: f"conv(substr({d}, {at}, 2), 16, 10)"
+        return f"concat('10.', {byte(1)}, '.', {byte(3)}, '.', {byte(5)})"
+    return f"IF({is_private_ip(v)}, {v}, {let(h, public)})"
 
 
 def mask_full(v: str, kind: str, digits: int = 4) -> str:
@@ -94,37 +96,35 @@ def mask_full(v: str, kind: str, digits: int = 4) -> str:
     Phones, social security and card numbers carry ``digits`` hex digits. Four
     is the customary format; for joins over many values ask for more.
     """
-    def masked(h: str) -> str:
-        h12, short = f"left({h}, 12)", f"left({h}, {digits})"
-        # Pseudonym formats.
-        return by_type(kind, [
-            (("email",), f"concat('anon_', {h12}, '@scrubbed.local')"),
-            (PHONES, f"concat('+1-555-', {short})"),
-            (("ssn",), f"concat('XXX-XX-', {short})"),
-            (("credit_card",), f"concat('XXXX-XXXX-XXXX-', {short})"),
-            (NAMES, f"concat('Person_', {h12})"),
-            (("ipv4",), _ip_from(v, h)),
-        ], f"concat('[SCRUBBED:', {h12}, ']')")
-    digest = f"sha2(concat({lit(HASH_SALT + ':')}, {kind}, ':', {v}), 256)"
-    return f"IF({v} = '', {v}, {let(digest, masked)})"
+    h = f"sha2(concat({lit(HASH_SALT + ':')}, {kind}, ':', {v}), 256)"
+    h12, short = f"left({h}, 12)", f"left({h}, {digits})"
+    # Pseudonym formats.
+    masked = by_type(kind, [
+        (("email",), f"concat('anon_', {h12}, '@scrubbed.local')"),
+        (PHONES, f"concat('+1-555-', {short})"),
+        (("ssn",), f"concat('XXX-XX-', {short})"),
+        (("credit_card",), f"concat('XXXX-XXXX-XXXX-', {short})"),
+        (NAMES, f"concat('Person_', {h12})"),
+        (("ipv4",), _ip_from(v, h)),
+    ], f"concat('[SCRUBBED:', {h12}, ']')")
+    return f"IF({v} = '', {v}, {masked})"
 
 
 def fake_value(v: str, kind: str) -> str:
     """Format-preserving stand-in whose hash ignores the type."""
-    def masked(h: str) -> str:
-        h4, h8, h12 = (f"left({h}, {n})" for n in (4, 8, 12))
-        # Stand-in formats.
-        return by_type(kind, [
-            (("email",), f"concat('anon_', {h12}, '@scrubbed.local')"),
-            (PHONES, f"concat('+1-555-', {h4})"),
-            (("ssn",), f"concat('XXX-XX-', {h4})"),
-            (("credit_card",), f"concat('XXXX-XXXX-XXXX-', {h4})"),
-            (("cn_id", "ni_uk"), f"concat('ID-', {h8})"),
-            (("ipv4",), _ip_from(v, h)),
-            (("iban", "swift"), f"concat('XX', {h8})"),
-            (("api_key",), f"concat('sk-redacted-', {h8})"),
-        ], f"concat('[SCRUBBED:', {h8}, ']')")
-    return let(f"sha2(concat({lit(HASH_SALT + ':')}, {v}), 256)", masked)
+    h = f"sha2(concat({lit(HASH_SALT + ':')}, {v}), 256)"
+    h4, h8, h12 = (f"left({h}, {n})" for n in (4, 8, 12))
+    # Stand-in formats.
+    return by_type(kind, [
+        (("email",), f"concat('anon_', {h12}, '@scrubbed.local')"),
+        (PHONES, f"concat('+1-555-', {h4})"),
+        (("ssn",), f"concat('XXX-XX-', {h4})"),
+        (("credit_card",), f"concat('XXXX-XXXX-XXXX-', {h4})"),
+        (("cn_id", "ni_uk"), f"concat('ID-', {h8})"),
+        (("ipv4",), _ip_from(v, h)),
+        (("iban", "swift"), f"concat('XX', {h8})"),
+        (("api_key",), f"concat('sk-redacted-', {h8})"),
+    ], f"concat('[SCRUBBED:', {h8}, ']')")
 
 
 def tokenize(v: str, kind: str, token_key: str, digits: int = 24) -> str:
@@ -137,17 +137,15 @@ def tokenize(v: str, kind: str, token_key: str, digits: int = 24) -> str:
     if digits < 12:
         raise ValueError("tokens need at least 12 hex digits to stay distinct")
 
-    def masked(h: str) -> str:
-        # Token formats.
-        return by_type(kind, [
-            (("email",), f"concat('tok_', {h}, '@masked.local')"),
-            (("phone_us", "phone_uk", "phone_intl"), f"concat('+1-555-', {h})"),
-            (("ssn",), f"concat('XXX-XX-', {h})"),
-            (("credit_card",), f"concat('TOK-CC-', {h})"),
-            (NAMES, f"concat('Person_', {h})"),
-        ], f"concat('TOK_', {h})")
-    digest = f"left(sha2(concat({lit(token_key + ':')}, {kind}, ':', {v}), 256), {digits})"
-    return let(digest, masked)
+    h = f"left(sha2(concat({lit(token_key + ':')}, {kind}, ':', {v}), 256), {digits})"
+    # Token formats.
+    return by_type(kind, [
+        (("email",), f"concat('tok_', {h}, '@masked.local')"),
+        (("phone_us", "phone_uk", "phone_intl"), f"concat('+1-555-', {h})"),
+        (("ssn",), f"concat('XXX-XX-', {h})"),
+        (("credit_card",), f"concat('TOK-CC-', {h})"),
+        (NAMES, f"concat('Person_', {h})"),
+    ], f"concat('TOK_', {h})")
 
 
 def apply_mask(v: str, kind: str, level: str, token_key: str | None = None,

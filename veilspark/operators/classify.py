@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.detectors import cell_type, has_pii
-from ..functions.masks import is_filled, strip
-from ..functions.sql import lit, name
+from ..functions.masks import is_filled
+from ..functions.sql import name
 from ..patterns import PATTERNS, Pattern
 from ..policy import is_sensitive_name
 
@@ -66,12 +66,14 @@ def classify(df: DataFrame, order_by: str | Sequence[str] | None = None, sample_
         F.lit(f.name).alias("column"), F.lit(i).alias("position"),
         F.lit(is_sensitive_name(f.name)).alias("by_name"),
         F.col(name(f.name)).cast("string").alias("raw")) for i, f in enumerate(columns)])))
-    cells = cells.withColumn("v", F.expr(strip("raw")))
-    hit = F.expr(f"NOT by_name AND {is_filled('v')} AND {has_pii('v', patterns)}")
-    filled = F.expr(f"coalesce({is_filled('v')}, false)")
+    filled = F.expr(f"coalesce({is_filled('raw')}, false)")
+    # over a whole table there is no first row, and counts alone aggregate by hash
+    example = F.min_by("raw", F.when(filled & (F.col("_row") <= TYPE_ROWS), F.col("_row")))
     counted = cells.groupBy("column", "position", "by_name").agg(
-        F.count_if(hit).alias("hits"), F.count_if(filled).alias("filled"),
-        F.min_by("raw", F.when(filled & (F.col("_row") <= TYPE_ROWS), F.col("_row"))).alias("example"))
+        F.count_if(F.expr(f"NOT by_name AND {has_pii('raw', patterns)}")).alias("hits"), F.count_if(filled).alias("filled"),
+        *([] if sample_rows is None else [example.alias("example")]))
+    if sample_rows is None:
+        counted = counted.withColumn("example", F.lit(None).cast("string"))
     rate = F.when(F.col("by_name") | (F.col("filled") == 0), 0.0).otherwise(F.col("hits") / F.col("filled"))
     judged = counted.withColumn("rate", rate).withColumn(
         "sensitive", F.col("by_name") | ((F.col("filled") > 0) & (F.col("rate") >= threshold)))

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions.detectors import cell_type
 from ..functions.masks import mask_full
-from ..functions.sql import name
+from ..functions.sql import let, name
 from ..session import BROADCAST_ROWS
 from .lookup import lookup
 
 
 def pseudonym(column: str, digits: int = 4) -> str:
     """Irreversible pseudonym of a column; its type is a function of the value."""
-    v = f"CAST({name(column)} AS STRING)"
-    return mask_full(v, f"coalesce({cell_type(v)}, 'generic')", digits)
+    def masked(v: str) -> str:
+        return let(f"coalesce({cell_type(v)}, 'generic')", lambda kind: mask_full(v, kind, digits))
+    return let(f"CAST({name(column)} AS STRING)", masked)
 
 
 def join_preservation(left: DataFrame, right: DataFrame, left_key: str, right_key: str,

@@ -32,34 +32,37 @@ def scrub(df: DataFrame, levels: dict[str, str], token_key: str | None = None, d
     redacted, in that style. Narrow: one projection, no shuffle.
 
     All columns of one level share one expression over an array of their cells,
-    so the plan does not grow with the width of the table.
+    so the plan does not grow with the width of the table. (Expressions of their
+    own for each column would outgrow what the JVM compiles in one method.)
     """
     if TOKENIZE in levels.values() and not token_key:
         raise ValueError("tokenising needs a key: pass a password")
     deleted = [c for c, level in levels.items() if level == DELETE]
-    groups: dict[str, list[str]] = defaultdict(list)
-    for c in df.columns:
-        if c in levels and levels[c] not in (DELETE, PRESERVE):
-            groups[levels[c]].append(c)
+    kept = [c for c in df.columns if c not in deleted]
+    work = [c for c in kept if levels.get(c, PRESERVE) not in (PRESERVE, DELETE)]
+    fallback = {c: lit(NAME_TYPES.get(c.lower(), "generic") if type_from_column else "generic") for c in work}
+
+    def masked(v: str, kind: str, level: str) -> str:
+        return apply_mask(v, kind, level, token_key, digits, token_digits) or v
 
-    out = df.drop(*deleted)
-    masked: dict[str, str] = {}
+    if not work:
+        return df.select(*map(name, kept))
+    groups: dict[str, list[str]] = defaultdict(list)
+    for c in work:
+        groups[levels[c]].append(c)
+    out, found = df, {}
     for n, (level, columns) in enumerate(sorted(groups.items())):
         def mask(cell: str, level: str = level) -> str:
             v = f"{cell}.v"
             if span_style:
                 body = redact(v, scan_text(v), span_style)
             else:
-                body = let(f"coalesce({cell_type(v)}, {cell}.fallback)",
-                           lambda kind: apply_mask(v, kind, level, token_key, digits, token_digits) or v)
+                body = let(f"coalesce({cell_type(v)}, {cell}.fallback)", lambda kind: masked(v, kind, level))
             return f"IF({is_filled(v)}, {body}, {v})"
-        cells = ", ".join(struct(
-            v=f"CAST({name(c)} AS STRING)",
-            fallback=lit(NAME_TYPES.get(c.lower(), "generic") if type_from_column else "generic"))
-            for c in columns)
+        cells = ", ".join(struct(v=f"CAST({name(c)} AS STRING)", fallback=fallback[c]) for c in columns)
         out = out.withColumn(f"_masked_{n}", F.expr(transform(f"array({cells})", mask)))
-        masked.update({c: f"get(_masked_{n}, {i})" for i, c in enumerate(columns)})
-    return out.select(*[F.expr(masked.get(c, name(c))).alias(c) for c in df.columns if c not in deleted])
+        found.update({c: f"get(_masked_{n}, {i})" for i, c in enumerate(columns)})
+    return out.select(*[F.expr(found.get(c, name(c))).alias(c) for c in kept])
 
 
 def _filled_counts(columns: Iterable[str]):
