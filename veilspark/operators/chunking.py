@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -46,24 +47,9 @@ def chunked_findings(text: str, size: int = READ_CHUNK, overlap: int = READ_OVER
                                           tuple(p.type for p in PATTERNS)))
 
 
-def _cut(text: str, size: int, overlap: int) -> list[dict]:
-    """Prefer a paragraph break, else a sentence end, if it lies past mid-chunk."""
-    out, start, n = [], 0, len(text)
-    while start < n:
-        end = min(start + size, n)
-        if end < n:
-            middle = start + size // 2
-            paragraph = text.rfind("\n\n", start, end)
-            sentence = max(text.rfind(mark, start, end) for mark in (". ", ".\n", "? ", "! "))
-            if paragraph > middle:
-                end = paragraph + 2
-            elif sentence > middle:
-                end = sentence + 1
-        out.append({"start": start, "text": text[start:end]})
-        if end == n:
-            break
-        start = end - overlap
-    return out
+# Where a chunk may end, best first, and how many characters of
+# the mark go to the next chunk. A break counts only past the middle.
+BREAKS = ((r"(?s).*\n\n", 0), (r"(?s).*(?:[.][ \n]|[?!] )", 1))
 
 
 def boundary_chunks(df: DataFrame, text: str, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -71,10 +57,29 @@ def boundary_chunks(df: DataFrame, text: str, size: int = CHUNK, overlap: int =
     if not 0 <= overlap < size // 2:
         raise ValueError("overlap must be smaller than half the chunk")
 
+    breaks = [(re.compile(regex), back) for regex, back in BREAKS]
+
+    def length(window: str) -> int:
+        for regex, back in breaks:
+            last = regex.match(window)
+            if last and last.end() - 2 > size // 2:
+                return last.end() - back
+        return size
+
+    def chunks(text: str) -> Iterator[dict]:
+        start = 0
+        while len(text) - start > size:
+            window = text[start:start + size]
+            window = window[:length(window)]
+            yield {"start": start, "text": window}
+            start += len(window) - overlap
+        if start < len(text):
+            yield {"start": start, "text": text[start:]}
+
     @F.pandas_udf("array<struct<start:int,text:string>>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda t: _cut(t or "", size, overlap))
+            yield batch.map(lambda text: list(chunks(text or "")))
 
     return (df.withColumn("_chunk", F.explode(cut(F.col(text))))
             .withColumns({"chunk_start": F.col("_chunk.start"), "chunk": F.col("_chunk.text")})

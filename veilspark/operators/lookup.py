@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROWS, checkpoint
+from ..session import BROADCAST_BYTES, BROADCAST_ROWS, checkpoint
 
 #: at most this many keys get salted; every other key holds less than its share
 HOT_KEYS = 1000
@@ -17,9 +17,13 @@ HOT_ROWS = 1_000_000
 SALTS = 64
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Counts at most one row more than allowed."""
-    return df.limit(rows + 1).count() <= rows
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a table is small in rows and in bytes of text; looks at one row more than allowed."""
+    texts = [F.octet_length(F.col(f"`{f.name}`")) for f in df.schema.fields
+             if f.dataType.simpleString() in ("string", "binary")]
+    width = sum((F.coalesce(t, F.lit(0)).cast("bigint") for t in texts), F.lit(0).cast("bigint"))
+    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return n <= rows and total <= size
 
 
 def lookup(left: DataFrame, table: DataFrame, key: str, spread_by: Sequence[str] | None = None,

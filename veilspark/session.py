@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: a side of a join is broadcast only up to this many rows
+#: a side of a join is broadcast only up to this many rows and bytes of text
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 # Fixed value: hides 32-byte keys, as binary or as hex text, in plans and in the UI.
 KEY_REDACTION = r"(?i)(0x|X')?[0-9a-f]{64}'?"
