@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from ..patterns import PATTERNS, Pattern, java_regex
-from .spans import FINDING, FINDINGS, NO_FINDINGS, finding, resolve_overlaps, sort_findings
+from .spans import FINDING, NO_FINDINGS, finding, resolve_overlaps, sort_findings
 from .sql import filter_, let, lit, running, struct, transform, transform_indexed
 
 # Fixed value: findings a model is less sure of are ignored.

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.detectors import find_pii, parse_model_findings, scan_text, union_detectors
-from ..functions.spans import finding, mark_kept
+from ..functions.spans import mark_kept
 from ..functions.sql import name, transform
 from ..patterns import PATTERNS, Pattern
 
