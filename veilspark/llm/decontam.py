@@ -4,8 +4,8 @@ A window is a run of benchmark words. All documents are read once to count the w
 that windows have; a window with a word that no document has is out. Of the others the two rarest
 words are looked up: a second reading stores their postings (document, place), which is the index. Both
 lists, with places moved back by the word's offset in the window, are intersected; what is
-in both is compared word by word with the text. Lists that meet within a few words, but not
-at one place, are proximity matches.
+in both is compared word by word with the text. Lists that meet within a few words,
+without the whole window being there, are proximity matches.
 """
 
 from __future__ import annotations
@@ -37,16 +37,17 @@ def folded_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), BETWEEN_CASED, " ")), " "), "")
 
 
-def windows(benchmark: DataFrame, key: str = "item_id", text: str = "text", length: int = WINDOW) -> DataFrame:
-    """(win, item, words): all windows of all items; an item of fewer words is one window, one without words has none.
+def windows(benchmark: DataFrame, key: str = "item_id", text: str = "text", length: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(win, words) and (win, item): all windows of all items; an item of fewer words is one window, one without words has none.
 
     A NULL key is the empty string; an item's texts, if it has several, count together.
     """
     words = benchmark.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("item"), words_of(F.col(text)).alias("all"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("all") - length + 1, F.lit(1)))
     cut = words.where(F.size("all") > 0).select("item", "all", F.explode(starts).alias("at"))
-    run = F.slice("all", F.col("at"), length)
-    return cut.select("item", run.alias("words")).distinct().withColumn("win", F.sha2(F.array_join("words", " "), 256))
+    pairs = checkpoint(cut.select("item", F.slice("all", F.col("at"), length).alias("words")).distinct())
+    wins = checkpoint(pairs.select("words").distinct().withColumn("win", F.monotonically_increasing_id()))
+    return wins, pairs.join(wins, "words").select("win", "item")
 
 
 def rarest(wins: DataFrame, counts: DataFrame) -> DataFrame:
@@ -71,10 +72,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, slop: i
     """Exact matches (_k1, _k2, win, start, n), proximity matches (_k1, _k2, win, start, apart), and windows (win, item).
 
     docs have the row key of ``with_row_key``. A proximity match is where the two rarest words of a window
-    are ``apart`` places, 1 to ``slop``, from their distance in it.
+    are ``apart`` places, 0 to ``slop``, from their distance in it, and the window as a whole isn't there.
     """
-    pairs = checkpoint(windows(benchmark, length=length))
-    wins = pairs.select("win", "words").distinct()
+    wins, items = windows(benchmark, length=length)
     terms = checkpoint(wins.select(F.explode("words").alias("word")).select(F.lower("word").alias("term")).distinct())
     seen = docs.select(F.explode(folded_words(F.col(text))).alias("term"))
     counts = checkpoint(seen.join(small(terms), "term").groupBy("term").count())
@@ -82,24 +82,26 @@ def matches(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, slop: i
     postings = checkpoint(index(docs, checkpoint(anchors.select("term").distinct()), text))
     placed = (postings.join(small(anchors), "term")
               .select("_k1", "_k2", "win", (F.col("pos") - F.col("off")).alias("start"), "which"))
-    first, second = (placed.where(F.col("which") == w).drop("which") for w in (0, 1))
-    found = checkpoint(first.where("start >= 0").intersect(second))
-    shifts = F.array(*(F.lit(d) for d in range(-slop, slop + 1) if d))
-    near = (second.withColumn("apart", F.explode(shifts)).withColumn("start", F.col("start") + F.col("apart"))
-            .distinct().join(first.distinct(), ["_k1", "_k2", "win", "start"])
-            .groupBy("_k1", "_k2", "win", "start").agg(F.min(F.abs("apart")).alias("apart")))
-    near = near.join(found, ["_k1", "_k2", "win", "start"], "left_anti")
+    # lists meet where their starts are at most slop apart; the rarer one goes to the one or two bins that may hold such a start
+    width = 2 * slop + 2
+    bin_of = lambda shift: F.floor((F.col("start") + shift) / width)
+    first = placed.where("which = 0").select("_k1", "_k2", "win", "start", F.explode(F.array_distinct(F.array(bin_of(-slop), bin_of(slop)))).alias("bin"))
+    second = placed.where("which = 1").select("_k1", "_k2", "win", F.col("start").alias("other"), bin_of(0).alias("bin"))
+    met = checkpoint(first.join(second, ["_k1", "_k2", "win", "bin"]).withColumn("apart", F.abs(F.col("start") - F.col("other")))
+                     .where(F.col("apart") <= slop).groupBy("_k1", "_k2", "win", "start").agg(F.min("apart").alias("apart")))
+    found = met.where("apart = 0").drop("apart")
     # word by word, in the documents that have a candidate
     where = checkpoint(found.select("_k1", "_k2").distinct())
     texts = (docs.join(small(where), ["_k1", "_k2"], "left_semi")
              .select("_k1", "_k2", words_of(F.col(text)).alias("all")).dropDuplicates(["_k1", "_k2"]))
-    spelt = found.join(small(checkpoint(wins)), "win").groupBy("_k1", "_k2").agg(
+    spelt = found.join(small(wins), "win").groupBy("_k1", "_k2").agg(
         F.collect_list(F.struct("win", "start", "words")).alias("found"))
     exact = (texts.join(spelt, ["_k1", "_k2"])
              .select("_k1", "_k2", F.explode(F.filter("found", lambda c: F.slice(
                  F.col("all"), c["start"] + 1, F.size(c["words"])) == c["words"])).alias("c"))
              .select("_k1", "_k2", "c.win", "c.start", F.size("c.words").alias("n")))
-    return checkpoint(exact), near, pairs.select("win", "item")
+    exact = checkpoint(exact)
+    return exact, met.join(exact, ["_k1", "_k2", "win", "start"], "left_anti"), items
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, slop: int = SLOP, share: int = SHARE) -> DataFrame:
