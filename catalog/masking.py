@@ -11,7 +11,7 @@ from veilspark.functions.detectors import has_pii
 from veilspark.functions.masks import fake_value as fake_value_sql
 from veilspark.functions.masks import is_private_ip, mask_full, mask_partial
 from veilspark.operators import joins, vault
-from veilspark.operators.classify import classify
+from veilspark.operators.classify import SAMPLE_ROWS, classify, sensitive_columns
 from veilspark.operators.scrub import plan_levels, scrub, scrub_counts as count_cells
 from veilspark.operators.scrub import scrub_summary as summarize
 from veilspark.policy import is_sensitive_name
@@ -71,16 +71,20 @@ def _classify_sql(source: str, keys: list[str], columns: list[str], rows: int |
     order = ", ".join(keys)
     head = (f"(select *, row_number() over (order by {order}) as _row from {source} s "
             f"qualify _row <= {rows})" if rows else f"(select *, 11 as _row from {source} s)")
+    # of a sample the type of the first filled cell, else the most frequent, by registry order if equally so
+    kinds = ("select \"column\", arg_min(coalesce(t, 'mixed'), _row) as kind from typed where filled and _row <= 10 group by all" if rows else
+             f"""select "column", arg_max(t, n * 1000 - list_position({o.TYPES}, t)) as kind from (
+  select "column", t, count(*) as n from typed where t is not null group by all) per_type group by all""")
     cells = " union all ".join(
         f"select {i} as position, '{c}' as \"column\", {str(is_sensitive_name(c)).lower()} as by_name, _row, "
         f"cast({c} as varchar) as v from head" for i, c in enumerate(columns))
     return f"""with head as materialized {head},
 cells as ({cells}),
 typed as (select *, regexp_matches(coalesce(v, ''), '\\S') as filled, {o.first_type('v')} as t from cells),
-counted as (select "column", by_name, count(*) filter (where filled and not by_name and t is not null) as hits, count(*) filter (where filled) as filled,
-  coalesce(arg_min(coalesce(t, 'mixed'), _row) filter (where filled and _row <= 10), 'mixed') as kind
+counted as (select "column", by_name, count(*) filter (where filled and not by_name and t is not null) as hits, count(*) filter (where filled) as filled
   from typed group by all),
-judged as (select *, case when by_name or filled = 0 then 0.0::double else hits / filled end as rate from counted)
+kinds as ({kinds}),
+judged as (select *, case when by_name or filled = 0 then 0.0::double else hits / filled end as rate, coalesce(kind, 'mixed') as kind from counted left join kinds using ("column"))
 select "column", by_name, hits, filled, rate, (by_name or (filled > 0 and rate >= 0.3)) as sensitive,
  case when by_name or (filled > 0 and rate >= 0.3) then kind else '-' end as pii_type from judged"""
 
@@ -98,12 +102,13 @@ def _union_classified(frames):
 def classify_columns(spark, sf_dir):
     """Sensitive columns of the business tables, from their first hundred rows by key."""
     return _union_classified(
-        (t, classify(table(spark, sf_dir, t, *columns), order_by=keys)) for t, (keys, columns) in CLASSIFIED.items())
+        (t, classify(table(spark, sf_dir, t, *columns), order_by=keys, sample_rows=SAMPLE_ROWS)) for t, (keys, columns) in CLASSIFIED.items())
 
 
 @query(lambda: _classify_sql(CONTACTS, ["contact_id"], list(CONTACT_COLUMNS)))
 def classify_contacts(spark, sf_dir):
-    return classify(contacts(spark, sf_dir), order_by="contact_id")
+    """Sensitive columns of the contacts, from their first hundred rows by key."""
+    return classify(contacts(spark, sf_dir), order_by="contact_id", sample_rows=SAMPLE_ROWS)
 
 
 @query(lambda: " union all ".join(
@@ -112,10 +117,20 @@ def classify_contacts(spark, sf_dir):
 def classify_whole_tables(spark, sf_dir):
     """The same judged by every row instead of a sample."""
     return _union_classified(
-        (t, classify(spread(table(spark, sf_dir, t, *CLASSIFIED[t][1])), sample_rows=None))
+        (t, classify(spread(table(spark, sf_dir, t, *CLASSIFIED[t][1]))))
         for t in ("customer", "part", "lineitem"))
 
 
+LATE = f"(select contact_id, case when contact_id > 100 then email else 'none' end as remark, case when contact_id > 100 then ssn else 'none' end as code from {CONTACTS} c)"
+
+
+@query(lambda: _classify_sql(LATE, ["contact_id"], ["contact_id", "remark", "code"], rows=None))
+def classify_late_rows(spark, sf_dir):
+    """Columns in which personal data comes only after the rows a sample would see."""
+    late = lambda c: F.when(F.col("contact_id") > 100, F.col(c)).otherwise("none")
+    return classify(contacts(spark, sf_dir).select("contact_id", late("email").alias("remark"), late("ssn").alias("code")))
+
+
 # --- masks ------------------------------------------------------------------
 
 def _every_kind(spark, sf_dir):
@@ -151,8 +166,7 @@ def private_ip_filter(spark, sf_dir):
 
 def _levels(spark, sf_dir, preset):
     df = contacts(spark, sf_dir)
-    found = {r["column"] for r in classify(df, order_by="contact_id").where("sensitive").collect()}
-    return df, plan_levels([c for c in df.columns if c in found], preset)
+    return df, plan_levels(sensitive_columns(df), preset)
 
 
 GENERIC = "'generic'"

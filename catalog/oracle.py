@@ -5,6 +5,9 @@ from __future__ import annotations
 from veilspark.patterns import PATTERNS
 
 
+TYPES = "[" + ", ".join(f"'{p.type}'" for p in PATTERNS) + "]"
+
+
 def quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veilspark.functions.values import coerce
 from veilspark.operators.normalize import cast_columns, infer_types as infer
 from veilspark.operators.normalize import lower_names, normalize_rows as normalize
+from veilspark.operators.classify import sensitive_columns
 from veilspark.operators.scrub import plan_levels
 from veilspark.plans.jobs import recover_table, scrub_table
 from veilspark.session import scratch, spread
@@ -15,7 +16,7 @@ from veilspark.streaming import scrub as streaming
 
 from . import oracle as o
 from .base import CONTACTS, contacts, query, table
-from .masking import SENSITIVE, _scrub_sql
+from .masking import _scrub_sql
 
 STRINGS = ("full_name", "email", "phone", "ssn", "credit_card", "ip_address", "salary", "dept", "remark", "notes")
 
@@ -40,7 +41,7 @@ def csv_documents(spark, sf_dir):
 def json_roundtrip(spark, sf_dir):
     path = scratch(spark, "json")
     src.write_json(contacts(spark, sf_dir), path, sort_keys=True)
-    return src.read_json(spark, path, lines=True)
+    return src.read_json(spark, path)
 
 
 @query("select cast(n_nationkey as varchar) as n_nationkey, n_name, cast(n_regionkey as varchar) as n_regionkey from nation")
@@ -49,7 +50,7 @@ def csv_json_csv(spark, sf_dir):
     first, second, third = (scratch(spark, n) for n in ("csv", "json", "csv"))
     src.write_csv(table(spark, sf_dir, "nation"), first)
     src.csv_to_json(spark, first, second)
-    src.json_to_csv(spark, second, third, lines=True)
+    src.json_to_csv(spark, second, third)
     return src.read_csv(spark, third)
 
 
@@ -61,15 +62,35 @@ def sql_dump_roundtrip(spark, sf_dir):
     return sqldump.read_sql_dump(spark, path)
 
 
-@query("select cast(doc_id as varchar) as doc_id, replace(text, ';' || chr(10), '; ' || chr(10)) as text from documents")
+@query("select cast(doc_id as varchar) as doc_id, text from documents")
 def sql_dump_documents(spark, sf_dir):
-    """Texts with quotes, brackets and newlines through INSERT statements."""
+    """Texts with quotes, brackets, semicolons and newlines through INSERT statements."""
     path = scratch(spark, "sql")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr("replace(text, ';\\n', '; \\n')").alias("text"))
-    sqldump.write_sql_dump(docs, path)
+    sqldump.write_sql_dump(table(spark, sf_dir, "documents", "doc_id", "text"), path)
     return sqldump.read_sql_dump(spark, path)
 
 
+def _foreign(spark, sf_dir, quote):
+    """A dump of two tables, with CRLF lines, several statements in a line, and comments."""
+    path = scratch(spark, "foreign")
+    one = F.format_string("INSERT INTO `s`.`customers` (k, name) VALUES (%s, '%s;\r\nit" + quote + "s');", "c_custkey", "c_name")
+    two = F.format_string("INSERT INTO other VALUES (%s, NULL), (0, 'x'); -- done; \r", "c_custkey")
+    table(spark, sf_dir, "customer").select(F.concat(one, two).alias("value")).write.text(path)
+    return path
+
+
+@query("select cast(c_custkey as varchar) as k, c_name || ';' || chr(13) || chr(10) || 'it''s' as name from customer")
+def sql_dump_foreign(spark, sf_dir):
+    """One of two tables."""
+    return sqldump.read_sql_dump(spark, _foreign(spark, sf_dir, "''"), table="customers")
+
+
+@query("select c_custkey::varchar as col_0, null::varchar as col_1 from customer union all select '0', 'x' from customer")
+def sql_dump_backslashes(spark, sf_dir):
+    """The other table of a dump whose quotes are escaped by backslashes."""
+    return sqldump.read_sql_dump(spark, _foreign(spark, sf_dir, "\\'"), table="other", backslash_escapes=True)
+
+
 @query("select 'supplier' as \"table\", count(*) as n_rows, 4::bigint as n_cells from supplier")
 def sql_dump_tuples(spark, sf_dir):
     """The table name survives."""
@@ -168,8 +189,7 @@ def scrub_csv_job(spark, sf_dir):
     """CSV in, classified, scrubbed, written, read back."""
     source, target = scratch(spark, "in") + ".csv", scratch(spark, "out") + ".csv"
     src.write_csv(contacts(spark, sf_dir), source)
-    scrub_table(spark, source, target, "external", levels=plan_levels(SENSITIVE, "external"),
-                audit_path=scratch(spark, "audit"))
+    scrub_table(spark, source, target, "external", audit_path=scratch(spark, "audit"))
     return src.read_csv(spark, target)
 
 
@@ -178,18 +198,39 @@ def recover_csv_job(spark, sf_dir):
     """Tokenised with a password, then recovered with it."""
     source, masked, back = (scratch(spark, n) + ".csv" for n in ("in", "masked", "back"))
     src.write_csv(contacts(spark, sf_dir), source)
-    scrub_table(spark, source, masked, "admin", password="open sesame", levels=plan_levels(SENSITIVE, "admin"))
+    scrub_table(spark, source, masked, "admin", password="open sesame")
     recover_table(spark, masked, back, "open sesame")
     return src.read_csv(spark, back)
 
 
+@query(lambda: f"select contact_id, {', '.join(STRINGS)} from {CONTACTS} c")
+def recover_json_job(spark, sf_dir):
+    """JSON lines tokenised with a password, then recovered with it."""
+    source, masked, back = (scratch(spark, n) + ".json" for n in ("in", "masked", "back"))
+    src.write_json(contacts(spark, sf_dir), source)
+    scrub_table(spark, source, masked, "admin", password="open sesame")
+    recover_table(spark, masked, back, "open sesame")
+    return src.read_json(spark, back)
+
+
+@query("select c_custkey, c_name, c_mktsegment from customer")
+def json_array(spark, sf_dir):
+    """Files that are one array of objects read as their rows."""
+    path = scratch(spark, "array")
+    rows = table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")
+    whole = rows.groupBy((F.col("c_custkey") / 100).cast("int").alias("g")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
+    whole.write.partitionBy("g").text(path)
+    return src.read_json(spark, path).drop("g")
+
+
 @query(lambda: _scrub_sql(o.mask_full, drop=("notes",)))
 def stream_scrub(spark, sf_dir):
-    """The external scrub as a file stream; equals the batch."""
+    """Classified by what has arrived, then scrubbed as a file stream; equals the batch."""
     incoming, out, state = (scratch(spark, n) for n in ("incoming", "scrubbed", "state"))
     contacts(spark, sf_dir).write.parquet(incoming)
-    stream = spark.readStream.schema(spark.read.parquet(incoming).schema).parquet(incoming)
-    streaming.scrub_stream(stream, plan_levels(SENSITIVE, "external"), out, state).awaitTermination()
+    first = spark.read.parquet(incoming)
+    levels = plan_levels(sensitive_columns(first), "external")
+    streaming.scrub_stream(spark.readStream.schema(first.schema).parquet(incoming), levels, out, state).awaitTermination()
     return spark.read.parquet(out)
 
 

@@ -44,44 +44,65 @@ def first_rows(df: DataFrame, rows: int, order_by: str | Sequence[str] | None) -
     return head.withColumn("_row", F.row_number().over(Window.orderBy(*keys)))
 
 
-def classify(df: DataFrame, order_by: str | Sequence[str] | None = None, sample_rows: int | None = SAMPLE_ROWS,
+def classify(df: DataFrame, order_by: str | Sequence[str] | None = None, sample_rows: int | None = None,
              threshold: float = THRESHOLD, patterns: Sequence[Pattern] = PATTERNS) -> DataFrame:
     """One row per column: hits, filled cells, hit rate, sensitive or not, PII type.
 
     A column is sensitive if its name says so, or if the share of filled cells
     with a finding reaches the threshold. Columns known by name are looked at
-    for their type only; nested columns count as clean. ``sample_rows=None``
-    looks at the whole table.
+    for their type only; nested columns count as clean. Every row counts. The
+    type is that of most cells, of equally frequent ones the first in the registry,
+    and ``mixed`` if no cell has one.
+
+    ``sample_rows`` looks at the first rows only, by ``order_by`` or as the source
+    delivers them; the type is then that of the first filled cell.
     """
     columns = [f for f in df.schema.fields if not _nested(f.dataType)]
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, by_name boolean, hits bigint, "
                                                "filled bigint, rate double, sensitive boolean, pii_type string")
     narrow = df.select([f.name for f in columns])
-    if sample_rows is None:
-        rows = narrow.withColumn("_row", F.lit(TYPE_ROWS + 1))
-    else:
-        rows = first_rows(narrow, sample_rows, order_by)
-    cells = rows.select("_row", F.inline(F.array(*[F.struct(
-        F.lit(f.name).alias("column"), F.lit(i).alias("position"),
-        F.lit(is_sensitive_name(f.name)).alias("by_name"),
-        F.col(name(f.name)).cast("string").alias("raw")) for i, f in enumerate(columns)])))
-    filled = F.expr(f"coalesce({is_filled('raw')}, false)")
-    # over a whole table there is no first row, and counts alone aggregate by hash
-    example = F.min_by("raw", F.when(filled & (F.col("_row") <= TYPE_ROWS), F.col("_row")))
-    counted = cells.groupBy("column", "position", "by_name").agg(
-        F.count_if(F.expr(f"NOT by_name AND {has_pii('raw', patterns)}")).alias("hits"), F.count_if(filled).alias("filled"),
-        *([] if sample_rows is None else [example.alias("example")]))
-    if sample_rows is None:
-        counted = counted.withColumn("example", F.lit(None).cast("string"))
+    counted = (_count_all(narrow, columns, patterns) if sample_rows is None
+               else _count_sample(first_rows(narrow, sample_rows, order_by), columns, patterns))
     rate = F.when(F.col("by_name") | (F.col("filled") == 0), 0.0).otherwise(F.col("hits") / F.col("filled"))
     judged = counted.withColumn("rate", rate).withColumn(
         "sensitive", F.col("by_name") | ((F.col("filled") > 0) & (F.col("rate") >= threshold)))
-    kind = F.expr(f"IF(sensitive, coalesce({cell_type('example', patterns)}, 'mixed'), '-')")
+    kind = F.when(F.col("sensitive"), F.coalesce("kind", F.lit("mixed"))).otherwise("-")
     return judged.withColumn("pii_type", kind).orderBy("position").select(
         "column", "by_name", "hits", "filled", "rate", "sensitive", "pii_type")
 
 
+def _cells(rows: DataFrame, columns: Sequence[T.StructField], *more: str) -> DataFrame:
+    return rows.select(*more, F.inline(F.array(*[F.struct(
+        F.lit(f.name).alias("column"), F.lit(i).alias("position"),
+        F.lit(is_sensitive_name(f.name)).alias("by_name"),
+        F.col(name(f.name)).cast("string").alias("raw")) for i, f in enumerate(columns)])))
+
+
+def _filled():
+    return F.expr(f"coalesce({is_filled('raw')}, false)")
+
+
+def _count_all(rows: DataFrame, columns: Sequence[T.StructField], patterns: Sequence[Pattern]) -> DataFrame:
+    """Counts per column and type, combined before the shuffle; what moves is a row per column, type and task."""
+    typed = _cells(rows, columns).withColumn("filled", _filled()).withColumn("type", F.expr(cell_type("raw", patterns)))
+    per_type = typed.groupBy("column", "position", "by_name", "type").agg(
+        F.count_if("filled").alias("filled"), F.count(F.lit(1)).alias("n"))
+    rank = F.array_position(F.array(*[F.lit(p.type) for p in patterns]), F.col("type"))
+    most = F.max_by("type", F.when(F.col("type").isNotNull(), F.struct("n", (-rank).alias("rank"))))
+    return per_type.groupBy("column", "position", "by_name").agg(
+        F.sum(F.when(~F.col("by_name") & F.col("type").isNotNull(), F.col("n")).otherwise(0)).alias("hits"),
+        F.sum("filled").alias("filled"), most.alias("kind"))
+
+
+def _count_sample(rows: DataFrame, columns: Sequence[T.StructField], patterns: Sequence[Pattern]) -> DataFrame:
+    example = F.min_by("raw", F.when(_filled() & (F.col("_row") <= TYPE_ROWS), F.col("_row")))
+    return _cells(rows, columns, "_row").groupBy("column", "position", "by_name").agg(
+        F.count_if(F.expr(f"NOT by_name AND {has_pii('raw', patterns)}")).alias("hits"),
+        F.count_if(_filled()).alias("filled"), example.alias("example")).withColumn(
+        "kind", F.expr(cell_type("example", patterns)))
+
+
 def sensitive_columns(df: DataFrame, **options) -> list[str]:
     """Names of the sensitive columns, in table order. Collects one row per column."""
     found = {r["column"] for r in classify(df, **options).where("sensitive").select("column").collect()}

@@ -47,23 +47,26 @@ class ScrubResult:
 
 def scrub_table(spark: SparkSession, source: str, target: str, preset: str = DEFAULT_PRESET,
                 password: str | None = None, fmt: str | None = None, audit_path: str | None = None,
-                order_by: str | None = None, digits: int = 4, type_from_column: bool = False,
+                order_by: str | None = None, sample_rows: int | None = None, digits: int = 4, type_from_column: bool = False,
                 levels: dict[str, str] | None = None) -> ScrubResult:
     """Classify, mask, write, and record what was done.
 
-    Classification reads a sample; the scrub itself is one map-only pass that
-    counts while it writes. Recoverable tokens need a password; their vault is
-    written to ``target + '.vault'``. A table without sensitive columns is
-    copied as it is, whatever its format.
+    Classification reads every row, unless ``sample_rows`` says how many; the scrub itself
+    is one map-only pass that counts while it writes. Recoverable tokens need a
+    password; their vault is written to ``target + '.vault'`` and checked before any masked row is
+    written. A table without sensitive columns is copied as it is, whatever its format.
     """
     df, fmt = read_table(spark, source, fmt)
     if levels is None:
-        levels = plan_levels(sensitive_columns(df, order_by=order_by), preset)
+        levels = plan_levels(sensitive_columns(df, order_by=order_by, sample_rows=sample_rows), preset)
     key = None
     if TOKENIZE in levels.values():
         if not password:
             raise ValueError("this preset tokenises: pass a password")
         key = VaultKey.derive(password)
+        save_vault(build_vault(df, tokenised_columns(levels), key), target + ".vault", key)
+        if collisions(spark.read.parquet(target + ".vault")).limit(1).count():
+            raise ValueError("two values share a token: use more token digits")
     metrics = Observation()
     masked = scrub(observed(df, levels, metrics), levels, key.token if key else None, digits,
                    type_from_column=type_from_column)
@@ -74,10 +77,6 @@ def scrub_table(spark: SparkSession, source: str, target: str, preset: str = DEF
         rows, [c for c in df.columns if c in levels], [c for c in df.columns if levels.get(c) == DELETE],
         sum(counts.values()), sum(n for c, n in counts.items() if levels[c] != PRESERVE), counts)
     if key:
-        vault = build_vault(df, tokenised_columns(levels), key)
-        save_vault(vault, target + ".vault", key)
-        if collisions(spark.read.parquet(target + ".vault")).limit(1).count():
-            raise ValueError("two values share a token: use more token digits")
         result.vault_path = target + ".vault"
     if audit_path:
         append_audit(scrub_audit(

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,12 +68,39 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True, mod
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
-def read_json(spark: SparkSession, path: str, lines: bool = False, encoding: str = "UTF-8") -> DataFrame:
-    """JSON records: an array of objects or a single object per file.
+def is_json_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> bool:
+    """Whether the first line with content is a JSON object of its own; arrays and objects over several lines are not."""
+    first = (spark.read.option("encoding", encoding).text(path).where(F.col("value").rlike(r"\S")).first())
+    if first is None:
+        return True
+    try:
+        return isinstance(json.loads(first[0].lstrip("\ufeff")), dict)
+    except ValueError:
+        return False
+
+
+def _whole_value(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for text in batch["value"]:
+            text = text.lstrip("\ufeff").strip()
+            _, end = json.JSONDecoder().raw_decode(text) if text else (None, 0)
+            yield pd.DataFrame({"rest": [text[end:].strip()[:40]]})
+
+
+def read_json(spark: SparkSession, path: str, lines: bool | None = None, encoding: str = "UTF-8") -> DataFrame:
+    """JSON records: one object per line, or an array of objects or a single object per file.
 
-    ``lines`` reads one object per line, which splits; use it for large data.
+    ``lines=None`` looks at the first line. Lines split between tasks; a file that is one
+    value is one record by its format, and an error if more follows that value.
     Anything that is not an object is an error.
     """
+    if lines is None:
+        lines = is_json_lines(spark, path, encoding)
+    if not lines:
+        whole = spark.read.option("encoding", encoding).text(path, wholetext=True)
+        more = whole.mapInPandas(_whole_value, "rest string").where("rest <> ''").first()
+        if more is not None:
+            raise ValueError(f"content after the first JSON value of a file: {more[0]}")
     return (spark.read.option("multiLine", not lines).option("encoding", encoding)
             .option("mode", "FAILFAST").json(path))
 
@@ -84,7 +115,7 @@ def csv_to_json(spark: SparkSession, source: str, target: str, **csv_options) ->
     write_json(read_csv(spark, source, skip_blank_rows=True, **csv_options), target)
 
 
-def json_to_csv(spark: SparkSession, source: str, target: str, lines: bool = False, sep: str = ",") -> None:
+def json_to_csv(spark: SparkSession, source: str, target: str, lines: bool | None = None, sep: str = ",") -> None:
     df = read_json(spark, source, lines=lines)
     write_csv(df.select(*[F.col(name(c)).cast("string").alias(c) for c in df.columns]), target, sep=sep)
 
