@@ -13,9 +13,9 @@ are in order of id; ``start`` counts the ids before the block in its file.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
@@ -37,6 +37,8 @@ BLOCK_IDS = 1 << 16
 EVERY = 512
 #: texts given to the tokenizer at once
 AT_ONCE = 64
+#: blocks decoded side by side
+BLOCKS_AT_ONCE = 16
 
 BLOCKS = T.StructType([
     T.StructField("file", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("start", T.LongType()),
@@ -47,25 +49,31 @@ BLOCKS = T.StructType([
 
 # -- tokenising
 
-def _tokenise(path: str, end_id: int):
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def id_type(path: str) -> str:
+    """Ids of a vocabulary of up to 65536 are kept in two bytes, of larger ones in four."""
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def _tokenise(path: str, end_id: int, kind: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        for texts in batches:
-            out: list[bytes] = []
-            for at in range(0, len(texts), AT_ONCE):
-                some = [t or "" for t in texts.iloc[at: at + AT_ONCE]]
-                out += [np.array([*e.ids, end_id], "<u4").tobytes()
-                        for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            yield pd.Series(out)
-    return F.pandas_udf(run, T.BinaryType(), F.PandasUDFType.SCALAR_ITER)
+        for batch in batches:
+            for at in range(0, len(batch), AT_ONCE):
+                some = batch.iloc[at: at + AT_ONCE]
+                found = tokenizer.encode_batch_fast([t or "" for t in some["text"]], add_special_tokens=False)
+                yield pd.DataFrame({"doc": some["doc"], "ids": [np.array([*e.ids, end_id], kind).tobytes() for e in found]})
+    return run
 
 
 def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None,
               end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids): ids with the end id as little-endian 32-bit integers; NULL is an empty text."""
-    ids = _tokenise(path or public_tokenizers.path(VOCABULARY), end_id)
-    return docs.select(F.col(key).cast("bigint").alias("doc_id"), ids(F.col(text)).alias("ids"))
+    """(doc_id, ids): ids with the end id, of ``id_type``; NULL is an empty text."""
+    path = path or public_tokenizers.path(VOCABULARY)
+    # an id may be NULL, so it goes through Python as text
+    return (docs.select(F.col(key).cast("string").alias("doc"), F.col(text).alias("text"))
+            .mapInPandas(_tokenise(path, end_id, id_type(path)), "doc string, ids binary")
+            .select(F.col("doc").cast("bigint").alias("doc_id"), "ids"))
 
 
 # -- the code
@@ -176,19 +184,25 @@ def unpack(blocks: list[tuple[bytes, np.ndarray, int]], table: tuple[np.ndarray,
 
 # -- writing and reading
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    counts = np.zeros(0, np.int64)
-    for batch in batches:
-        for raw in batch["ids"]:
-            found = np.bincount(np.frombuffer(raw, "<u4"))
-            if len(found) > len(counts):
-                counts = np.pad(counts, (0, len(found) - len(counts)))
-            counts[: len(found)] += found
-    at = np.flatnonzero(counts)
-    yield pd.DataFrame({"id": at, "n": counts[at]})
+def _count(kind: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(0, np.int64)
+        for batch in batches:
+            for raw in batch["ids"]:
+                ids = np.frombuffer(raw, kind)
+                if len(ids) and int(ids.max()) >= len(counts):
+                    counts = np.pad(counts, (0, int(ids.max()) + 1 - len(counts)))
+                if len(ids) < 1 << 12:
+                    np.add.at(counts, ids, 1)
+                else:
+                    found = np.bincount(ids)
+                    counts[: len(found)] += found
+        at = np.flatnonzero(counts)
+        yield pd.DataFrame({"id": at, "n": counts[at]})
+    return run
 
 
-def _encode(lengths: np.ndarray, block_ids: int, every: int):
+def _encode(lengths: np.ndarray, block_ids: int, every: int, kind: str):
     codes = canonical(lengths)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -204,10 +218,9 @@ def _encode(lengths: np.ndarray, block_ids: int, every: int):
                                  "n_ids": [len(ids)], "every": [every], "offsets": [offsets.tolist()], "bits": [bits]})
 
         for batch in batches:
-            # an id may be NULL, so it comes as text
             for doc, raw in zip(batch["doc"], batch["ids"], strict=True):
                 docs.append(None if doc is None else int(doc))
-                parts.append(np.frombuffer(raw, "<u4").astype(np.int64))
+                parts.append(np.frombuffer(raw, kind).astype(np.int64))
                 held += len(parts[-1])
                 if held >= block_ids:
                     yield close()
@@ -217,13 +230,14 @@ def _encode(lengths: np.ndarray, block_ids: int, every: int):
     return run
 
 
-def write_ids(tokens: DataFrame, path: str, longest: int = LONGEST, block_ids: int = BLOCK_IDS, every: int = EVERY) -> None:
-    """Write tokens (doc_id, ids) in the file format, in ascending order of doc_id, NULL first, ties by ids.
+def write_ids(tokens: DataFrame, path: str, kind: str = "<u4", longest: int = LONGEST, block_ids: int = BLOCK_IDS,
+              every: int = EVERY) -> None:
+    """Write tokens (doc_id, ids of type ``kind``) in the file format, in ascending order of doc_id, NULL first, ties by ids.
 
     ``tokens`` is read twice, so it should be a written table. No rows give a code without ids.
     """
     spark = tokens.sparkSession
-    counted = tokens.mapInPandas(_count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counted = tokens.mapInPandas(_count(kind), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     # one count for each id of the vocabulary
     counts = np.zeros(int(counted["id"].max()) + 1 if len(counted) else 0, np.int64)
     counts[counted["id"].astype(np.int64)] = counted["n"]
@@ -234,7 +248,7 @@ def write_ids(tokens: DataFrame, path: str, longest: int = LONGEST, block_ids: i
     ordered = (tokens.repartitionByRange(F.col("doc_id").asc_nulls_first())
                .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids"))
     (ordered.select(F.col("doc_id").cast("string").alias("doc"), "ids")
-     .mapInPandas(_encode(lengths, block_ids, every), BLOCKS).write.parquet(f"{path}/blocks"))
+     .mapInPandas(_encode(lengths, block_ids, every, kind), BLOCKS).write.parquet(f"{path}/blocks"))
 
 
 def read_ids(spark: SparkSession, path: str, longest: int = LONGEST) -> DataFrame:
@@ -253,9 +267,8 @@ def read_ids(spark: SparkSession, path: str, longest: int = LONGEST) -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = list(batch.itertuples(index=False))
-            for every in sorted({r.every for r in rows}):
-                some = [r for r in rows if r.every == every]
+            rows = sorted(batch.itertuples(index=False), key=lambda r: r.every)
+            for every, some in _few(rows):
                 decoded = unpack([(r.bits, np.asarray(r.offsets), r.n_ids) for r in some], table, every, longest)
                 for r, ids in zip(some, decoded, strict=True):
                     lens = np.asarray(r.doc_lens, np.int64)
@@ -272,6 +285,13 @@ def read_ids(spark: SparkSession, path: str, longest: int = LONGEST) -> DataFram
             .select(F.col("doc").cast("bigint").alias("doc_id"), "start", "ids"))
 
 
+def _few(rows: list) -> Iterator[tuple[int, list]]:
+    """Blocks of one distance of offsets, a few at once."""
+    for every, same in groupby(rows, key=lambda r: r.every):
+        while some := list(islice(same, BLOCKS_AT_ONCE)):
+            yield every, some
+
+
 def digest(ids: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of read ids."""
     return ids.select("doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
@@ -288,6 +308,6 @@ def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", path: s
     spark = docs.sparkSession
     tokens = scratch(spark, "tokens")
     tokenised(docs, key, text).write.parquet(tokens)
-    path = path or scratch(spark, f"ids-{uuid.uuid4().hex[:8]}")
-    write_ids(spark.read.parquet(tokens), path)
+    path = path or scratch(spark, "ids")
+    write_ids(spark.read.parquet(tokens), path, id_type(public_tokenizers.path(VOCABULARY)))
     return read_ids(spark, path)
