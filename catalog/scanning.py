@@ -255,12 +255,9 @@ def redact_partial_all_types(spark, sf_dir):
 
 # --- chunks, rows, models ---------------------------------------------------
 
-@query(lambda: o.scan("""(select doc_id * 100000 + unnest(range(0, 1 + greatest(cast(ceil((length(text) - 2000) / 1800.0) as bigint), 0))) as id,
- substr(text, cast((id % 100000) * 1800 + 1 as bigint), 2000) as text from documents)""", "id", "text", """
-select distinct k // 100000 as doc_id, type, match, cast(start + (k % 100000) * 1800 as integer) as start,
- cast("end" + (k % 100000) * 1800 as integer) as "end" from kept"""))
+@query(lambda: o.scan("documents", "doc_id", "text", 'select k as doc_id, type, match, start, "end" from kept'))
 def chunk_scan(spark, sf_dir):
-    """Documents scanned in overlapping chunks of equal stride."""
+    """Documents scanned in chunks of equal stride; equals the scan of whole texts."""
     chunks = chunking.stride_chunks(documents(spark, sf_dir), "text", 2000, 200)
     return chunking.scan_chunks(chunks, "doc_id").select("doc_id", "type", "match", "start", "end")
 

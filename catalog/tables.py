@@ -240,6 +240,6 @@ def stream_scan(spark, sf_dir):
     incoming, out, state = (scratch(spark, n) for n in ("incoming", "found", "state"))
     spread(table(spark, sf_dir, "documents", "doc_id", "text")).write.parquet(incoming)
     stream = spark.readStream.schema("doc_id bigint, text string").parquet(incoming)
-    streaming.scan_stream(stream, "text", out, state).awaitTermination()
+    streaming.scan_stream(stream, "text", out, state, size=2000).awaitTermination()
     return spark.read.parquet(out).select("doc_id", F.explode(F.expr("transform(findings, f -> f.type)")).alias("type")) \
         .groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"))

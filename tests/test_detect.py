@@ -161,9 +161,19 @@ def test_chunked_findings_equal_whole_text(spark):
     df = spark.createDataFrame([(1, text)], "id int, t string")
     whole = {(f["start"], f["end"]) for f in scan(df, "t").first()["findings"]}
     inside = df.select(F.expr(chunking.chunked_findings("t", 500, 100)).alias("f")).first()["f"]
-    assert whole <= {(f["start"], f["end"]) for f in inside}
+    assert whole == {(f["start"], f["end"]) for f in inside}
     rows = chunking.scan_chunks(chunking.stride_chunks(df, "t", 500, 100), "id")
-    assert whole <= {(r["start"], r["end"]) for r in rows.collect()}
+    assert whole == {(r["start"], r["end"]) for r in rows.collect()}
+
+
+def test_seams_show_nothing_that_is_not_there(spark):
+    texts = [" " * k + t for k in range(70) for t in ("123456789012 and more", "123-45-6789", "x" * 30 + "@example.com tail", "4111-1111-1111-1111")]
+    df = spark.createDataFrame(list(enumerate(texts + [""])) + [(-1, None)], "id int, t string")
+    want = sorted((r["id"], r["type"], r["start"], r["end"]) for r in explode_findings(scan(df, "t"), "id").collect())
+    rows = chunking.scan_chunks(chunking.stride_chunks(df, "t", 40, 30), "id").collect()
+    assert sorted((r["id"], r["type"], r["start"], r["end"]) for r in rows) == want
+    inside = df.withColumn("findings", F.expr(chunking.chunked_findings("t", 40, 30)))
+    assert sorted((r["id"], r["type"], r["start"], r["end"]) for r in explode_findings(inside, "id").collect()) == want
 
 
 def test_partitioning_does_not_matter(spark):

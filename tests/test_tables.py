@@ -224,6 +224,13 @@ def test_recover_all_ways_agree(spark):
     want = rows(df.withColumn("recovered_cells", F.lit(2)))
     for options in ({}, {"broadcast_rows": 0}, {"broadcast_rows": 0, "row_key": ["id"]}):
         assert rows(vault.recover(masked, opened, **options)) == want
+    # a row whose key is NULL is a row like any other; keys that repeat are refused, whatever the size of the vault
+    gap = masked.withColumn("id", F.when(F.col("id") != 7, F.col("id")))
+    for options in ({}, {"broadcast_rows": 0}):
+        back = vault.recover(gap, opened, row_key=["id"], **options)
+        assert back.where("email like 'tok%' or recovered_cells <> 2").count() == 0 and back.count() == 60
+        with pytest.raises(ValueError, match="share a key"):
+            vault.recover(masked, opened, row_key=["name"], **options)
     assert vault.collisions(vault.build_vault(df, levels, key)).count() == 0
     assert rows(scrub(df.repartition(1), levels, token_key=key.token)) == rows(scrub(df.repartition(7), levels, token_key=key.token))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.detectors import scan_text, shift
 from ..functions.spans import resolve_overlaps, sort_findings
-from ..functions.sql import let, name, struct, transform
+from ..functions.sql import filter_, lit, name, struct, transform
 from ..patterns import PATTERNS
 from .detect import explode_findings
 
@@ -31,20 +31,36 @@ def fixed_chunks(text: str, size: int = READ_CHUNK, overlap: int = READ_OVERLAP)
         start=f"{i} * {stride}", text=f"substr({text}, {i} * {stride} + 1, {size})"))
 
 
-def chunked_findings(text: str, size: int = READ_CHUNK, overlap: int = READ_OVERLAP) -> str:
-    """Findings of a long text, chunk by chunk, in document offsets and each once.
+def owned_chunks(text: str, size: int = READ_CHUNK, margin: int = READ_OVERLAP) -> str:
+    """Chunks as ``array<struct<start, text, own_from, own_to>>``, each with a margin on both sides.
 
-    Everything happens inside the row: findings seen by two chunks are equal,
-    stand next to each other once sorted, and collapse there.
+    Every character is owned by one chunk. The margins let matches near a seam see what a
+    scan of the whole text sees there; the right one goes on to the next white space, so that no
+    long word is cut.
     """
-    def once(found: str) -> str:
-        same = lambda x, i: f"get({found}, {i} - 1) <=> {x}"
-        return f"filter({found}, (_f_, _i_) -> _i_ = 0 OR NOT ({same('_f_', '_i_')}))"
+    if not 0 <= margin <= size:
+        raise ValueError("the margin must not exceed the chunk")
+    last = f"CAST(greatest(ceil(length({text}) / {size}D) - 1, 0) AS INT)"
+
+    def chunk(i: str) -> str:
+        end = f"(({i} + 1) * {size} + {margin})"
+        more = f"length(coalesce(regexp_substr(substr({text}, {end} + 1, {size}), {lit(chr(94) + chr(92) + 'S+')}), ''))"
+        start = f"greatest({i} * {size} - {margin}, 0)"
+        return struct(start=start, text=f"substr({text}, {start} + 1, {end} - {start} + {more})",
+                      own_from=f"{i} * {size}", own_to=f"({i} + 1) * {size}")
+    return transform(f"sequence(0, {last})", chunk)
 
-    per_chunk = transform(fixed_chunks(text, size, overlap),
-                          lambda c: shift(scan_text(f"{c}.text"), f"{c}.start"))
-    return resolve_overlaps(sort_findings(let(f"array_sort(flatten({per_chunk}))", once),
-                                          tuple(p.type for p in PATTERNS)))
+
+def chunked_findings(text: str, size: int = READ_CHUNK, overlap: int = READ_OVERLAP) -> str:
+    """Findings of a long text, chunk by chunk, in document offsets; a chunk gives those that start in what it owns.
+
+    Everything happens inside the row.
+    """
+    def owned(c: str) -> str:
+        return filter_(shift(scan_text(f"{c}.text"), f"{c}.start"),
+                       lambda f: f"{f}.start >= {c}.own_from AND {f}.start < {c}.own_to")
+    per_chunk = transform(owned_chunks(text, size, overlap), owned)
+    return resolve_overlaps(sort_findings(f"flatten({per_chunk})", tuple(p.type for p in PATTERNS)))
 
 
 # Where a chunk may end, best first, and how many characters of
@@ -87,21 +103,18 @@ def boundary_chunks(df: DataFrame, text: str, size: int = CHUNK, overlap: int =
 
 
 def stride_chunks(df: DataFrame, text: str, size: int = READ_CHUNK, overlap: int = READ_OVERLAP) -> DataFrame:
-    """One row per chunk (``chunk_start``, ``chunk``) of equal stride; no Python involved."""
-    each = F.explode(F.expr(fixed_chunks(name(text), size, overlap)))
+    """One row per chunk (``chunk_start``, ``chunk``, ``own_from``, ``own_to``) of equal stride; no Python involved."""
+    each = F.explode(F.expr(owned_chunks(name(text), size, overlap)))
     return (df.withColumn("_chunk", each)
-            .withColumns({"chunk_start": F.col("_chunk.start"), "chunk": F.col("_chunk.text")})
+            .withColumns({"chunk_start": F.col("_chunk.start"), "chunk": F.col("_chunk.text"),
+                          "own_from": F.col("_chunk.own_from"), "own_to": F.col("_chunk.own_to")})
             .drop("_chunk"))
 
 
 def scan_chunks(chunks: DataFrame, key: str) -> DataFrame:
-    """Findings of chunk rows in document offsets, each reported once.
-
-    Findings inside an overlap show up in two chunks; the duplicates fall to a
-    distinct over key, type and span, which no single document can skew.
-    """
-    found = chunks.select(key, "chunk_start", F.expr(scan_text("chunk")).alias("findings"))
-    rows = explode_findings(found, key, "chunk_start")
+    """Findings of chunk rows in document offsets, each from the chunk that owns its start; no shuffle."""
+    found = chunks.select(key, "chunk_start", "own_from", "own_to", F.expr(scan_text("chunk")).alias("findings"))
+    rows = explode_findings(found, key, "chunk_start", "own_from", "own_to")
     return (rows.withColumns({"start": F.col("start") + F.col("chunk_start"),
                               "end": F.col("end") + F.col("chunk_start")})
-            .drop("chunk_start").dropDuplicates([key, "type", "start", "end"]))
+            .where("start >= own_from AND start < own_to").drop("chunk_start", "own_from", "own_to"))

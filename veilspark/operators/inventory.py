@@ -104,12 +104,14 @@ def with_copies(df: DataFrame, hash_column: str, row_key: Sequence[str]) -> Data
     """Add ``copies``, the number of rows with the same hash, and ``is_first`` by row key.
 
     Counting aggregates map-side and the counts come back by a lookup that
-    salts large groups, so a group of copies of any size stays spread out.
+    salts large groups, so a group of copies of any size stays spread out. Rows
+    without a hash are one group.
     """
     key = F.struct(*row_key)
-    counts = df.groupBy(hash_column).agg(F.count(F.lit(1)).alias("copies"), F.min(key).alias("_first"))
-    return lookup(df, counts, hash_column, spread_by=row_key, materialize=True) \
-        .withColumn("is_first", key == F.col("_first")).drop("_first")
+    keyed = df.withColumn("_group", F.coalesce(hash_column, F.lit("")))
+    counts = keyed.groupBy("_group").agg(F.count(F.lit(1)).alias("copies"), F.min(key).alias("_first"))
+    return lookup(keyed, counts, "_group", spread_by=row_key, materialize=True, counts="copies") \
+        .withColumn("is_first", key == F.col("_first")).drop("_first", "_group")
 
 
 def duplicates(df: DataFrame, hash_column: str) -> DataFrame:

@@ -4,17 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import BROADCAST_BYTES, BROADCAST_ROWS, checkpoint
 
-#: at most this many keys get salted; every other key holds less than its share
-HOT_KEYS = 1000
-#: a key with fewer rows than this fits one task comfortably
+#: a key with up to so many rows fits one task comfortably; one with more gets a task for each so many
 HOT_ROWS = 1_000_000
-#: tasks one hot key is spread over
-SALTS = 64
+#: tasks rows without a key are spread over; they match nothing
+NULL_SALTS = 64
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
@@ -28,7 +26,7 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADC
 
 def lookup(left: DataFrame, table: DataFrame, key: str, spread_by: Sequence[str] | None = None,
            broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS,
-           materialize: bool = False) -> DataFrame:
+           materialize: bool = False, counts: str | None = None) -> DataFrame:
     """Add the columns of ``table`` to ``left`` by key; rows without a match get NULLs.
 
     ``table`` has at most one row per key. Up to ``broadcast_rows`` it is
@@ -37,29 +35,33 @@ def lookup(left: DataFrame, table: DataFrame, key: str, spread_by: Sequence[str]
     table rows repeated once per salt. The salt comes from ``spread_by``, best a
     unique row key, so a task that runs again gives the same rows again.
     ``materialize`` writes a computed table to the shared folder before it is
-    counted and joined, so it is worked out once.
+    counted and joined, so it is worked out once. ``counts`` names a column of
+    table that has the number of rows of left per key, if there is one.
     """
     if materialize:
         table = checkpoint(table)
     if fits_broadcast(table, broadcast_rows):
         return left.join(F.broadcast(table), key, "left")
-    return salted_lookup(left, table, key, spread_by, hot_rows)
+    return salted_lookup(left, table, key, spread_by, hot_rows, counts)
 
 
 def salted_lookup(left: DataFrame, table: DataFrame, key: str, spread_by: Sequence[str] | None = None,
-                  hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The lookup for tables too large to broadcast."""
-    hot = (left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-           .where(F.col("_n") > hot_rows).orderBy(F.desc("_n")).limit(HOT_KEYS).select(key))
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+                  hot_rows: int = HOT_ROWS, counts: str | None = None) -> DataFrame:
+    """The lookup for tables too large to broadcast.
 
-    def salt(*of: str) -> Column:
-        return F.pmod(F.xxhash64(*of), F.lit(SALTS)).cast("int")
-
-    spread = F.col("_hot").isNotNull() | F.col(key).isNull()
-    salted = (left.join(hot, key, "left")
-              .withColumn("_salt", F.when(spread, salt(*(spread_by or left.columns))).otherwise(0))
-              .drop("_hot"))
-    copies = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    repeated = (table.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot"))
+    Hot keys go by a hash of the key, so the list of them stays narrow however long keys are.
+    """
+    of_key = F.xxhash64(key)
+    per_key = (table.select(of_key.alias("_hash"), F.col(counts).alias("_n")) if counts else
+               left.where(F.col(key).isNotNull()).select(of_key.alias("_hash"), F.lit(1).alias("_n")))
+    hot = checkpoint(per_key.groupBy("_hash").agg(F.sum("_n").alias("_n")).where(F.col("_n") > hot_rows)
+                     .select("_hash", F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")))
+    if fits_broadcast(hot):
+        hot = F.broadcast(hot)
+    salts = F.coalesce("_salts", F.lit(1))
+    spread = F.pmod(F.xxhash64(*(spread_by or left.columns)),
+                    F.when(F.col(key).isNull(), F.lit(NULL_SALTS)).otherwise(salts)).cast("int")
+    salted = left.withColumn("_hash", of_key).join(hot, "_hash", "left").withColumn("_salt", spread).drop("_hash", "_salts")
+    repeated = (table.withColumn("_hash", of_key).join(hot, "_hash", "left")
+                .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_hash", "_salts"))
     return salted.join(repeated, [key, "_salt"], "left").drop("_salt")

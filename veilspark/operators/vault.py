@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 from collections.abc import Iterable, Sequence
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.detectors import cell_type
 from ..functions.masks import TOKENIZE, is_filled, tokenize
 from ..functions.sql import name
-from ..session import BROADCAST_ROWS, hide_keys
+from ..session import BROADCAST_ROWS, checkpoint, hide_keys
 from .lookup import fits_broadcast, salted_lookup
 
 # Key derivation.
@@ -110,19 +111,24 @@ def recover(df: DataFrame, opened: DataFrame, columns: Sequence[str] | None = No
     """Replace every cell that is a token by its value; all other cells stay.
 
     By default every string column is looked at. The added ``recovered_cells``
-    counts the replacements of a row. ``row_key``, unique per row, lets a large
-    vault be joined to narrow cells, one join for all columns, instead of once
-    per column.
+    counts the replacements of a row. A vault too large to broadcast is joined once, to narrow
+    cells of all columns, whose values come back to the rows by ``row_key``. The key
+    must tell rows apart, NULLs included, or it is an error; without one
+    rows are numbered and written to the shared folder first.
     """
     columns = list(columns or [f.name for f in df.schema.fields
                                if f.dataType.simpleString() == "string" and f.name not in (row_key or ())])
-    small = fits_broadcast(opened, broadcast_rows)
-    if row_key and not small:
-        return _recover_by_cells(df, opened, columns, list(row_key))
+    if row_key and df.groupBy(*row_key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        raise ValueError(f"rows share a key: {', '.join(row_key)}")
+    if not fits_broadcast(opened, broadcast_rows):
+        if row_key:
+            return _recover_by_cells(df, opened, columns, list(row_key))
+        numbered = checkpoint(df.withColumn("_row", F.monotonically_increasing_id()))
+        return _recover_by_cells(numbered, opened, columns, ["_row"]).drop("_row")
     out = df.withColumn("recovered_cells", F.lit(0))
     for c in columns:
         table = opened.select(F.col("token").alias(c), F.col("value").alias("_value"))
-        out = out.join(F.broadcast(table), c, "left") if small else salted_lookup(out, table, c)
+        out = out.join(F.broadcast(table), c, "left")
         out = out.withColumns({
             c: F.coalesce("_value", F.col(name(c))),
             "recovered_cells": F.col("recovered_cells") + F.col("_value").isNotNull().cast("int"),
@@ -131,14 +137,17 @@ def recover(df: DataFrame, opened: DataFrame, columns: Sequence[str] | None = No
 
 
 def _recover_by_cells(df: DataFrame, opened: DataFrame, columns: list[str], row_key: list[str]) -> DataFrame:
-    cells = df.select(*row_key, F.posexplode(F.array(*[F.col(name(c)) for c in columns])).alias("_at", "token"))
+    keys = [f"_key{i}" for i in range(len(row_key))]
+    named = [F.col(name(c)).alias(k) for c, k in zip(row_key, keys)]
+    cells = df.select(*named, F.posexplode(F.array(*[F.col(name(c)) for c in columns])).alias("_at", "token"))
     cells = cells.where(F.col("token").isNotNull())
-    found = salted_lookup(cells, opened, "token", spread_by=[*row_key, "_at"]) \
+    found = salted_lookup(cells, opened, "token", spread_by=[*keys, "_at"]) \
         .where(F.col("value").isNotNull())
     # a row has as many entries as it has columns, so these maps stay small
-    values = found.groupBy(*row_key).agg(
+    values = found.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("_at", "value"))).alias("_values"))
-    joined = df.join(values, row_key, "left")
+    same = functools.reduce(lambda a, b: a & b, (F.col(name(c)).eqNullSafe(F.col(k)) for c, k in zip(row_key, keys)))
+    joined = df.join(values, same, "left")
     restored = {c: F.coalesce(F.try_element_at("_values", F.lit(i)), F.col(name(c)))
                 for i, c in enumerate(columns)}
     return joined.select(*[restored.get(c, F.col(name(c))).alias(c) for c in df.columns],

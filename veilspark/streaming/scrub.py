@@ -60,9 +60,9 @@ def scrub_stream(stream: DataFrame, levels: dict[str, str], target: str, checkpo
 
 def scan_stream(stream: DataFrame, text: str, target: str, checkpoint: str, fmt: str = "parquet",
                 size: int = READ_CHUNK, overlap: int = READ_OVERLAP) -> StreamingQuery:
-    """Findings of documents as they arrive, long documents in overlapping chunks.
+    """Findings of documents as they arrive, long documents in chunks with margins.
 
-    Findings are in document offsets and free of the overlap's duplicates, and
+    Findings are in document offsets, each from the chunk that owns its start, and
     no state is kept for that.
     """
     found = stream.withColumn("findings", F.expr(chunked_findings(name(text), size, overlap))).drop(text)
