@@ -13,7 +13,7 @@ are in order of id; ``start`` counts the ids before the block in its file.
 
 from __future__ import annotations
 
-import zlib
+import functools
 from collections.abc import Iterator
 from itertools import groupby, islice
 
@@ -49,15 +49,22 @@ BLOCKS = T.StructType([
 
 # -- tokenising
 
+@functools.cache
+def tokenizer_of(path: str) -> Tokenizer:
+    """A tokenizer, loaded once per process. Strings of its special tokens are ordinary text."""
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
 def id_type(path: str) -> str:
     """Ids of a vocabulary of up to 65536 are kept in two bytes, of larger ones in four."""
-    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+    return "<u2" if tokenizer_of(path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
 def _tokenise(path: str, end_id: int, kind: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        tokenizer = tokenizer_of(path)
         for batch in batches:
             for at in range(0, len(batch), AT_ONCE):
                 some = batch.iloc[at: at + AT_ONCE]

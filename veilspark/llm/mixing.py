@@ -136,8 +136,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     plan = checkpoint(plan.join(cut, F.col("source_").eqNullSafe(F.col("c_")), "left").drop("c_"))
     named = {"_id": F.col(key).cast("string"), "_bin": bin_of}
     mine = F.struct(*(c.alias(f"o{i}") for i, c in enumerate(order)))
-    # no bin: the whole rest fits, which is a rest of zero or a complete pass
-    part = (F.when(F.col("bin_").isNull(), F.col("rest") > 0)
+    # no bin: the rest is all of the source
+    part = (F.when(F.col("rest") <= 0, F.lit(False)).when(F.col("bin_").isNull(), F.lit(True))
             .otherwise((F.col("_bin") < F.col("bin_")) | ((F.col("_bin") == F.col("bin_")) & F.coalesce(mine <= F.col("end"), F.lit(False)))))
     out = _with_source(rows.withColumns(named), plan, F.col("_key")).withColumn(
         "passes", F.col("full") + part.cast("bigint"))

@@ -63,7 +63,7 @@ def fingerprint_of(texts: pd.Series) -> pd.Series:
 
 
 def parts_for(fingerprints: int) -> int:
-    """Into how many parts a fingerprint is cut for its tile; the links are the same for any number.
+    """Into how many parts, two or more, a fingerprint is cut for its tile; the links are the same for any number.
 
     More parts skip more of the comparisons and copy each tile to more neighbours.
     """

@@ -9,6 +9,7 @@ prefix is scored once. Counts at the ends of words are stored and summed by docu
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
@@ -129,11 +130,12 @@ def token_counts(docs: DataFrame, costs: Callable[[], dict[str, int]], text: str
             yield pd.DataFrame(out, columns=COUNTS.names)
 
     docs = clear_of(docs, *COUNTS.names)
-    counted = F.pandas_udf(run, COUNTS, F.PandasUDFType.SCALAR_ITER)
+    counted = F.pandas_udf(run, COUNTS)
     return docs.withColumn("_counts", counted(F.col(text))).select(*docs.columns, "_counts.*")
 
 
+@functools.cache
 def public_costs(name: str = VOCABULARY) -> dict[str, int]:
-    """Costs from a file of the public tokenizers."""
+    """Costs from a file of the public tokenizers, worked out once per process."""
     import public_tokenizers
     return vocabulary(public_tokenizers.path(name))

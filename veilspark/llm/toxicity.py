@@ -79,7 +79,8 @@ def _marks(chosen: frozenset[str] | None):
             for h, text in zip(batch["h"], batch["text"], strict=True):
                 marks = marks_of(words_of(text))
                 marks = sorted(marks if chosen is None else marks & chosen)
-                yield pd.DataFrame({"h": [h] * len(marks), "mark": marks}).astype({"h": "int64"})
+                if marks:
+                    yield pd.DataFrame({"h": [h] * len(marks), "mark": marks})
     return run
 
 
@@ -159,7 +160,7 @@ def _features_udf(lexicon: Iterable[str]):
         known: dict[str, bool] = {}
         for texts in batches:
             yield pd.Series([features(t, chosen, known=known) for t in texts])
-    return F.pandas_udf(run, T.ArrayType(T.DoubleType()), F.PandasUDFType.SCALAR_ITER)
+    return F.pandas_udf(run, T.ArrayType(T.DoubleType()))
 
 
 def fold(key) -> object:

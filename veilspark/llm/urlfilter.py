@@ -117,6 +117,6 @@ def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str, st
                             rule[1] if rule else "block" if reject else "allow", strict, soft))
             yield pd.DataFrame(out, columns=ADDED.names)
 
-    judged = F.pandas_udf(run, ADDED, F.PandasUDFType.SCALAR_ITER)
+    judged = F.pandas_udf(run, ADDED)
     pages = clear_of(pages, *(n for n in ADDED.names if n != url))
     return pages.withColumn("_judged", judged(F.col(url))).select(*pages.columns, "_judged.*")
