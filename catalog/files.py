@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import files as fx
 from veilspark.operators import inventory as inv
-from veilspark.session import spread
+from veilspark.session import scratch, spread
 from veilspark.sources.documents import oversized, redacted_name
+from veilspark.sources.documents import read_documents as documents_of
 from veilspark.sources.tables import format_column
 
 from .base import documents, query, table
@@ -98,11 +99,18 @@ def found_files(spark, sf_dir):
                           min_size=500, max_size=20000).select("path")
 
 
-@query("select doc_id, case doc_id % 5 when 0 then 'utf-8-sig' when 1 then 'utf-16-le' when 2 then 'utf-16-be' else 'utf-8' end as encoding from documents")
+ASCII = "regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')"
+
+
+@query(f"""select doc_id, case doc_id % 8 when 0 then 'utf-8-sig' when 1 then 'utf-16-le' when 2 then 'utf-16-be' when 5 then 'gbk'
+ when 6 then case when length({ASCII}) % 2 = 1 then 'utf-16' else 'latin-1' end else 'utf-8' end as encoding from documents""")
 def detected_encodings(spark, sf_dir):
-    """Encodings told by byte order marks and UTF-8 validity."""
-    content = ("CASE doc_id % 5 WHEN 0 THEN concat(X'EFBBBF', encode(text, 'UTF-8')) WHEN 1 THEN concat(X'FFFE', encode(text, 'UTF-16LE')) "
-               "WHEN 2 THEN concat(X'FEFF', encode(text, 'UTF-16BE')) WHEN 3 THEN X'' ELSE encode(text, 'UTF-8') END")
+    """Encodings told by byte order marks, by UTF-8 validity, and by trying others."""
+    ascii_text = "regexp_replace(text, '[^\\\\x00-\\\\x7F]', '')"
+    content = ("CASE doc_id % 8 WHEN 0 THEN concat(X'EFBBBF', encode(text, 'UTF-8')) WHEN 1 THEN concat(X'FFFE', encode(text, 'UTF-16LE')) "
+               "WHEN 2 THEN concat(X'FEFF', encode(text, 'UTF-16BE')) WHEN 3 THEN X'' "
+               f"WHEN 5 THEN concat(X'C4E3BAC3', CAST({ascii_text} AS BINARY)) WHEN 6 THEN concat(X'FF', CAST({ascii_text} AS BINARY)) "
+               "ELSE encode(text, 'UTF-8') END")
     raw = documents(spark, sf_dir).select("doc_id", F.expr(content).alias("content"))
     return inv.with_encoding(raw).select("doc_id", "encoding")
 
@@ -117,7 +125,21 @@ def output_names(spark, sf_dir):
         F.expr(fx.audit_name("path", "'20240101_000000'")).alias("audit_name"))
 
 
-@query()
+SIZE_SQL = "case when length < 1024 then length || ' B' when length < 1048576 then printf('%.2f KiB', length / 1024.0::double) else printf('%.2f MiB', length / 1048576.0::double) end"
+
+
+@query(f"""select path, directory, filename, left(filename, length(filename) - length(extension)) as stem, extension,
+ regexp_extract(directory, '([^/]*)$', 1) as parent_dir_name, {FORMAT_SQL} as format, length, {SIZE_SQL} as size, sha256(text) as hash, 'utf-8' as encoding,
+ count(*) over (partition by text) as copies, path = min(path) over (partition by text) as is_first from {PARTS} p""")
 def file_inventory(spark, sf_dir):
-    """The table files themselves: format, size, hash, encoding, copies."""
-    return inv.inventory(inv.list_files(spark, sf_dir, glob="*.parquet"))
+    """Documents as files: path parts, format, size, hash, encoding, copies."""
+    return inv.inventory(_files(spark, sf_dir).drop("doc_id"))
+
+
+@query("select doc_id, text || chr(10) as text, strlen(text) + 1 as length, 'utf-8' as encoding, 'read' as status from documents")
+def read_documents(spark, sf_dir):
+    """Documents written as a tree of text files, found and read again."""
+    path = scratch(spark, "tree")
+    documents(spark, sf_dir).write.partitionBy("doc_id").text(path)
+    doc_id = F.regexp_extract("path", "doc_id=([0-9]+)/", 1).cast("bigint").alias("doc_id")
+    return documents_of(spark, path).select(doc_id, "text", "length", "encoding", "status")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from veilspark.functions.spans import overlaps_loosely, overlaps_strictly, redact
 from veilspark.functions.detectors import parse_model_findings
 from veilspark.operators import audit, chunking, overlap, report
-from veilspark.operators.detect import explode_findings, marked_findings, raw_findings, scan, scan_with_model
-from veilspark.session import spread
+from veilspark.operators.detect import explode_findings, marked_findings, model_replies, raw_findings, scan, scan_with_model
+from veilspark.session import checkpoint, scratch, spread
 from veilspark.sources.documents import findings_export, redacted_documents
 from veilspark.sources.tables import row_text
 
@@ -120,8 +120,9 @@ select quality, toxic, count(*) as documents, count(*) filter (where n > 0) as w
 from labels join per on per.k = labels.doc_id group by all""".lstrip("\n")))
 def labelled_report(spark, sf_dir):
     """Findings by the labels some documents carry; labelled documents without findings count."""
-    per = report.document_report(scan(documents(spark, sf_dir), "text"), "doc_id")
-    return (table(spark, sf_dir, "labels").join(per, "doc_id").groupBy("quality", "toxic").agg(
+    labelled = documents(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left_semi")
+    per = report.document_report(scan(labelled, "text"), "doc_id").join(table(spark, sf_dir, "labels"), "doc_id")
+    return (per.groupBy("quality", "toxic").agg(
         F.count(F.lit(1)).alias("documents"), F.count_if(F.col("total") > 0).alias("with_findings"),
         F.sum("total").alias("findings")))
 
@@ -376,8 +377,53 @@ select strftime(epoch_ms((1704067200 + k) * 1000), '%Y-%m-%d %H:%M:%S') as date,
  cast(n as integer) as total_findings, 'regex' as method, (select count(*) from per) as of_total
 from per order by k desc limit 10""".lstrip("\n")))
 def audit_recent(spark, sf_dir):
-    """The ten newest audit records, and how many there are."""
-    return audit.recent_audits(_audits(spark, sf_dir))
+    """The ten newest records of an audit table, and how many there are; documents are scanned once."""
+    path = scratch(spark, "audits")
+    audit.append_audit(_audits(spark, sf_dir), path)
+    return audit.recent_audits(spark.read.parquet(path))
+
+
+AUDITED = """
+, per as (select k, count(*) as n from kept group by k)
+select epoch_ms((1704067200 + per.k) * 1000) as timestamp, '/in/doc_' || per.k || '.txt' as file, 'block' as redaction_style,
+ cast(n as integer) as total_findings, length(src.text)::integer as scanned_chars, date '2024-01-01' + (per.k // 86400)::integer as date,
+ 2::bigint as appended, 2::bigint as audit_ids from per join src on src.k = per.k"""
+
+
+@query(lambda: o.scan("documents", "doc_id", "text", AUDITED.lstrip("\n")))
+def audit_log_roundtrip(spark, sf_dir):
+    """Audit records appended in two runs to a table by date, and read back."""
+    path, records = scratch(spark, "audits"), checkpoint(_audits(spark, sf_dir))
+    audit.append_audit(records, path)
+    audit.append_audit(records, path)
+    return (spark.read.parquet(path).groupBy("timestamp", "file", "redaction_style", "total_findings", "scanned_chars", "date")
+            .agg(F.count(F.lit(1)).alias("appended"), F.count_distinct("audit_id").alias("audit_ids")))
+
+
+@query(lambda: o.scan("documents", "doc_id", "text", """
+select k as doc_id, string_agg(type, ',' order by n) as types from (
+  select k, type, min(n) as n from kept group by k, type) t group by k""".lstrip("\n")))
+def types_in_order(spark, sf_dir):
+    """The types found in a document, each once, in order of their first finding."""
+    found = scan(documents(spark, sf_dir), "text").where(F.size("findings") > 0)
+    return found.select("doc_id", F.expr("array_join(array_distinct(transform(findings, f -> f.type)), ',')").alias("types"))
+
+
+def _ask(text: str) -> str:
+    """Stands for a model: what looks like a greeting of a name is a person."""
+    import json
+    import re
+    hits = [(m.start(), m.end(), m[0]) for m in re.finditer(r"write to user\d+", text)]
+    return json.dumps({"findings": [{"category": "PERSON_NAME", "text": t, "start": a, "end": b, "confidence": 0.9} for a, b, t in hits]})
+
+
+@query(lambda: f"""select contact_id, 'person_name' as type, regexp_extract(remark, 'write to user[0-9]+') as match,
+ 'llm' as method from {CONTACTS} c where remark like 'write to user%'""")
+def contextual_hook(spark, sf_dir):
+    """A detector of one's own, called on every text, joins the patterns; it wins where both start, or comes first."""
+    asked = model_replies(contacts(spark, sf_dir).select("contact_id", "remark"), "remark", _ask)
+    found = explode_findings(scan_with_model(asked, "remark", "reply"), "contact_id")
+    return found.select("contact_id", "type", "match", "method")
 
 
 @query(lambda: o.scan("documents", "doc_id", "text",

@@ -48,11 +48,11 @@ def find_files(files: DataFrame, root: str, max_depth: int | None = None, exclud
     return out
 
 
-def scannable(files: DataFrame, max_mb: float = MAX_FILE_MB,
+def scannable(files: DataFrame, max_mb: float | None = MAX_FILE_MB,
               suffixes: Sequence[str] = SCANNED_SUFFIXES) -> DataFrame:
-    """Files a scan takes: known suffix, not larger than the limit."""
-    return files.where(F.lower(F.expr(fx.extension("path"))).isin(*suffixes)) \
-        .where(F.col("length") <= int(max_mb * 1024 * 1024))
+    """Files a scan takes: known suffix, not larger than the limit, if there is one."""
+    known = files.where(F.lower(F.expr(fx.extension("path"))).isin(*suffixes))
+    return known if max_mb is None else known.where(F.col("length") <= int(max_mb * 1024 * 1024))
 
 
 def describe_paths(df: DataFrame, path: str = "path") -> DataFrame:

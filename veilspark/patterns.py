@@ -37,7 +37,7 @@ class Pattern:
 PATTERNS: tuple[Pattern, ...] = (
     Pattern("CONTACT", "email",
             r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
-            literal="@", word_start=False, letters=True),
+            literal="@", word_start=False),
     Pattern("CONTACT", "phone_us",
             r"\b(?:\+?1[-.\s]?)?\(?[2-9]\d{2}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b",
             first=r"[+(1-9]", word_start=False, digits=10),

@@ -5,20 +5,20 @@ from __future__ import annotations
 from .functions.masks import DELETE, PARTIAL, PRESERVE, SCRUB, TOKENIZE
 
 # Column names that are sensitive whatever they hold.
-SENSITIVE_NAMES = frozenset("""
-full_name first_name last_name name person_name
-email email_address e_mail mail
-phone phone_number mobile cell fax
-ssn social_security social_security_number national_id
-passport passport_number
-credit_card credit_card_number cc_number card_number
-salary income wage bank_account account_number iban swift routing_number
-address street_address home_address postal_address zip_code postal_code zipcode
-dob date_of_birth birth_date
-ip_address ip mac_address
-driver_license dl_number
-notes comments medical_history health_info
-""".split())
+SENSITIVE_NAMES = frozenset((
+    "full_name", "first_name", "last_name", "name", "person_name",
+    "email", "email_address", "e_mail", "mail",
+    "phone", "phone_number", "mobile", "cell", "fax",
+    "ssn", "social_security", "social_security_number", "national_id",
+    "passport", "passport_number",
+    "credit_card", "credit_card_number", "cc_number", "card_number",
+    "salary", "income", "wage", "bank_account", "account_number", "iban", "swift", "routing_number",
+    "address", "street_address", "home_address", "postal_address", "zip_code", "postal_code", "zipcode",
+    "dob", "date_of_birth", "birth_date",
+    "ip_address", "ip", "mac_address",
+    "driver_license", "dl_number",
+    "notes", "comments", "medical_history", "health_info",
+))
 
 # Masking level per column name and preset.
 PRESETS: dict[str, dict[str, str]] = {

@@ -22,19 +22,29 @@ def _decode(content: pd.Series, encoding: pd.Series) -> pd.Series:
                       for raw, enc in zip(content, encoding)])
 
 
-def read_documents(spark: SparkSession, path: str, max_mb: float = MAX_FILE_MB,
+#: suffixes of files that hold no plain text
+BINARY_SUFFIXES = (".pdf", ".docx", ".xlsx", ".xls")
+
+
+def read_documents(spark: SparkSession, path: str, max_mb: float | None = None,
                    suffixes: Sequence[str] = SCANNED_SUFFIXES) -> DataFrame:
-    """``(path, length, encoding, text)`` for every scannable file of a tree.
+    """``(path, length, encoding, text, status)`` for every file of a tree with a known suffix.
 
-    UTF-8 files are read inside the JVM; other encodings are found out and
-    decoded in Arrow batches. Larger files than allowed stay out; see
-    ``oversized``.
+    Status is ``read``, ``binary format``, or ``too large`` where ``max_mb`` sets a limit; without a
+    text the others are still listed, and their content isn't read. UTF-8 files are read inside the JVM;
+    other encodings are found out and decoded in Arrow batches.
     """
-    files = with_encoding(scannable(list_files(spark, path), max_mb, suffixes))
+    listed = scannable(list_files(spark, path), None, suffixes)
+    binary = F.lower(F.expr(extension("path"))).isin(*BINARY_SUFFIXES)
+    large = F.lit(False) if max_mb is None else F.col("length") > int(max_mb * 1024 * 1024)
+    status = F.when(binary, "binary format").when(large, "too large").otherwise("read")
+    left = listed.where(binary | large).select("path", "length", F.lit(None).cast("string").alias("encoding"),
+                                               F.lit(None).cast("string").alias("text"), status.alias("status"))
+    files = with_encoding(listed.where(~(binary | large)))
     utf8 = F.col("encoding") == "utf-8"
     text = F.when(utf8, F.col("content").cast("string")).otherwise(
         _decode(F.when(~utf8, F.col("content")), F.col("encoding")))
-    return files.select("path", "length", "encoding", text.alias("text"))
+    return files.select("path", "length", "encoding", text.alias("text"), F.lit("read").alias("status")).union(left)
 
 
 def oversized(files: DataFrame, max_mb: float = MAX_FILE_MB) -> DataFrame:
