@@ -13,7 +13,7 @@ def quote(s: str) -> str:
 
 
 def re2(p) -> str:
-    return quote(("(?i)" if p.ignore_case else "") + p.regex)
+    return quote(p.regex)
 
 
 def ascii_words(text: str) -> str:
