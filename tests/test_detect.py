@@ -70,6 +70,16 @@ def test_long_dense_text(spark):
     assert len(masked) == len(text) and "@" not in masked
 
 
+def test_ranks_of_cells_agree(spark):
+    from veilspark.functions.celltypes import cell_ranks, rank_of
+    texts = _random_texts(400, 8) + ["1@2.||3", "", " ", None, "4111-1111-1111-1111", "x" * 500 + " a@b.com"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", F.expr(cell_type("t")).alias("kind"), cell_ranks([F.col("t"), F.lower("t")]).alias("r")).collect():
+        rank = rank_of(r["t"])
+        assert r["kind"] == plain.cell_type(r["t"]) == (PATTERNS[rank].type if rank >= 0 else None), r["t"]
+        assert r["r"]["c0"] == rank and r["r"]["c1"] == rank_of(r["t"].lower() if r["t"] else r["t"])
+
+
 def test_custom_patterns(one):
     mine = (*PATTERNS, Pattern("STAFF", "badge", r"\bBDG-\d{4}\b"))
     assert one(scan_text("t", mine), t="see BDG-1234")[0]["type"] == "badge"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .redaction import partial_redaction
-from .sql import (BLOCK, aggregate, blocks, case, exists, filter_, let, lit, running, struct,
+from .sql import (BLOCK, blocks, case, exists, filter_, let, lit, running, struct,
                   transform, transform_indexed)
 
 FINDING_FIELDS = ("category", "type", "match", "start", "end", "method", "confidence")
@@ -53,22 +53,35 @@ def mark_kept(findings: str, short_spans: bool = False) -> str:
 
     A finding is kept iff it does not overlap any finding kept before it. Spans
     of three or more characters only need the furthest end kept so far. With
-    ``short_spans`` (a model may report one or two characters) the kept spans
-    themselves are compared.
+    ``short_spans`` (a model may report one or two characters) the furthest ends of
+    spans that start one, two and three characters back are told apart. Either way one
+    pass over the findings is enough.
     """
     def step(reach: str, f: str) -> tuple[str, str]:
         keep = f"{f}.start >= {reach} - {TOLERANCE}"
         return f"IF({keep}, greatest({reach}, {f}.`end`), {reach})", finding(f, kept=keep)
 
-    def push(acc: str, f: str) -> str:
-        clash = exists(acc, lambda k: f"{k}.kept AND " + overlaps_loosely(
-            f"{f}.start", f"{f}.`end`", f"{k}.start", f"{k}.`end`"))
-        return f"concat({acc}, array(CAST({finding(f, kept=f'NOT {clash}')} AS {MARKED})))"
+    # r0 to r3: the furthest end of spans kept that start at s or before, at s - 1 or before, and so on
+    state = "struct<s:int,r0:int,r1:int,r2:int,r3:int>"
+
+    def short_step(st: str, f: str) -> tuple[str, str]:
+        moved = f"({f}.start - {st}.s)"
+
+        def reach(i: int) -> str:
+            older = " ".join(f"WHEN {i - k} THEN {st}.r{k}" for k in range(1, i + 1))
+            return f"IF({moved} >= {i}, {st}.r0, CASE {moved} {older} END)" if i else f"{st}.r0"
+        # a span of one or two characters only clashes with spans that start before it, or further back
+        limit = (f"CASE WHEN {f}.`end` - {f}.start > {TOLERANCE} THEN {reach(0)} WHEN {f}.`end` - {f}.start = 2 THEN {reach(1)} "
+                 f"WHEN {f}.`end` - {f}.start = 1 THEN {reach(2)} ELSE {reach(3)} END")
+        keep = f"{f}.start >= {limit} - {TOLERANCE}"
+        following = struct(s=f"{f}.start", r0=f"IF({keep}, greatest({st}.r0, {f}.`end`), {st}.r0)", r1=reach(1), r2=reach(2), r3=reach(3))
+        return following, finding(f, kept=keep)
 
     def resolve(fs: str) -> str:
         untouched = transform(fs, lambda f: f"CAST({finding(f, kept='true')} AS {MARKED})")
-        fold = (aggregate(fs, f"CAST(array() AS array<{MARKED}>)", push) if short_spans
-                else running(fs, str(-(1 << 30)), step, MARKED))
+        low = str(-(1 << 30))
+        none = struct(s=low, r0=low, r1=low, r2=low, r3=low)
+        fold = running(fs, none, short_step, MARKED, state) if short_spans else running(fs, low, step, MARKED)
         return f"IF({_neighbours_clash(fs)}, {fold}, {untouched})"
 
     return let(findings, resolve)

@@ -84,14 +84,15 @@ def blocks(items: str, size: int = BLOCK) -> str:
     return f"IF(size({items}) > 0, {cut}, slice(array({items}), 1, 0))"
 
 
-def running(items: str, start: str, step: Callable[[str, str], tuple[str, str]], out_type: str) -> str:
+def running(items: str, start: str, step: Callable[[str, str], tuple[str, str]], out_type: str,
+            cursor_type: str = "INT") -> str:
     """Left-to-right scan: ``step(cursor, item) -> (next cursor, output)``.
 
-    Returns the outputs in order. ``cursor`` is an INT. Appends happen inside
+    Returns the outputs in order. Appends happen inside
     blocks, so the cost stays close to linear for very long arrays.
     """
     def state(cursor: str, out: str) -> str:
-        return struct(cursor=f"CAST({cursor} AS INT)", out=out)
+        return struct(cursor=f"CAST({cursor} AS {cursor_type})", out=out)
 
     def push(acc: str, item: str) -> str:
         cursor, out = step(f"{acc}.cursor", item)

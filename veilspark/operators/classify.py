@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.celltypes import typer
 from ..functions.detectors import cell_type, has_pii
 from ..functions.masks import is_filled
 from ..functions.sql import name
-from ..patterns import PATTERNS, Pattern
+from ..patterns import PATTERNS, SPACES, Pattern
 from ..policy import is_sensitive_name
 
 # Share of matching cells that makes a column sensitive, rows
@@ -84,15 +88,36 @@ def _filled():
 
 
 def _count_all(rows: DataFrame, columns: Sequence[T.StructField], patterns: Sequence[Pattern]) -> DataFrame:
-    """Counts per column and type, combined before the shuffle; what moves is a row per column, type and task."""
-    typed = _cells(rows, columns).withColumn("filled", _filled()).withColumn("type", F.expr(cell_type("raw", patterns)))
-    per_type = typed.groupBy("column", "position", "by_name", "type").agg(
-        F.count_if("filled").alias("filled"), F.count(F.lit(1)).alias("n"))
-    rank = F.array_position(F.array(*[F.lit(p.type) for p in patterns]), F.col("type"))
-    most = F.max_by("type", F.when(F.col("type").isNotNull(), F.struct("n", (-rank).alias("rank"))))
-    return per_type.groupBy("column", "position", "by_name").agg(
-        F.sum(F.when(~F.col("by_name") & F.col("type").isNotNull(), F.col("n")).otherwise(0)).alias("hits"),
-        F.sum("filled").alias("filled"), most.alias("kind"))
+    """Counts per column and type. Tasks count their own cells; what moves is a row per column, type and task."""
+    chosen, n = tuple(patterns), len(columns)
+    blank = re.compile(f"[{''.join(SPACES)}]*")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        types = typer(chosen)
+        filled, total = np.zeros((n, len(chosen) + 1), np.int64), np.zeros((n, len(chosen) + 1), np.int64)
+        for batch in batches:
+            for i in range(n):
+                codes, values, ranks = types(batch[f"c{i}"])
+                each = np.bincount(codes[codes >= 0], minlength=len(values))
+                some = np.fromiter((blank.fullmatch(v) is None for v in values), bool, len(values))
+                np.add.at(total[i], ranks[:-1], each)
+                np.add.at(filled[i], ranks[:-1], each * some)
+        at = np.argwhere(total)
+        yield pd.DataFrame({"position": at[:, 0], "rank": at[:, 1], "n": total[total > 0], "filled": filled[total > 0]})
+
+    cells = rows.select(*[F.col(name(f.name)).cast("string").alias(f"c{i}") for i, f in enumerate(columns)])
+    per_type = cells.mapInPandas(count, "position int, rank int, n bigint, filled bigint").groupBy("position", "rank").agg(
+        F.sum("n").alias("n"), F.sum("filled").alias("filled"))
+    typed = F.col("rank") < len(chosen)
+    per_column = per_type.groupBy("position").agg(
+        F.sum(F.when(typed, F.col("n")).otherwise(0)).alias("found"), F.sum("filled").alias("filled"),
+        F.max_by("rank", F.when(typed, F.struct("n", (-F.col("rank")).alias("r")))).alias("rank"))
+    known = rows.sparkSession.createDataFrame(
+        [(i, f.name, is_sensitive_name(f.name)) for i, f in enumerate(columns)], "position int, column string, by_name boolean")
+    names = F.array(*[F.lit(p.type) for p in chosen])
+    return known.join(per_column, "position", "left").select(
+        "column", "position", "by_name", F.when(F.col("by_name"), 0).otherwise(F.coalesce("found", F.lit(0))).cast("bigint").alias("hits"),
+        F.coalesce("filled", F.lit(0)).alias("filled"), F.get(names, F.col("rank")).alias("kind"))
 
 
 def _count_sample(rows: DataFrame, columns: Sequence[T.StructField], patterns: Sequence[Pattern]) -> DataFrame:

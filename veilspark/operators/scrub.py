@@ -8,7 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.detectors import cell_type, scan_text
+from ..functions.celltypes import cell_ranks, type_name
+from ..functions.detectors import scan_text
 from ..functions.masks import DELETE, PRESERVE, TOKENIZE, apply_mask, is_filled
 from ..functions.spans import redact
 from ..functions.sql import let, lit, name, struct, transform
@@ -29,7 +30,8 @@ def scrub(df: DataFrame, levels: dict[str, str], token_key: str | None = None, d
     NULL and blank cells stay as they are; masked columns become strings. With
     ``type_from_column`` a cell without a detected type takes the one its
     column name stands for. With ``span_style`` only the detected spans are
-    redacted, in that style. Narrow: one projection, no shuffle.
+    redacted, in that style. Narrow: no shuffle. Cells are typed in Arrow batches, where a value
+    that repeats is typed once; masking is one projection.
 
     All columns of one level share one expression over an array of their cells,
     so the plan does not grow with the width of the table. (Expressions of their
@@ -51,15 +53,18 @@ def scrub(df: DataFrame, levels: dict[str, str], token_key: str | None = None, d
     for c in work:
         groups[levels[c]].append(c)
     out, found = df, {}
+    if not span_style:
+        out = df.withColumn("_ranks", cell_ranks([F.col(name(c)).cast("string") for c in work]))
+    rank = {c: "CAST(NULL AS TINYINT)" if span_style else f"_ranks.c{i}" for i, c in enumerate(work)}
     for n, (level, columns) in enumerate(sorted(groups.items())):
         def mask(cell: str, level: str = level) -> str:
             v = f"{cell}.v"
             if span_style:
                 body = redact(v, scan_text(v), span_style)
             else:
-                body = let(f"coalesce({cell_type(v)}, {cell}.fallback)", lambda kind: masked(v, kind, level))
+                body = let(f"coalesce({type_name(f'{cell}.rank')}, {cell}.fallback)", lambda kind: masked(v, kind, level))
             return f"IF({is_filled(v)}, {body}, {v})"
-        cells = ", ".join(struct(v=f"CAST({name(c)} AS STRING)", fallback=fallback[c]) for c in columns)
+        cells = ", ".join(struct(v=f"CAST({name(c)} AS STRING)", rank=rank[c], fallback=fallback[c]) for c in columns)
         out = out.withColumn(f"_masked_{n}", F.expr(transform(f"array({cells})", mask)))
         found.update({c: f"get(_masked_{n}, {i})" for i, c in enumerate(columns)})
     return out.select(*[F.expr(found.get(c, name(c))).alias(c) for c in kept])

@@ -18,6 +18,7 @@ from ..operators.vault import (VaultKey, build_vault, collisions, load_vault, op
 from ..policy import DEFAULT_PRESET
 from ..sources.documents import redacted_documents
 from ..sources.sqldump import read_sql_dump, write_sql_dump
+from ..session import checkpoint
 from ..sources.tables import read_csv, read_json, table_format, write_csv, write_json
 
 
@@ -48,15 +49,17 @@ class ScrubResult:
 def scrub_table(spark: SparkSession, source: str, target: str, preset: str = DEFAULT_PRESET,
                 password: str | None = None, fmt: str | None = None, audit_path: str | None = None,
                 order_by: str | None = None, sample_rows: int | None = None, digits: int = 4, type_from_column: bool = False,
-                levels: dict[str, str] | None = None) -> ScrubResult:
+                levels: dict[str, str] | None = None, **read_options) -> ScrubResult:
     """Classify, mask, write, and record what was done.
 
     Classification reads every row, unless ``sample_rows`` says how many; the scrub itself
     is one map-only pass that counts while it writes. Recoverable tokens need a
     password; their vault is written to ``target + '.vault'`` and checked before any masked row is
     written. A table without sensitive columns is copied as it is, whatever its format.
+    ``read_options`` go to the reader; ``quoted_newlines=False`` spares CSV the pass that looks for
+    records over several lines.
     """
-    df, fmt = read_table(spark, source, fmt)
+    df, fmt = read_table(spark, source, fmt, **read_options)
     if levels is None:
         levels = plan_levels(sensitive_columns(df, order_by=order_by, sample_rows=sample_rows), preset)
     key = None
@@ -101,8 +104,13 @@ def recover_table(spark: SparkSession, source: str, target: str, password: str,
 
 def scan_documents(documents: DataFrame, key: str, text: str = "text", style: str | None = None,
                    redacted_path: str | None = None, audit_path: str | None = None) -> DataFrame:
-    """Documents with their findings; on request also redacted copies and audit records."""
+    """Documents with their findings; on request also redacted copies and audit records, from one scan.
+
+    With either, scanned documents are first written to the shared folder.
+    """
     scanned = scan(documents, text)
+    if redacted_path or audit_path:
+        scanned = checkpoint(scanned)
     if redacted_path:
         redacted_documents(scanned, key, text, style=style or "block").write.parquet(redacted_path)
     if audit_path:
