@@ -42,7 +42,7 @@ def chunks_of(text: Column, window: int = WINDOW, divisor: int = DIVISOR) -> Col
         return F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (rolled(i) % divisor == 0))
 
     def cut(all_lines: Column) -> Column:
-        return let(ends(F.transform(all_lines, number)), lambda at: F.transform(
+        return let(let(F.transform(all_lines, number), ends), lambda at: F.transform(
             at, lambda e, i: let(F.when(i == 0, F.lit(0)).otherwise(F.get(at, i - 1) + 1), lambda s: F.struct(
                 s.alias("start"), (e - s + 1).alias("n"), F.slice(all_lines, s + 1, e - s + 1).alias("lines")))))
     return F.when(text.isNotNull(), let(lines, cut))
