@@ -36,6 +36,11 @@ def with_row_key(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                            "_k2": F.xxhash64(F.col(key), F.col(text))})
 
 
+def packed(df: DataFrame, *columns: str) -> DataFrame:
+    """Some columns, and the whole row as ``_row``, safe from columns an operator adds or drops."""
+    return df.select(*(F.col(f"`{c}`") for c in columns), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"))
+
+
 def clear_of(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns, in whatever case, whose names an operator is about to add."""
     taken = {n.lower() for n in names}

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import checkpoint
-from .common import clear_of, with_row_key
+from .common import packed, with_row_key
 
 SHINGLE = 3
 SEED = 42
@@ -96,7 +96,8 @@ def _compare(radius: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for left, right, same in zip(batch["a"], batch["b"], batch["same"], strict=True):
-                x, y = np.asarray(left, np.int64), np.asarray(right, np.int64)
+                # unsigned: numpy counts the bits of a negative number's absolute value
+                x, y = np.asarray(left, np.int64).view(np.uint64), np.asarray(right, np.int64).view(np.uint64)
                 rows, cols = [], []
                 for at in range(0, len(x), 256):
                     near = np.bitwise_count(x[at: at + 256, None] ^ y[None, :]) <= radius
@@ -111,7 +112,7 @@ def _compare(radius: int):
                 both = x if same else np.concatenate((x, y))
                 kept = list(_forest(i, j if same else j + len(x), len(both)))
                 a, b = np.array(kept).T
-                yield pd.DataFrame({"a": both[a], "b": both[b]})
+                yield pd.DataFrame({"a": both[a].view(np.int64), "b": both[b].view(np.int64)})
     return run
 
 
@@ -183,13 +184,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
 def one_per_group(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Documents without their near copies, with the columns they had: of each group the row of the smallest
     id stays, of several such rows one of the largest text hash; rows without an id yield to those with one."""
-    columns = docs.columns
-    keyed = with_row_key(clear_of(docs, "_k1", "_k2"))
+    keyed = with_row_key(packed(docs, "doc_id", "text"))
     fps = checkpoint(keyed.select("doc_id", "_k1", "_k2", fingerprint_of(F.col("text")).alias("fp")))
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("_k1"), (-F.col("_k2").cast("decimal(20,0)")).alias("h"), F.col("_k2"))
     prints = checkpoint(fps.groupBy("fp").agg(F.min(order).alias("first")))
     roots = components(links(prints, radius)).select(F.col("node").alias("fp"), "root")
     firsts = (prints.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root"))
               .agg(F.min("first").alias("first")).select("first._k1", "first._k2"))
-    return (keyed.join(firsts, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
-            .select(*(F.col(f"`{c}`") for c in columns)))
+    return keyed.join(firsts, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).select("_row.*")
