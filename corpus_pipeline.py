@@ -10,17 +10,16 @@ repeated rows, more columns and no rows at all as their operators do.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from veilspark.llm import decontam, idcodec, mixing, simhash, toxicity
-from veilspark.llm.common import read
+from veilspark.llm.common import packed, read
 from veilspark.session import scratch
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learnt from labels, doesn't reject."""
-    scored = toxicity.judge(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"))
-    return scored.where("predicted = 0").select(*(scored[f"`{c}`"] for c in docs.columns))
+    scored = toxicity.judge(packed(docs, "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return scored.where("predicted = 0").select("_row.*")
 
 
 def keep_one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,13 +29,13 @@ def keep_one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passages to speak of."""
-    judged = decontam.judge(docs, read(spark, sf_dir, "benchmark"))
-    return judged.where(~F.col("contaminated")).select(*(judged[f"`{c}`"] for c in docs.columns))
+    judged = decontam.judge(packed(docs, "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
+    return judged.where("not contaminated").select("_row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return mixing.copies(mixing.mix(docs), docs.columns)
+    return mixing.copies(mixing.mix(packed(docs, "doc_id", "text", "source"))).select("_row.*")
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -119,12 +119,12 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     bins = binned.groupBy("_source", "_bin").agg(F.sum("size").alias("n"))
     run = Window.partitionBy("_source").orderBy("_bin")
     bins = bins.withColumn("upto", F.sum("n").over(run))
-    at = (bins.join(plan, F.col("_source").eqNullSafe(F.col("source_")))
-          .where("upto - n <= rest and upto > rest")
-          .select("source_", F.col("_bin").alias("bin_"), (F.col("upto") - F.col("n")).alias("base"), "rest"))
+    at = checkpoint(bins.join(plan, F.col("_source").eqNullSafe(F.col("source_")))
+                    .where("upto - n <= rest and upto > rest")
+                    .select("source_", F.col("_bin").alias("bin_"), (F.col("upto") - F.col("n")).alias("base"), "rest"))
     # inside it, the row at which it ends; ties in the order of id, size and weight
     order = [F.col("_key"), F.col("_id").isNull(), F.length("_id"), F.col("_id"), F.col("size"), F.col("_weight")]
-    inside = binned.join(at, F.col("_source").eqNullSafe(F.col("source_")) & (F.col("_bin") == F.col("bin_")))
+    inside = _with_source(binned, at, F.col("_key")).where("_bin = bin_")
     within = Window.partitionBy("source_").orderBy(*order)
     # the last row that is taken
     last = (inside.withColumn("upto", F.col("base") + F.sum("size").over(within))
@@ -145,7 +145,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
             .select(*(F.col(f"`{c}`") for c in docs.columns), "size", "source_size", "target", "passes", "taken"))
 
 
-def copies(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
+def copies(mixed: DataFrame) -> DataFrame:
     """The mix itself: every row as often as it is taken."""
-    return (mixed.where("passes > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("passes"))))
-            .select(*(F.col(f"`{c}`") for c in columns)))
+    each = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("passes")))
+    return mixed.where("passes > 0").select(*(F.col(f"`{c}`") for c in mixed.columns), each.alias("copy"))
