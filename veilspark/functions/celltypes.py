@@ -88,7 +88,7 @@ def cell_ranks(columns: Sequence[Column], patterns: Sequence[Pattern] = PATTERNS
         types = typer(chosen)
         for batch in batches:
             out = {}
-            for i, cells in enumerate(batch):
+            for i, cells in enumerate((batch,) if isinstance(batch, pd.Series) else batch):
                 codes, _, ranks = types(cells)
                 out[f"c{i}"] = ranks[codes]
             yield pd.DataFrame(out)
