@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from veilspark.llm import idcodec, tokencount
+from veilspark.llm import bytelevel, idcodec, tokencount
 
 
 def slow_count(word, costs):
@@ -107,6 +107,24 @@ def test_files_hold_what_the_tokenizer_says(spark, odd_docs, no_docs):
     assert idcodec.digest(idcodec.round_trip(no_docs)).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab 'st\n\t\x1c\x85\xa0é.,!19<|endoftext|>世ß\u0301 ", max_size=24) | st.text(max_size=12))
+def test_pieces_say_what_the_tokenizer_says(text):
+    import public_tokenizers
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert bytelevel.PATTERN == public_tokenizers.PATTERN
+    assert np.frombuffer(bytelevel.encoder_of(path, "<u4")(text), "<u4").tolist() == \
+        bytelevel.tokenizer_of(path).encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_go_whole():
+    import public_tokenizers
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = bytelevel.encoder_of(path, "<u4")
+    assert not encoder.by_pieces
+    assert np.frombuffer(encoder("Two  Words"), "<u4").tolist() == bytelevel.tokenizer_of(path).encode("Two  Words", add_special_tokens=False).ids
+
+
 def test_rows_without_ids_and_texts(spark):
     docs = spark.createDataFrame([(None, None), (None, "a"), (None, None)], "doc_id long, text string")
     got = sorted((r.start, r.n_tokens) for r in idcodec.digest(idcodec.round_trip(docs)).collect())

@@ -13,7 +13,6 @@ are in order of id; ``start`` counts the ids before the block in its file.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from itertools import groupby, islice
 
@@ -24,9 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
 
 from ..session import scratch
+from .bytelevel import encoder_of, tokenizer_of
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -35,8 +34,8 @@ LONGEST = 16
 BLOCK_IDS = 1 << 16
 #: ids between two bit offsets
 EVERY = 512
-#: texts given to the tokenizer at once
-AT_ONCE = 64
+#: documents handled at once
+AT_ONCE = 256
 #: blocks decoded side by side
 BLOCKS_AT_ONCE = 16
 
@@ -49,14 +48,6 @@ BLOCKS = T.StructType([
 
 # -- tokenising
 
-@functools.cache
-def tokenizer_of(path: str) -> Tokenizer:
-    """A tokenizer, loaded once per process. Strings of its special tokens are ordinary text."""
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
-
-
 def id_type(path: str) -> str:
     """Ids of a vocabulary of up to 65536 are kept in two bytes, of larger ones in four."""
     return "<u2" if tokenizer_of(path).get_vocab_size() <= 1 << 16 else "<u4"
@@ -64,12 +55,11 @@ def id_type(path: str) -> str:
 
 def _tokenise(path: str, end_id: int, kind: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = tokenizer_of(path)
+        encode, end = encoder_of(path, kind), np.array([end_id], kind).tobytes()
         for batch in batches:
             for at in range(0, len(batch), AT_ONCE):
                 some = batch.iloc[at: at + AT_ONCE]
-                found = tokenizer.encode_batch_fast([t or "" for t in some["text"]], add_special_tokens=False)
-                yield pd.DataFrame({"doc": some["doc"], "ids": [np.array([*e.ids, end_id], kind).tobytes() for e in found]})
+                yield pd.DataFrame({"doc": some["doc"], "ids": [encode(t or "") + end for t in some["text"]]})
     return run
 
 
@@ -148,12 +138,17 @@ def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, every: int = E
     ends = np.cumsum(sizes)
     starts = ends - sizes
     total = int(ends[-1]) if len(ids) else 0
-    out = np.zeros(total // 8 + 4, np.int64)
-    shifted = codes[ids] << (32 - sizes - (starts & 7))  # a code of 16 bits and a shift of 7 reach into 3 bytes
-    at = starts >> 3
-    for k in range(3):
-        out += np.bincount(at + k, weights=(shifted >> (24 - 8 * k)) & 255, minlength=len(out)).astype(np.int64)
-    return out[: (total + 7) // 8].astype(np.uint8).tobytes(), starts[::every]
+    words = np.zeros(total // 64 + 2, np.uint64)
+    if total:
+        # codes are added up by the 64-bit word they begin in; at most one of a word reaches into the next
+        word, over = starts >> 6, (starts & 63) + sizes - 64
+        code = codes[ids].astype(np.uint64)
+        main = code << np.maximum(-over, 0).astype(np.uint64) >> np.maximum(over, 0).astype(np.uint64)
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        words[word[first]] = np.add.reduceat(main, first)
+        across = np.flatnonzero(over > 0)
+        words[word[across] + 1] += code[across] << (64 - over[across]).astype(np.uint64)
+    return words.astype(">u8").tobytes()[: (total + 7) // 8], starts[::every]
 
 
 def unpack(blocks: list[tuple[bytes, np.ndarray, int]], table: tuple[np.ndarray, np.ndarray],
@@ -195,15 +190,11 @@ def _count(kind: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(0, np.int64)
         for batch in batches:
-            for raw in batch["ids"]:
-                ids = np.frombuffer(raw, kind)
-                if len(ids) and int(ids.max()) >= len(counts):
-                    counts = np.pad(counts, (0, int(ids.max()) + 1 - len(counts)))
-                if len(ids) < 1 << 12:
-                    np.add.at(counts, ids, 1)
-                else:
-                    found = np.bincount(ids)
-                    counts[: len(found)] += found
+            for at in range(0, len(batch), AT_ONCE):
+                found = np.bincount(np.frombuffer(b"".join(batch["ids"].iloc[at: at + AT_ONCE]), kind))
+                if len(found) > len(counts):
+                    counts = np.pad(counts, (0, len(found) - len(counts)))
+                counts[: len(found)] += found
         at = np.flatnonzero(counts)
         yield pd.DataFrame({"id": at, "n": counts[at]})
     return run
@@ -227,7 +218,7 @@ def _encode(lengths: np.ndarray, block_ids: int, every: int, kind: str):
         for batch in batches:
             for doc, raw in zip(batch["doc"], batch["ids"], strict=True):
                 docs.append(None if doc is None else int(doc))
-                parts.append(np.frombuffer(raw, kind).astype(np.int64))
+                parts.append(np.frombuffer(raw, kind))
                 held += len(parts[-1])
                 if held >= block_ids:
                     yield close()
