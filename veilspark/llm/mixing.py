@@ -26,7 +26,7 @@ from .common import WORD, clear_of
 WEIGHTS = (5, 2, 1)
 #: a source is passed at most this many times
 MOST_PASSES = 3
-BINS = 1 << 14
+BINS = 1 << 12
 #: rows of a source are dealt over so many tasks where its plan is joined by a shuffle
 SALTS = 64
 SEED = "mix"
