@@ -21,8 +21,8 @@ from tokenizers.models import BPE
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: characters from here on go through the tokenizer whole
 RARE = "ɐ"
-#: pieces a process remembers
-REMEMBERED = 300_000
+#: pieces a process remembers, some 120 MB of them
+REMEMBERED = 1_000_000
 LONGEST_REMEMBERED = 64
 MARKS = ",.;:!?"
 

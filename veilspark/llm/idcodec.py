@@ -134,7 +134,7 @@ def decoding_table(lengths: np.ndarray, longest: int = LONGEST) -> tuple[np.ndar
 
 def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, every: int = EVERY) -> tuple[bytes, np.ndarray]:
     """The bits of ids, most significant first, and the bit offset of every ``every``-th id."""
-    sizes = lengths[ids]
+    sizes = lengths[ids].astype(np.int64)
     ends = np.cumsum(sizes)
     starts = ends - sizes
     total = int(ends[-1]) if len(ids) else 0
@@ -201,7 +201,7 @@ def _count(kind: str):
 
 
 def _encode(lengths: np.ndarray, block_ids: int, every: int, kind: str):
-    codes = canonical(lengths)
+    codes, short = canonical(lengths).astype(np.uint32), lengths.astype(np.uint8)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         file = TaskContext.get().partitionId()
@@ -211,7 +211,7 @@ def _encode(lengths: np.ndarray, block_ids: int, every: int, kind: str):
 
         def close() -> pd.DataFrame:
             ids = np.concatenate(parts)
-            bits, offsets = pack(ids, codes, lengths, every)
+            bits, offsets = pack(ids, codes, short, every)
             return pd.DataFrame({"file": [file], "block": [block], "start": [start], "doc_ids": [docs], "doc_lens": [[len(p) for p in parts]],
                                  "n_ids": [len(ids)], "every": [every], "offsets": [offsets.tolist()], "bits": [bits]})
 
