@@ -7,7 +7,6 @@ for the task; only type numbers go back. Masks stay expressions of the JVM.
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Callable, Iterator, Sequence
 
@@ -27,27 +26,23 @@ LONGEST_REMEMBERED = 200
 NONE = -1
 
 
-@functools.cache
-def _compiled(patterns: tuple[Pattern, ...]):
-    return [(i, p, re.compile(p.regex, re.IGNORECASE if p.ignore_case else 0).search) for i, p in enumerate(patterns)]
+def _compiled(patterns: Sequence[Pattern]) -> tuple[list, list]:
+    """(rank, search, digits, size, run, literal) of patterns that need no digit, and of all."""
+    made = [(i, re.compile(p.regex, re.IGNORECASE if p.ignore_case else 0).search, p.digits, p.size, p.run, p.literal)
+            for i, p in enumerate(patterns)]
+    return [m for m in made if not m[2]], made
 
 
 _DIGIT = re.compile(r"\d")
 _RUN = re.compile(r"\d{5}")
 
 
-def rank_of(value: str | None, patterns: tuple[Pattern, ...] = PATTERNS) -> int:
-    """Place in the registry of a cell's dominant type, NONE if nothing is found.
-
-    That is the type of the first finding: smallest start, then longest match, then registry order.
-    """
-    if not value:
-        return NONE
+def _rank(value: str, compiled: tuple[list, list]) -> int:
     digits = len(_DIGIT.findall(value))
     run = digits >= 5 and _RUN.search(value) is not None
     best = None
-    for i, p, search in _compiled(patterns):
-        if digits < p.digits or len(value) < p.size or (p.run and not run) or (p.literal and p.literal not in value):
+    for i, search, least, size, needs_run, literal in compiled[digits > 0]:
+        if digits < least or len(value) < size or (needs_run and not run) or (literal and literal not in value):
             continue
         found = search(value)
         if found:
@@ -56,12 +51,21 @@ def rank_of(value: str | None, patterns: tuple[Pattern, ...] = PATTERNS) -> int:
     return NONE if best is None else best[2]
 
 
-def typer(patterns: tuple[Pattern, ...]) -> Callable[[pd.Series], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def rank_of(value: str | None, patterns: Sequence[Pattern] = PATTERNS) -> int:
+    """Place in the registry of a cell's dominant type, NONE if nothing is found.
+
+    That is the type of the first finding: smallest start, then longest match, then registry order.
+    """
+    return _rank(value, _compiled(patterns)) if value else NONE
+
+
+def typer(patterns: Sequence[Pattern]) -> Callable[[pd.Series], tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """A function from cells to (code of each cell, distinct values, type of each distinct value).
 
     The code of NULL is the last place, of type NONE.
     """
-    known: dict[str, int] = {}
+    known: dict[str, int] = {"": NONE}
+    compiled = _compiled(patterns)
 
     def types(cells: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         codes, values = pd.factorize(cells)
@@ -69,7 +73,7 @@ def typer(patterns: tuple[Pattern, ...]) -> Callable[[pd.Series], tuple[np.ndarr
         for i, v in enumerate(values):
             rank = known.get(v)
             if rank is None:
-                rank = rank_of(v, patterns)
+                rank = _rank(v, compiled)
                 if len(v) <= LONGEST_REMEMBERED:
                     if len(known) >= REMEMBERED:
                         known.clear()
