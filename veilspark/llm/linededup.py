@@ -1,10 +1,12 @@
 """Removal of repeated runs of lines, with DataFrame functions only.
 
-A text is cut into chunks of lines. A rolling hash over the hashes of the last lines
-decides where a chunk ends, so a passage is cut alike wherever it stands. A chunk
-of several lines that occurs more than once over all documents is kept where it
-comes first, by document and place, and removed elsewhere. Hashes only find the candidates;
-what is removed has been compared byte by byte.
+Two neighbouring lines with a word, with what is blank between them, are a span, and so is a
+line of more than 50 words: where a span begins and ends depends on its own lines only, so
+a passage gives the same spans whatever stands around it. A span that occurs more than
+once over all documents is kept where it comes first, by document and place, and removed
+elsewhere; spans overlap, so a repeated run goes from its first line to its last. Chunks cut by a
+rolling hash over lines add the blank lines at the ends of a run. Hashes only find the
+candidates; what is removed has been compared byte by byte.
 """
 
 from __future__ import annotations
@@ -23,6 +25,11 @@ DIVISOR = 3
 FACTOR = 31
 #: a chunk counts with so many lines that have a word
 LEAST_LINES = 2
+#: a line of more words counts alone
+LONG_LINE = 50
+
+WORDED = r"[^\x20\x09-\x0D]"
+LONG = rf"^[\x20\x09-\x0D]*+(?:{WORDED}++[\x20\x09-\x0D]++){{{LONG_LINE}}}+{WORDED}"
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -30,6 +37,10 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
+def digest(span: Column) -> Column:
+    return F.xxhash64(span)
+
+
 def chunks_of(text: Column, window: int = WINDOW, divisor: int = DIVISOR) -> Column:
     """Chunks of a text in order: (start, n, lines). NULL for NULL."""
     lines = F.split(text, "\n", -1)
@@ -48,36 +59,60 @@ def chunks_of(text: Column, window: int = WINDOW, divisor: int = DIVISOR) -> Col
     return F.when(text.isNotNull(), let(lines, cut))
 
 
+def spans_of(text: Column, lines: Column) -> Column:
+    """Spans of a text and its lines that count if they occur twice: (start, n)."""
+    def span(start: Column, n: Column) -> Column:
+        return F.struct(start.cast("int").alias("start"), n.cast("int").alias("n"))
+
+    def found(worded: Column) -> Column:
+        pairs = F.transform(F.slice(worded, 1, F.greatest(F.size(worded) - 1, F.lit(0))),
+                            lambda s, k: span(s, F.get(worded, k + 1) - s + 1))
+        alone = F.transform(F.filter(worded, lambda i: F.get(lines, i).rlike(LONG)), lambda i: span(i, F.lit(1)))
+        blank_ends = F.filter(chunks_of(text), lambda c: (F.size(F.filter(c["lines"], lambda x: x.rlike(WORDED))) >= LEAST_LINES)
+                              & ~(F.get(c["lines"], F.lit(0)).rlike(WORDED) & F.element_at(c["lines"], -1).rlike(WORDED)))
+        chunks = F.when(F.size(worded) < F.size(lines), F.transform(blank_ends, lambda c: span(c["start"], c["n"])))
+        return F.concat(pairs, alone, F.coalesce(chunks, F.array().cast("array<struct<start:int,n:int>>")))
+    return let(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(WORDED)), found)
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with ``text`` freed of repeated chunks, n_lines (before) and n_removed.
+    """docs with ``text`` freed of repeated spans, n_lines (before) and n_removed.
 
-    A chunk counts from two lines with a word on. Its first occurrence, by id (NULL before all) and
-    place, stays. NULL texts stay NULL with no lines, empty texts have one line. Rows equal in id and
-    text are one document and come out alike. Columns with the names of the results are
-    replaced; an empty table gives none. Lines and chunks may be of any length.
+    A run counts from two lines with a word or one line of more than 50 words on. Its first occurrence, by id
+    (NULL before all) and place, stays. NULL texts stay NULL with no lines, empty texts have one line. Rows equal in
+    id and text are one document and come out alike. Columns with the names of the results are
+    replaced; an empty table gives none. Lines and runs may be of any length.
     """
     docs = clear_of(docs, "n_lines", "n_removed", "_k1", "_k2")
     keyed = with_row_key(docs, key, text)
-    worded = F.size(F.filter("c.lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    chunks = (keyed.select("_k1", "_k2", F.explode(chunks_of(F.col(text))).alias("c")).where("c.n > 1").where(worded >= LEAST_LINES)
-              .select("_k1", "_k2", F.col("c.start").alias("start"), F.array_join("c.lines", "\n").alias("chunk"))
-              .withColumn("h", F.xxhash64("chunk")))
+    lines = F.split(F.col(text), "\n", -1)
+    body = lambda all_lines, s: F.array_join(F.slice(all_lines, s["start"] + 1, s["n"]), "\n")
+
+    held = keyed.where(F.col(text).isNotNull())
+    spans = held.select("_k1", "_k2", F.explode(let(lines, lambda l: F.transform(spans_of(F.col(text), l), lambda s: F.struct(
+        s["start"].alias("start"), s["n"].alias("n"), digest(body(l, s)).alias("h"))))).alias("s")).select("_k1", "_k2", "s.*")
+    again = checkpoint(spans.groupBy("h").count().where("count > 1").select("h"))
+    # numbers find the spans to compare; only the text of these leaves its document
+    places = checkpoint(spans.join(small(again), "h").groupBy("_k1", "_k2")
+                        .agg(F.collect_set(F.struct("start", "n", "h")).alias("_at")))
+    texts = held.join(small(places), ["_k1", "_k2"]).select("_k1", "_k2", F.explode(let(lines, lambda l: F.transform("_at", lambda s: F.struct(
+        s["start"].alias("start"), s["n"].alias("n"), s["h"].alias("h"), body(l, s).alias("span"))))).alias("s"))
     place = F.struct("_k1", "_k2", "start")
+    twice = checkpoint(texts.select("_k1", "_k2", "s.*"))
     ends = [F.min(place).alias("first"), F.max(place).alias("last")]
-    again = checkpoint(chunks.groupBy("h").agg(*ends).where("first <> last").select("h"))
-    twice = checkpoint(chunks.join(small(again), "h"))
-    groups = checkpoint(twice.groupBy("h", "chunk").agg(*ends).where("first <> last").select("h", "chunk", "first"))
-    removed = (twice.join(small(groups), ["h", "chunk"]).where(place != F.col("first"))
-               .groupBy("_k1", "_k2").agg(F.collect_set("start").alias("_gone")))
-    removed = checkpoint(removed)
+    by_text = twice.groupBy("h", "span").agg(*ends)
+    numbers = checkpoint(by_text.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.min("first").alias("first"), F.max("last").alias("last")))
+    # a number of one text needs no text to find its places again; different texts of one number are told apart
+    alike = twice.drop("span").join(small(numbers.where("texts = 1 AND first <> last").select("h", "first")), "h")
+    mixed = twice.join(small(numbers.where("texts > 1").select("h")), "h")
+    apart = mixed.join(small(mixed.groupBy("h", "span").agg(*ends).drop("last")), ["h", "span"]).drop("span")
+    gone = F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)
+    removed = checkpoint(alike.unionByName(apart).where(place != F.col("first"))
+                         .groupBy("_k1", "_k2").agg(F.array_distinct(F.flatten(F.collect_set(gone))).alias("_gone")))
     out = keyed.join(small(removed), ["_k1", "_k2"], "left")
-    gone = F.coalesce("_gone", F.array().cast("array<int>"))
-    kept = let(chunks_of(F.col(text)), lambda c: F.struct(
-        F.aggregate(F.transform(c, lambda x: x["n"]), F.lit(0), lambda a, b: a + b).alias("n_lines"),
-        F.aggregate(F.transform(F.filter(c, lambda x: F.array_contains(gone, x["start"])), lambda x: x["n"]),
-                    F.lit(0), lambda a, b: a + b).alias("n_removed"),
-        F.array_join(F.flatten(F.transform(F.filter(c, lambda x: ~F.array_contains(gone, x["start"])), lambda x: x["lines"])), "\n").alias("text")))
-    done = out.withColumn("_kept", kept)
-    return done.select(*(F.col("_kept.text").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns),
-                       F.coalesce("_kept.n_lines", F.lit(0)).cast("bigint").alias("n_lines"),
-                       F.coalesce("_kept.n_removed", F.lit(0)).cast("bigint").alias("n_removed"))
+    stay = lambda l: F.array_except(F.sequence(F.lit(0), F.size(l) - 1), F.col("_gone"))
+    kept = let(lines, lambda l: F.array_join(F.transform(stay(l), lambda i: F.get(l, i)), "\n"))
+    done = out.withColumn("_kept", F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept))
+    return done.select(*(F.col("_kept").alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns),
+                       F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines"),
+                       F.coalesce(F.size("_gone"), F.lit(0)).cast("bigint").alias("n_removed"))
