@@ -2,8 +2,38 @@
 
 from __future__ import annotations
 
-from veilspark.patterns import PATTERNS
-
+from typing import NamedTuple
+
+
+class Rule(NamedTuple):
+    category: str
+    type: str
+    regex: str
+    ignore_case: bool = False
+
+
+# The published detection grammar, written out and not taken from the engine.
+PATTERNS = (
+    Rule("CONTACT", "email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"),
+    Rule("CONTACT", "phone_us", r"\b(?:\+?1[-.\s]?)?\(?[2-9]\d{2}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b"),
+    Rule("CONTACT", "phone_uk", r"\b(?:\+44[-.\s]?|0)7\d{3}[-.\s]?\d{6}\b"),
+    Rule("CONTACT", "phone_intl", r"\b\+[1-9]\d{1,3}[-.\s]?\d{1,14}(?:[-.\s]?\d{1,13})?\b"),
+    Rule("CONTACT", "phone_cn", r"\b1[3-9]\d{9}\b"),
+    Rule("IDENTITY", "ssn", r"\b\d{3}-\d{2}-\d{4}\b"),
+    Rule("IDENTITY", "ni_uk", r"\b[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]\b", True),
+    Rule("IDENTITY", "cn_id", r"\b[1-9]\d{5}(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[\dXx]\b"),
+    Rule("IDENTITY", "passport_us", r"\b[A-Z]\d{8}\b"),
+    Rule("IDENTITY", "passport_uk", r"\b\d{9}\b"),
+    Rule("IDENTITY", "passport_generic", r"\b[A-Z]{1,2}\d{6,9}\b"),
+    Rule("FINANCIAL", "credit_card", r"\b(?:4[0-9]{3}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}|5[1-5][0-9]{2}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}|6(?:011|5[0-9]{2})[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4})\b"),
+    Rule("FINANCIAL", "iban", r"\b[A-Z]{2}\d{2}[A-Z0-9]{1,30}\b"),
+    Rule("FINANCIAL", "swift", r"\b[A-Z]{4}[A-Z]{2}[A-Z0-9]{2}(?:[A-Z0-9]{3})?\b"),
+    Rule("TECHNICAL", "ipv4", r"\b(?:\d{1,3}\.){3}\d{1,3}\b"),
+    Rule("TECHNICAL", "ipv6", r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b"),
+    Rule("TECHNICAL", "api_key", r"""\b(?:sk-[A-Za-z0-9]{20,}|ghp_[A-Za-z0-9]{36}|AKIA[0-9A-Z]{16}|AIza[0-9A-Za-z\-_]{35}|(?:api[_-]?key|apikey|secret|token|password|passwd)\s*[:=]\s*["']?[A-Za-z0-9_\-+=\/]{8,})["']?\b""", True),
+    Rule("LOCATION", "zip_us", r"\b\d{5}(?:-\d{4})?\b"),
+    Rule("LOCATION", "postcode_uk", r"\b[A-Z]{1,2}\d[A-Z\d]?\s?\d[A-Z]{2}\b", True),
+)
 
 TYPES = "[" + ", ".join(f"'{p.type}'" for p in PATTERNS) + "]"
 
@@ -13,7 +43,7 @@ def quote(s: str) -> str:
 
 
 def re2(p) -> str:
-    return quote(p.regex)
+    return quote(("(?i)" if p.ignore_case else "") + p.regex)
 
 
 def ascii_words(text: str) -> str:
