@@ -140,3 +140,16 @@ def test_blocks_and_files_of_any_size(spark, tmp_path):
         back = sorted((r.doc_id, bytes(r.ids), r.start) for r in idcodec.read_ids(spark, path).collect())
         assert [r[:2] for r in back] == rows
         assert [r[2] for r in back] == np.cumsum([0] + [len(x) // 4 for _, x in rows[:-1]]).tolist()
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_are_found_as_by_the_library(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path(name)
+    plain, encode = Tokenizer.from_file(path), bytelevel.encoder_of(path, "<u4")
+    added = [t.content for t in plain.get_added_tokens_decoder().values()]
+    assert added
+    for t in added:
+        for text in (t, f"a {t} b", f"a{t}{t}b  {t}\n", f"x {t[:-1]} y", f" {t.upper()} é {t}", "plain text"):
+            assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids

@@ -3,7 +3,7 @@
 A space between two characters that aren't white space always begins a new pre-token of
 the usual byte-level pattern, so a text can be encoded piece by piece. Pieces repeat, and
 their ids are remembered; new ones go through the tokenizer's own model. Tokenizers of another
-make, and pieces of rare scripts, whose classes differ between libraries, go through the tokenizer whole.
+make, texts that hold the string of an added token, and pieces of rare scripts, whose classes differ between libraries, go through the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -31,10 +31,8 @@ _APART = re.compile(r"(?<=\S) (?=\S)")
 
 @functools.cache
 def tokenizer_of(path: str) -> Tokenizer:
-    """A tokenizer, loaded once per process. Strings of its special tokens are ordinary text."""
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    """A tokenizer, loaded once per process."""
+    return Tokenizer.from_file(path)
 
 
 def byte_letters() -> dict[int, str]:
@@ -72,6 +70,7 @@ class Encoder:
         self.by_pieces = (isinstance(tokenizer.model, BPE) and tokenizer.normalizer is None and tokenizer.truncation is None
                           and tokenizer.padding is None and before.startswith("ByteLevel(add_prefix_space=False")
                           and "use_regex=True" in before)
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.find = regex.compile(PATTERN).findall
         self.letters = byte_letters()
         self.model = tokenizer.model.tokenize
@@ -100,7 +99,7 @@ class Encoder:
                                  for t in model(part.encode().decode("latin-1").translate(letters))]).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if not self.by_pieces:
+        if not self.by_pieces or any(t in text for t in self.added):
             return self.whole(text)
         first, *later = text.split(" ")
         try:
