@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, idcodec, linededup, mixing, quality, simhash, tokencount, toxicity, urlfilter
+from . import chat, decontam, idcodec, linededup, mixing, quality, simhash, tokencount, toxicity, urlfilter, whitening
 from .common import LOWER, UPPER, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, labels.where("quality = 1").select("doc_id")).drop("text", "llr")
 
 
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every embedding."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 ORACLES["op1_chat"] = f"""
 with rows as (
   select distinct conv_id, case when conv_id is null then 'r' || coalesce(role, '') || chr(1) || coalesce(text, '') else 'c' || conv_id end as conv,
