@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, idcodec, linededup, mixing, quality, simhash, tokencount, toxicity, urlfilter, whitening
+from . import chat, decontam, divergence, idcodec, linededup, mixing, quality, simhash, tokencount, toxicity, urlfilter, whitening
 from .common import LOWER, UPPER, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, labels.where("quality = 1").select("doc_id")).drop("text", "llr")
 
 
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences between the sources of each language, and their own terms."""
+    return divergence.audit(read(spark, sf_dir, "documents", "lang", "source", "text"))
+
+
 @query
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened components of every embedding."""
@@ -200,3 +206,27 @@ select t.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
        sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 and {decontam.SHARE} * coalesce(n_hit, 0) >= len(w) as contaminated
 from texts t left join places using (doc_id) left join found using (doc_id)
 """
+
+ORACLES["op12_source_divergence"] = f"""
+with texts as (select row_number() over () as d, coalesce(lang, '') as lang, coalesce(source, '') as source,
+               regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents),
+occurrences as (select d, lang, source, unnest(w) as term from texts),
+kept as (select lang, term from (select distinct lang, term, d from occurrences) group by lang, term having count(*) >= {divergence.LEAST_DOCUMENTS}),
+sources as (select distinct lang, source from texts),
+counts as (select lang, source, term, count(*) as n from occurrences join kept using (lang, term) group by all),
+vocabulary as (select s.lang, count(term) as v from (select distinct lang from sources) s left join kept k on k.lang = s.lang group by s.lang),
+columns as (select s.lang, s.source, k.term, coalesce(n, 0) as n from sources s join kept k on k.lang = s.lang
+            left join counts c on c.lang = s.lang and c.source = s.source and c.term = k.term),
+shares as (select *, 1 + {divergence.UNIT}::hugeint * (n + {divergence.SMOOTHING})
+           // (sum(n) over (partition by lang, source) + {divergence.SMOOTHING} * v)::hugeint as p from columns join vocabulary using (lang)),
+langs as (select lang, term, 1 + {divergence.UNIT}::hugeint * (sum(n) + {divergence.SMOOTHING})
+          // (sum(sum(n)) over (partition by lang) + {divergence.SMOOTHING} * any_value(v))::hugeint as q from shares group by lang, term),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0) as value from sources a
+          join sources b on a.lang = b.lang and a.source <> b.source
+          left join (select x.lang, x.source, y.source as item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) as value
+                     from shares x join shares y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all) s
+          on s.lang = a.lang and s.source = a.source and s.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, (p - q) * (p - q) // (p + q) as value from shares join langs using (lang, term) where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from (from pairs union all from terms))
+select lang, source, part, item, value::bigint as value, rank::int as rank from ranked where part = 'pair' or rank <= {divergence.TOP}
+"""
