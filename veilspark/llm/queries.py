@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, divergence, idcodec, linededup, mixing, quality, simhash, tokencount, toxicity, urlfilter, whitening
+from . import chat, decontam, divergence, idcodec, linededup, minhash, mixing, quality, simhash, tokencount, toxicity, urlfilter, whitening
 from .common import LOWER, UPPER, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, labels.where("quality = 1").select("doc_id")).drop("text", "llr")
 
 
+@query
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under shingle-set similarity."""
+    return minhash.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences between the sources of each language, and their own terms."""
