@@ -17,6 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -137,18 +138,20 @@ def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _near(least: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(tile: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        nodes, roots, signatures = tile.values.flatten()
+        return nodes.to_numpy(), roots.to_numpy(), np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(-1, MINIMA)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for tiles in batch["tiles"]:
-                of = [(np.array([m["node"] for m in t], np.int64), np.array([m["root"] for m in t], np.int64),
-                       np.frombuffer(b"".join(m["signature"] for m in t), np.uint8).reshape(-1, MINIMA)) for t in tiles]
-                (nodes, roots, left), (others, theirs, right) = of[0], of[-1]
+            for one, other in zip(batch.column("one"), batch.column("other"), strict=True):
+                (nodes, roots, left), (others, theirs, right) = read(one), read(other)
                 for at in range(0, len(nodes), 16):
                     apart = roots[at: at + 16, None] != theirs[None, :]
                     if apart.any():
                         near = apart & ((left[at: at + 16, None, :] == right[None, :, :]).sum(axis=2) >= least)
                         i, j = np.nonzero(near)
-                        yield pd.DataFrame({"a": np.minimum(nodes[i + at], others[j]), "b": np.maximum(nodes[i + at], others[j])})
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(nodes[i + at], others[j])), pa.array(np.maximum(nodes[i + at], others[j]))], ["a", "b"])
     return run
 
 
@@ -165,7 +168,8 @@ def unsettled(placed: DataFrame, classes: DataFrame, roots: DataFrame, least: in
     tiles = (members.groupBy("key", "cuts", "cut").agg(F.collect_list(F.struct("node", "root", "signature")).alias("tile"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
              .groupBy("key", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j")).agg(F.collect_list("tile").alias("tiles")))
-    return tiles.select("tiles").mapInPandas(_near(least), "a bigint, b bigint").distinct()
+    return (tiles.select(F.element_at("tiles", 1).alias("one"), F.element_at("tiles", -1).alias("other"))
+            .mapInArrow(_near(least), "a bigint, b bigint").distinct())
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, text: str, percent: int) -> DataFrame:
