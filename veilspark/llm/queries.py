@@ -183,14 +183,14 @@ from run
 
 ORACLES["op7_line_dedup"] = f"""
 with lines as (select doc_id, unnest(range(len(l))) as i, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from documents)),
-hashed as (select *, ('0x' || substr(md5(line), 1, 8))::bigint as h, lead(i) over w is null as last,
-           lag(i) over w as before from lines window w as (partition by doc_id order by i)),
-ended as (select *, last or (h + coalesce(lag(h) over (partition by doc_id order by i), 0) * {linededup.FACTOR}) % {linededup.DIVISOR} = 0 as ends from hashed),
+hashed as (select *, ('0x' || substr(md5(line), 1, 8))::bigint as h, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) as words from lines),
+ended as (select *, lead(i) over w is null or words > {linededup.LONG_LINE} or lead(words) over w > {linededup.LONG_LINE}
+          or h % {linededup.DIVISOR} = 0 as ends from hashed window w as (partition by doc_id order by i)),
 cut as (select *, coalesce(sum(ends::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as c from ended),
 chunks as (select doc_id, c, min(i) as start, count(*) as n, string_agg(line, chr(10) order by i) as chunk,
-           sum(regexp_matches(line, '[^\\x20\\x09-\\x0D]')::int) as worded from cut group by doc_id, c),
-marked as (select *, n > 1 and worded >= {linededup.LEAST_LINES}
-           and row_number() over (partition by chunk, n > 1 and worded >= {linededup.LEAST_LINES} order by doc_id, start) > 1 as gone from chunks),
+           sum((words > 0)::int) >= {linededup.LEAST_LINES} and sum(words) >= {linededup.LEAST_WORDS} or sum(words) > {linededup.LONG_LINE} as large
+           from cut group by doc_id, c),
+marked as (select *, large and row_number() over (partition by chunk, large order by doc_id, start) > 1 as gone from chunks),
 joined as (select doc_id, sum(n)::bigint as n_lines, sum(case when gone then n else 0 end)::bigint as n_removed,
            coalesce(string_agg(chunk, chr(10) order by start) filter (not gone), '') as text from marked group by doc_id)
 select d.doc_id, case when d.text is not null then j.text end as text, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed
