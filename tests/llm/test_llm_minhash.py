@@ -71,9 +71,9 @@ def families(seed, of=12, copies=25, size=(3, 120)):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_against_all_pairs(spark, monkeypatch, seed):
     tile = minhash.unsettled.__defaults__
-    monkeypatch.setattr(minhash.unsettled, "__defaults__", (5,))
+    monkeypatch.setattr(minhash.unsettled, "__defaults__", (5, 3000))
     rows = families(seed)
-    assert tile == (minhash.TILE,) and sorted(found(spark.createDataFrame(rows, SCHEMA))) == sorted(slow(rows))
+    assert tile == (minhash.TILE, minhash.TILE_BYTES) and sorted(found(spark.createDataFrame(rows, SCHEMA))) == sorted(slow(rows))
 
 
 def test_links_right_at_the_bound(spark):

@@ -5,9 +5,9 @@ are a band; two sets of similarity 0.85 share none of the 50 bands once in twent
 million cases. Equal sets become one class first. Of each bucket, that is the classes of one
 band key, the class that meets most others is the pivot, and every member is compared with it: a
 group of copies gives a star, not all its pairs. Only in buckets whose classes are still in
-several components after that are members of different components compared, all with all, by
-their signatures, tile by tile. Whatever the signatures let pass is confirmed or refused by the full sets, and
-components are taken by alternating large-star and small-star steps.
+several components after that are members of different components compared, tile by tile; a pair in
+the first band it shares. Signatures decide what is worth a look, the full sets what is a link, and
+components are taken by alternating large-star and small-star steps. Pairs never leave a task, only links do.
 """
 
 from __future__ import annotations
@@ -38,8 +38,9 @@ MARGIN = 5
 SEED = 42
 #: shingles hashed by all functions at once
 AT_ONCE = 128
-#: members of a bucket that are compared at once
+#: members of a bucket that are compared at once, and bytes of their sets
 TILE = 1024
+TILE_BYTES = 4 << 20
 
 _random = np.random.default_rng(SEED)
 FACTORS = _random.integers(0, 1 << 63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -137,49 +138,71 @@ def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def _near(least: int):
-    def read(tile: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        nodes, roots, signatures = tile.values.flatten()
-        return nodes.to_numpy(), roots.to_numpy(), np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(-1, MINIMA)
+def _compare(percent: int):
+    """(a, b): links between two tiles of a bucket, given by its key, whose members carry all that is compared."""
+    least = least_agreement(percent)
+
+    def read(tile: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        nodes, roots, bands, signatures, sets = tile.values.flatten()
+        return (nodes.to_numpy(), roots.to_numpy(), bands.flatten().to_numpy().reshape(-1, BANDS),
+                np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(-1, MINIMA), [np.frombuffer(x, "<u8") for x in sets.to_pylist()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for one, other in zip(batch.column("one"), batch.column("other"), strict=True):
-                (nodes, roots, left), (others, theirs, right) = read(one), read(other)
+            for key, one, other in zip(batch.column("key").to_pylist(), batch.column("one"), batch.column("other"), strict=True):
+                nodes, roots, bands, left, sets = read(one)
+                others, theirs, their_bands, right, their_sets = read(other)
+                found = []
                 for at in range(0, len(nodes), 16):
                     apart = roots[at: at + 16, None] != theirs[None, :]
-                    if apart.any():
-                        near = apart & ((left[at: at + 16, None, :] == right[None, :, :]).sum(axis=2) >= least)
-                        i, j = np.nonzero(near)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(nodes[i + at], others[j])), pa.array(np.maximum(nodes[i + at], others[j]))], ["a", "b"])
+                    if not apart.any():
+                        continue
+                    near = apart & ((left[at: at + 16, None, :] == right[None, :, :]).sum(axis=2) >= least)
+                    for i, j in np.argwhere(near).tolist():
+                        i += at
+                        # a pair is the business of the first band it shares
+                        if bands[i, np.argmax(bands[i] == their_bands[j])] == key and nodes[i] != others[j]:
+                            x, y = sets[i], their_sets[j]
+                            common = len(np.intersect1d(x, y, assume_unique=True))
+                            if 100 * common >= percent * (len(x) + len(y) - common):
+                                found.append((nodes[i], others[j]))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
     return run
 
 
-def unsettled(placed: DataFrame, classes: DataFrame, roots: DataFrame, least: int, tile: int = TILE) -> DataFrame:
-    """(a, b): in buckets that still have classes of several components, pairs of different ones whose signatures agree.
+def sets_of(nodes: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(node, members): the full sets of classes (node, _k1, _k2), from the texts that stand for them."""
+    return checkpoint(keyed.join(small(nodes), ["_k1", "_k2"]).dropDuplicates(["node"]).select("node", set_of("text").alias("members")))
+
+
+def unsettled(placed: DataFrame, classes: DataFrame, roots: DataFrame, keyed: DataFrame, percent: int, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """Links (a, b) between classes of different components that meet in a bucket.
 
-    A bucket of any size is cut into tiles, and a task compares two of them.
+    A bucket of any size is cut into tiles of bounded size, and a task compares two of them; only links leave it.
     """
     rooted = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_keys = checkpoint(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("cuts"))
+    sized = F.greatest(F.ceil(F.count(F.lit(1)) / tile), F.ceil(8 * F.sum("n") / tile_bytes)).cast("int")
+    open_keys = checkpoint(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), sized.alias("cuts"))
                            .where("low <> high").select("key", "cuts"))
-    members = (rooted.join(small(open_keys), "key").join(classes.select("node", "signature"), "node")
-               .withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")))
-    tiles = (members.groupBy("key", "cuts", "cut").agg(F.collect_list(F.struct("node", "root", "signature")).alias("tile"))
+    inside = checkpoint(rooted.join(small(open_keys), "key").select("key", "cuts", "node", "root"))
+    wanted = checkpoint(inside.select("node").distinct().join(classes.select("node", "_k1", "_k2", "bands", "signature"), "node"))
+    carried = wanted.select("node", "bands", "signature").join(sets_of(wanted.select("node", "_k1", "_k2"), keyed), "node")
+    tiles = (inside.join(carried, "node").withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+             .groupBy("key", "cuts", "cut").agg(F.collect_list(F.struct("node", "root", "bands", "signature", "members")).alias("tile"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
              .groupBy("key", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j")).agg(F.collect_list("tile").alias("tiles")))
-    return (tiles.select(F.element_at("tiles", 1).alias("one"), F.element_at("tiles", -1).alias("other"))
-            .mapInArrow(_near(least), "a bigint, b bigint").distinct())
+    return checkpoint(tiles.select("key", F.element_at("tiles", 1).alias("one"), F.element_at("tiles", -1).alias("other"))
+                      .mapInArrow(_compare(percent), "a bigint, b bigint"))
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, text: str, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b) those whose sizes, signatures and, last, whole sets allow the link."""
     end = lambda which: classes.select(*(F.col(c).alias(f"{c}_{which}") for c in ("node", "n", "signature"))).withColumnRenamed(f"node_{which}", which)
     likely = checkpoint(pairs.join(end("a"), "a").join(end("b"), "b")
                         .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
                         .where(agreement("signature_a", "signature_b") >= least_agreement(percent)).select("a", "b", "n_a", "n_b"))
-    wanted = checkpoint(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "_k1", "_k2"), "node"))
-    sets = checkpoint(keyed.join(small(wanted), ["_k1", "_k2"]).dropDuplicates(["node"]).select("node", set_of(F.col(text)).alias("members")))
+    sets = sets_of(checkpoint(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "_k1", "_k2"), "node")), keyed)
     both = (likely.join(sets.select(F.col("node").alias("a"), F.col("members").alias("of_a")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("members").alias("of_b")), "b")
             .withColumn("common", in_common("of_a", "of_b")))
@@ -201,13 +224,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         F.min("doc_id").alias("least"), F.min(F.struct("_k1", "_k2")).alias("of"), F.first("n").alias("n"),
         F.first("bands").alias("bands"), F.first("signature").alias("signature"))
         .select("cls", "least", "n", "bands", "signature", "of.*").withColumn("node", F.monotonically_increasing_id()))
-    in_band = classes.select("node", F.explode("bands").alias("key"))
+    in_band = classes.select("node", "n", F.explode("bands").alias("key"))
     shared = checkpoint(in_band.groupBy("key").count().where("count > 1"))
     placed = checkpoint(in_band.join(small(shared), "key"))
 
-    links = confirmed(pivots(placed), classes, keyed, "text", percent)
-    rest = unsettled(placed, classes, components(links), least_agreement(percent))
-    links = links.unionByName(confirmed(rest, classes, keyed, "text", percent))
+    links = confirmed(pivots(placed), classes, keyed, percent)
+    links = links.unionByName(unsettled(placed, classes, components(links), keyed, percent))
     rooted = classes.select("cls", "node", "least").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(groups, "root").select("cls", "component_id")
