@@ -180,7 +180,7 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP) -> Data
         terms[t["l"]] = t["count"]
 
     order = ["l", "counts", "term"]
-    found = checkpoint(kept.repartitionByRange(*order).sortWithinPartitions(*order).select(*order).mapInArrow(_compare(totals, terms, top), FOUND))
+    found = checkpoint(kept.repartitionByRange("l", F.slice("counts", 1, 3), "term").sortWithinPartitions(*order).select(*order).mapInArrow(_compare(totals, terms, top), FOUND))
     one_way = found.where("other is not null").groupBy("l", "r", "other").agg(F.sum("value").alias("value"))
     both = one_way.unionByName(one_way.select("l", F.col("other").alias("r"), F.col("r").alias("other"), "value"))
     others = names.select("l", F.col("r").alias("other"), F.col("source").alias("item"))
