@@ -1,10 +1,15 @@
 import random
+import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests import plain
+from veilspark.functions.celltypes import rank_of
 from veilspark.functions.detectors import cell_type, find_pii, has_pii, parse_model_findings, scan_text, union_detectors
+from veilspark.functions.shapes import candidates, loosened, shape
 from veilspark.functions.spans import mark_kept, redact
 from veilspark.operators import chunking, overlap
 from veilspark.operators.detect import explode_findings, marked_findings, model_replies, raw_findings, scan
@@ -80,6 +85,38 @@ def test_ranks_of_cells_agree(spark):
         assert r["r"]["c0"] == rank and r["r"]["c1"] == rank_of(r["t"].lower() if r["t"] else r["t"])
 
 
+@pytest.mark.parametrize("place", range(len(PATTERNS)))
+def test_shapes_rule_out_no_match(place):
+    p = PATTERNS[place]
+    compiled = re.compile(p.regex, re.IGNORECASE if p.ignore_case else 0)
+    possible = candidates(PATTERNS)
+    assert loosened(p.regex, p.ignore_case) is not None
+
+    around = st.sampled_from(["", "a", "é", " ", "-", "7"])
+
+    @given(around, st.from_regex(re.compile(p.regex.replace(r"\b", ""), compiled.flags), fullmatch=True), around)
+    @settings(max_examples=80, deadline=None)
+    def check(before, text, after):
+        text = before + text + after
+        assert not compiled.search(text) or place in possible(text), text
+    check()
+
+
+@given(st.text(max_size=30) | st.text(alphabet="aZé_09\u0663 \t\u00a0-.@:+()ſ", max_size=30))
+@settings(max_examples=300, deadline=None)
+def test_typing_by_shape_equals_the_plain_rule(text):
+    rank = rank_of(text)
+    assert plain.cell_type(text) == (PATTERNS[rank].type if rank >= 0 else None)
+    assert len(shape(text)) == len(text) and shape(text).isascii()
+
+
+def test_grammar_that_shapes_do_not_know():
+    for regex in (r"[^a]x", r"(?=a)b", r"(a)\1", r"^a", r"a.b", r"\Wa", r"(a)?"):
+        assert loosened(regex) is None or re.compile(loosened(regex))
+    odd = (Pattern("X", "not_a", r"[^a]x"), Pattern("X", "look", r"(?<=a)b"), Pattern("X", "start", r"^q"))
+    assert [rank_of(t, odd) for t in ("bx", "ax", "ab", "qb", "b")] == [0, -1, 1, 2, -1]
+
+
 def test_custom_patterns(one):
     mine = (*PATTERNS, Pattern("STAFF", "badge", r"\bBDG-\d{4}\b"))
     assert one(scan_text("t", mine), t="see BDG-1234")[0]["type"] == "badge"

@@ -1,6 +1,9 @@
 import json
+import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests import plain
@@ -9,7 +12,7 @@ from veilspark.operators.lookup import lookup, salted_lookup
 from veilspark.operators.scrub import plan_levels, scrub, scrub_counts, scrub_summary
 from veilspark.plans.jobs import recover_table, scan_documents, scrub_table
 from veilspark.session import hide_keys, scratch, shared_dir
-from veilspark.sources import documents, sqldump, tables
+from veilspark.sources import csvblocks, documents, sqldump, tables
 from veilspark.streaming.scrub import RunningCounters, freeze_policy, scrub_stream
 
 EMPLOYEES = ("name,email,phone,notes\n"
@@ -38,6 +41,62 @@ def test_csv_with_newlines_inside_quotes(spark, tmp_path):
     assert rows(tables.read_csv(spark, str(tmp_path / "out"))) == rows(df)
 
 
+@pytest.mark.parametrize("sep", [",", "\t", "|"])
+def test_one_csv_file_is_read_by_many_tasks(spark, tmp_path, sep):
+    rng = random.Random(sep)
+    cells = ["", "x", 'say "hi"', "two\nlines", "three\r\n\n lines", '"', '""', sep, f'a{sep}"b"\n', "é\u3000", " pad ", "long " * 60, '\n', '5" pipe']
+    want = [tuple(rng.choice(cells) for _ in range(3)) for _ in range(400)]
+
+    def write(name, quote_all, end):
+        quoted = lambda c: '"' + c.replace('"', '""') + '"' if quote_all or any(x in c for x in ('"', sep, "\n", "\r")) or c == "" else c
+        return file(tmp_path, name, end.join(["a" + sep + "b" + sep + '"c\nd"', *(sep.join(map(quoted, r)) for r in want)]) + end)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for name, quote_all, end in (("a.csv", True, "\n"), ("b.csv", False, "\r\n"), ("c.csv", False, "\n")):
+            path = write(name, quote_all, end)
+            assert tables.has_quoted_newlines(spark, path, sep)
+            df = tables.read_csv(spark, path, sep=sep)
+            assert df.columns == ["a", "b", "c\nd"]
+            assert sorted(map(tuple, df.collect())) == sorted(want)
+            assert csvblocks.records(spark, path, sep).withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 5
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_stray_quotes_open_no_cell(spark, tmp_path):
+    plain = file(tmp_path, "p.csv", 'size,what\n5",pipe\n6" wide,"a, b"\n"x"y,z"\n')
+    assert not tables.has_quoted_newlines(spark, plain)
+    assert {('5"', "pipe"), ('6" wide', "a, b")} < set(rows(tables.read_csv(spark, plain)))
+    mixed = file(tmp_path, "m.csv", 'size,what\n5",pipe\n6","two\nlines"\n7",x\n')
+    assert rows(tables.read_csv(spark, mixed)) == [('5"', "pipe"), ('6"', "two\nlines"), ('7"', "x")]
+
+
+@given(st.lists(st.text(alphabet='ab,"\n', max_size=12), max_size=8), st.booleans())
+@settings(max_examples=200, deadline=None)
+def test_a_block_has_one_effect_per_state(parts, inside):
+    """Going line by line is the same as going through the text at once."""
+    text, state, at_start = "".join(parts), inside, not inside
+    i = 0
+    while i < len(text):
+        c = text[i]
+        if state and c == '"':
+            if text[i + 1:i + 2] == '"':
+                i += 1
+            else:
+                state, at_start = False, False
+        elif not state:
+            if c == '"' and at_start:
+                state = True
+            at_start = c in ",\n"
+        i += 1
+    now = inside
+    for line in text.split("\n"):
+        now = csvblocks.inside_after(line, now, ",")
+    assert now == state
+
+
 def test_csv_options(spark, tmp_path):
     assert tables.sniff_separator(spark, file(tmp_path, "a.tsv", "a\tb,c\td\n1\t2\t3\n")) == "\t"
     gaps = file(tmp_path, "g.csv", "col1,col2\n,\nx,y\n  , \n")

@@ -1,8 +1,9 @@
-"""Types of whole cells, each distinct value of a batch worked out once.
+"""Types of whole cells, by the patterns their shapes leave possible.
 
-Columns repeat themselves: a name, a city, a status. Typing a cell costs some
-twenty regular expressions, so values are made distinct per Arrow batch and remembered
-for the task; only type numbers go back. Masks stay expressions of the JVM.
+Typing a cell by the rule costs some twenty regular expressions. Columns repeat themselves: in
+their values, which Arrow makes distinct per batch, and far more in their shapes. A shape says which few
+patterns can match at all, and only these run. Long cells go by cheap necessary conditions
+instead. Only type numbers go back; masks stay expressions of the JVM.
 """
 
 from __future__ import annotations
@@ -11,92 +12,83 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..patterns import PATTERNS, Pattern
+from .shapes import LONGEST, candidates
 from .sql import lit
 
-#: values a task remembers; beyond, it starts anew
-REMEMBERED = 100_000
-#: longer values are typed but not remembered
-LONGEST_REMEMBERED = 200
 NONE = -1
 
-
-def _compiled(patterns: Sequence[Pattern]) -> tuple[list, list]:
-    """(rank, search, digits, size, run, literal) of patterns that need no digit, and of all."""
-    made = [(i, re.compile(p.regex, re.IGNORECASE if p.ignore_case else 0).search, p.digits, p.size, p.run, p.literal)
-            for i, p in enumerate(patterns)]
-    return [m for m in made if not m[2]], made
-
-
 _DIGIT = re.compile(r"\d")
 _RUN = re.compile(r"\d{5}")
 
 
-def _rank(value: str, compiled: tuple[list, list]) -> int:
-    digits = len(_DIGIT.findall(value))
-    run = digits >= 5 and _RUN.search(value) is not None
-    best = None
-    for i, search, least, size, needs_run, literal in compiled[digits > 0]:
-        if digits < least or len(value) < size or (needs_run and not run) or (literal and literal not in value):
-            continue
-        found = search(value)
-        if found:
-            key = (found.start(), found.start() - found.end(), i)
-            best = key if best is None or key < best else best
-    return NONE if best is None else best[2]
-
-
-def rank_of(value: str | None, patterns: Sequence[Pattern] = PATTERNS) -> int:
-    """Place in the registry of a cell's dominant type, NONE if nothing is found.
+def ranker(patterns: Sequence[Pattern] = PATTERNS) -> Callable[[str], int]:
+    """A function from a cell to the place in the registry of its dominant type, NONE if nothing is found.
 
     That is the type of the first finding: smallest start, then longest match, then registry order.
     """
-    return _rank(value, _compiled(patterns)) if value else NONE
+    search = [re.compile(p.regex, re.IGNORECASE if p.ignore_case else 0).search for p in patterns]
+    gates = [(i, p.digits, p.size, p.run, p.literal) for i, p in enumerate(patterns)]
+    possible = candidates(patterns)
+
+    def by_conditions(value: str) -> list[int]:
+        digits = len(_DIGIT.findall(value))
+        run = digits >= 5 and _RUN.search(value) is not None
+        return [i for i, least, size, needs_run, literal in gates if digits >= least and len(value) >= size
+                and (run or not needs_run) and (not literal or literal in value)]
+
+    def rank(value: str) -> int:
+        places = possible(value) if len(value) <= LONGEST else by_conditions(value)
+        if len(places) == 1:
+            return places[0] if search[places[0]](value) else NONE
+        best = None
+        for i in places:
+            if found := search[i](value):
+                key = (found.start(), found.start() - found.end(), i)
+                best = key if best is None or key < best else best
+        return NONE if best is None else best[2]
+    return rank
 
 
-def typer(patterns: Sequence[Pattern]) -> Callable[[pd.Series], tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """A function from cells to (code of each cell, distinct values, type of each distinct value).
+def rank_of(value: str | None, patterns: Sequence[Pattern] = PATTERNS) -> int:
+    return ranker(patterns)(value) if value else NONE
 
-    The code of NULL is the last place, of type NONE.
-    """
-    known: dict[str, int] = {"": NONE}
-    compiled = _compiled(patterns)
-
-    def types(cells: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        codes, values = pd.factorize(cells)
-        ranks = np.full(len(values) + 1, NONE, np.int8)
-        for i, v in enumerate(values):
-            rank = known.get(v)
-            if rank is None:
-                rank = _rank(v, compiled)
-                if len(v) <= LONGEST_REMEMBERED:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[v] = rank
-            ranks[i] = rank
-        return codes, values, ranks
+
+def typer(patterns: Sequence[Pattern]) -> Callable[[pa.Array], tuple[pa.Array, pa.Array, np.ndarray]]:
+    """A function from cells to (distinct values, the place of each cell among them, type of each distinct value)."""
+    rank = ranker(patterns)
+
+    def types(cells: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        coded = pc.dictionary_encode(cells)
+        return coded.dictionary, coded.indices, np.fromiter(map(rank, coded.dictionary.to_pylist()), np.int8, len(coded.dictionary))
     return types
 
 
 def cell_ranks(columns: Sequence[Column], patterns: Sequence[Pattern] = PATTERNS) -> Column:
     """A struct c0, c1, ... with the rank of the dominant type of each of some text columns."""
     chosen = tuple(patterns)
-    schema = T.StructType([T.StructField(f"c{i}", T.ByteType()) for i in range(len(columns))])
+    names = [f"c{i}" for i in range(len(columns))]
+    schema = T.StructType([T.StructField(c, T.ByteType()) for c in names])
 
-    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         types = typer(chosen)
         for batch in batches:
-            out = {}
-            for i, cells in enumerate((batch,) if isinstance(batch, pd.Series) else batch):
-                codes, _, ranks = types(cells)
-                out[f"c{i}"] = ranks[codes]
-            yield pd.DataFrame(out)
-    return F.pandas_udf(run, schema)(*columns)
+            out = []
+            for cells in (batch,) if isinstance(batch, pa.Array) else batch:
+                _, codes, ranks = types(cells)
+                out.append(pc.fill_null(pa.array(ranks, pa.int8()).take(codes), NONE))
+            yield pa.StructArray.from_arrays(out, names)
+    if len(names) == 1:  # one column comes as itself, not as a tuple
+        def alone(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            return run(batches)
+        return F.arrow_udf(alone, schema)(*columns)
+    return F.arrow_udf(run, schema)(*columns)
 
 
 def type_name(rank: str, patterns: Sequence[Pattern] = PATTERNS) -> str:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,21 +92,22 @@ def _count_all(rows: DataFrame, columns: Sequence[T.StructField], patterns: Sequ
     chosen, n = tuple(patterns), len(columns)
     blank = re.compile(f"[{''.join(SPACES)}]*")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = typer(chosen)
         filled, total = np.zeros((n, len(chosen) + 1), np.int64), np.zeros((n, len(chosen) + 1), np.int64)
         for batch in batches:
             for i in range(n):
-                codes, values, ranks = types(batch[f"c{i}"])
-                each = np.bincount(codes[codes >= 0], minlength=len(values))
-                some = np.fromiter((blank.fullmatch(v) is None for v in values), bool, len(values))
-                np.add.at(total[i], ranks[:-1], each)
-                np.add.at(filled[i], ranks[:-1], each * some)
-        at = np.argwhere(total)
-        yield pd.DataFrame({"position": at[:, 0], "rank": at[:, 1], "n": total[total > 0], "filled": filled[total > 0]})
+                values, codes, ranks = types(batch.column(i))
+                each = np.bincount(codes.drop_null().to_numpy(), minlength=len(values))
+                some = np.fromiter((blank.fullmatch(v) is None for v in values.to_pylist()), bool, len(values))
+                np.add.at(total[i], ranks, each)
+                np.add.at(filled[i], ranks, each * some)
+        at = np.argwhere(total).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(total[total > 0]), pa.array(filled[total > 0])],
+                                         ["position", "rank", "n", "filled"])
 
     cells = rows.select(*[F.col(name(f.name)).cast("string").alias(f"c{i}") for i, f in enumerate(columns)])
-    per_type = cells.mapInPandas(count, "position int, rank int, n bigint, filled bigint").groupBy("position", "rank").agg(
+    per_type = cells.mapInArrow(count, "position int, rank int, n bigint, filled bigint").groupBy("position", "rank").agg(
         F.sum("n").alias("n"), F.sum("filled").alias("filled"))
     typed = F.col("rank") < len(chosen)
     per_column = per_type.groupBy("position").agg(
@@ -129,8 +130,16 @@ def _count_sample(rows: DataFrame, columns: Sequence[T.StructField], patterns: S
 
 
 def sensitive_columns(df: DataFrame, **options) -> list[str]:
-    """Names of the sensitive columns, in table order. Collects one row per column."""
-    found = {r["column"] for r in classify(df, **options).where("sensitive").select("column").collect()}
+    """Names of the sensitive columns, in table order. Collects one row per column.
+
+    Columns whose names say it are not looked at, so a columnar source never reads them.
+    """
+    found = {c for c in df.columns if is_sensitive_name(c) and not _nested(df.schema[c].dataType)}
+    order = options.get("order_by") or ()
+    keys = {order} if isinstance(order, str) else set(order)
+    rest = df.select([name(c) for c in df.columns if c not in found or c in keys])
+    if set(rest.columns) - found:
+        found |= {r["column"] for r in classify(rest, **options).where("sensitive").select("column").collect()}
     return [c for c in df.columns if c in found]
 
 

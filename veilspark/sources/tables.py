@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.files import extension
 from ..functions.masks import is_filled
 from ..functions.sql import name
+from .csvblocks import has_quoted_newlines, read_records
 
 # Separators a header line may use.
 SEPARATORS = (",", ";", "\t", "|")
@@ -31,28 +32,22 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
     return max(SEPARATORS, key=lambda s: (line.count(s), -SEPARATORS.index(s)))
 
 
-def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
-    """Whether some record spans lines: then some line has an odd number of quotes.
-
-    A cheap scan of raw lines; files without such records can be split freely.
-    """
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return bool(spark.read.text(path).where(quotes % 2 == 1).limit(1).count())
-
-
 def read_csv(spark: SparkSession, path: str, sep: str | None = ",", encoding: str = "UTF-8",
              quoted_newlines: bool | str = "auto", skip_blank_rows: bool = False) -> DataFrame:
     """CSV with a header; every column is a string, missing cells are NULL.
 
-    ``sep=None`` looks at the header line. A reader that honours newlines
-    inside quotes cannot split files, so with ``auto`` it is used only if the
-    data needs it.
+    ``sep=None`` looks at the header line. Files split between tasks whatever they hold: with ``auto``
+    a scan looks for a record that spans lines and stops at the first, and files that have some
+    are cut block by block. Only encodings whose quotes and line ends aren't single bytes need a task for each file.
     """
+    sep = sep or sniff_separator(spark, path)
+    splits = encoding.lower() in _ASCII_LIKE
     if quoted_newlines == "auto":
-        quoted_newlines = encoding.lower() not in _ASCII_LIKE or has_quoted_newlines(spark, path)
-    df = (spark.read.option("header", True).option("sep", sep or sniff_separator(spark, path))
-          .option("encoding", encoding).option("quote", '"').option("escape", '"').option("nullValue", _NO_TEXT)
-          .option("multiLine", bool(quoted_newlines)).csv(path))
+        quoted_newlines = not splits or has_quoted_newlines(spark, path, sep, encoding)
+    options = {"sep": sep, "quote": '"', "escape": '"', "nullValue": _NO_TEXT, "multiLine": str(bool(quoted_newlines)).lower()}
+    df = spark.read.options(**options, header=True, encoding=encoding).csv(path)
+    if quoted_newlines and splits:
+        df = read_records(spark, path, df.schema, options, sep, encoding)
     return drop_blank_rows(df) if skip_blank_rows else df
 
 
