@@ -6,8 +6,8 @@ million cases. Equal sets become one class first. Of each bucket, that is the cl
 band key, the class that meets most others is the pivot, and every member is compared with it: a
 group of copies gives a star, not all its pairs. Only in buckets whose classes are still in
 several components after that are members of different components compared, tile by tile; a pair in
-the first band it shares. Signatures decide what is worth a look, the full sets what is a link, and
-components are taken by alternating large-star and small-star steps. Pairs never leave a task, only links do.
+the first band it shares. Signatures and half-length hashes decide what is worth a look, the full sets
+what is a link, and components are taken by alternating large-star and small-star steps. Pairs that are no links don't leave a task.
 """
 
 from __future__ import annotations
@@ -138,20 +138,27 @@ def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
+@F.pandas_udf(T.BinaryType())
+def shortened(members: pd.Series) -> pd.Series:
+    """The upper halves of a set's hashes."""
+    return pd.Series([(np.frombuffer(x, "<u8") >> np.uint64(32)).astype("<u4").tobytes() for x in members], dtype=object)
+
+
 def _compare(percent: int):
-    """(a, b): links between two tiles of a bucket, given by its key, whose members carry all that is compared."""
+    """(a, b): what may be a link between two tiles of a bucket, given by its key, whose members carry all that is compared."""
     least = least_agreement(percent)
 
     def read(tile: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         nodes, roots, bands, signatures, sets = tile.values.flatten()
         return (nodes.to_numpy(), roots.to_numpy(), bands.flatten().to_numpy().reshape(-1, BANDS),
-                np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(-1, MINIMA), [np.frombuffer(x, "<u8") for x in sets.to_pylist()])
+                np.frombuffer(b"".join(signatures.to_pylist()), np.uint8).reshape(-1, MINIMA), [np.frombuffer(x, "<u4") for x in sets.to_pylist()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, one, other in zip(batch.column("key").to_pylist(), batch.column("one"), batch.column("other"), strict=True):
-                nodes, roots, bands, left, sets = read(one)
-                others, theirs, their_bands, right, their_sets = read(other)
+                mine = read(one)
+                nodes, roots, bands, left, sets = mine
+                others, theirs, their_bands, right, their_sets = read(other) if other.is_valid else mine
                 found = []
                 for at in range(0, len(nodes), 16):
                     apart = roots[at: at + 16, None] != theirs[None, :]
@@ -163,7 +170,7 @@ def _compare(percent: int):
                         # a pair is the business of the first band it shares
                         if bands[i, np.argmax(bands[i] == their_bands[j])] == key and nodes[i] != others[j]:
                             x, y = sets[i], their_sets[j]
-                            common = len(np.intersect1d(x, y, assume_unique=True))
+                            common = int(np.isin(x, y).sum())  # no fewer than the whole hashes have in common
                             if 100 * common >= percent * (len(x) + len(y) - common):
                                 found.append((nodes[i], others[j]))
                 if found:
@@ -171,41 +178,34 @@ def _compare(percent: int):
     return run
 
 
-def sets_of(nodes: DataFrame, keyed: DataFrame) -> DataFrame:
-    """(node, members): the full sets of classes (node, _k1, _k2), from the texts that stand for them."""
-    return checkpoint(keyed.join(small(nodes), ["_k1", "_k2"]).dropDuplicates(["node"]).select("node", set_of("text").alias("members")))
-
+def unsettled(placed: DataFrame, involved: DataFrame, roots: DataFrame, percent: int, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """Pairs (a, b) of classes of different components that meet in a bucket and are links, if half of each hash can tell.
 
-def unsettled(placed: DataFrame, classes: DataFrame, roots: DataFrame, keyed: DataFrame, percent: int, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
-    """Links (a, b) between classes of different components that meet in a bucket.
-
-    A bucket of any size is cut into tiles of bounded size, and a task compares two of them; only links leave it.
+    A bucket of any size is cut into tiles of bounded size, and a task compares two of them; only such pairs leave it. Members
+    go straight to the pairs of tiles they are in, so what they carry is shuffled once.
     """
     rooted = placed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sized = F.greatest(F.ceil(F.count(F.lit(1)) / tile), F.ceil(8 * F.sum("n") / tile_bytes)).cast("int")
+    sized = F.greatest(F.ceil(F.count(F.lit(1)) / tile), F.ceil(4 * F.sum("n") / tile_bytes)).cast("int")
     open_keys = checkpoint(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), sized.alias("cuts"))
                            .where("low <> high").select("key", "cuts"))
-    inside = checkpoint(rooted.join(small(open_keys), "key").select("key", "cuts", "node", "root"))
-    wanted = checkpoint(inside.select("node").distinct().join(classes.select("node", "_k1", "_k2", "bands", "signature"), "node"))
-    carried = wanted.select("node", "bands", "signature").join(sets_of(wanted.select("node", "_k1", "_k2"), keyed), "node")
-    tiles = (inside.join(carried, "node").withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
-             .groupBy("key", "cuts", "cut").agg(F.collect_list(F.struct("node", "root", "bands", "signature", "members")).alias("tile"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-             .groupBy("key", F.least("cut", "other").alias("i"), F.greatest("cut", "other").alias("j")).agg(F.collect_list("tile").alias("tiles")))
-    return checkpoint(tiles.select("key", F.element_at("tiles", 1).alias("one"), F.element_at("tiles", -1).alias("other"))
-                      .mapInArrow(_compare(percent), "a bigint, b bigint"))
-
-
-def confirmed(pairs: DataFrame, classes: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
+    inside = (rooted.join(small(open_keys), "key").withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+              .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+              .select("key", F.least("cut", "with").alias("i"), F.greatest("cut", "with").alias("j"), "cut", "node", "root"))
+    member = F.struct("node", "root", "bands", "signature", "members")
+    carried = involved.select("node", "bands", "signature", shortened("members").alias("members"))
+    tiles = (checkpoint(inside).join(carried, "node").groupBy("key", "i", "j")
+             .agg(F.collect_list(F.when(F.col("cut") == F.col("i"), member)).alias("one"), F.collect_list(F.when(F.col("cut") == F.col("j"), member)).alias("other")))
+    return checkpoint(tiles.select("key", "one", F.when(F.col("i") != F.col("j"), F.col("other")).alias("other")).mapInArrow(_compare(percent), "a bigint, b bigint"))
+
+
+def confirmed(pairs: DataFrame, involved: DataFrame, percent: int) -> DataFrame:
     """Of the pairs (a, b) those whose sizes, signatures and, last, whole sets allow the link."""
-    end = lambda which: classes.select(*(F.col(c).alias(f"{c}_{which}") for c in ("node", "n", "signature"))).withColumnRenamed(f"node_{which}", which)
-    likely = checkpoint(pairs.join(end("a"), "a").join(end("b"), "b")
+    def end(which: str, *columns: str) -> DataFrame:
+        return involved.select(F.col("node").alias(which), *(F.col(c).alias(f"{c}_{which}") for c in columns))
+    likely = checkpoint(pairs.join(end("a", "n", "signature"), "a").join(end("b", "n", "signature"), "b")
                         .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
                         .where(agreement("signature_a", "signature_b") >= least_agreement(percent)).select("a", "b", "n_a", "n_b"))
-    sets = sets_of(checkpoint(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "_k1", "_k2"), "node")), keyed)
-    both = (likely.join(sets.select(F.col("node").alias("a"), F.col("members").alias("of_a")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("members").alias("of_b")), "b")
-            .withColumn("common", in_common("of_a", "of_b")))
+    both = likely.join(end("a", "members"), "a").join(end("b", "members"), "b").withColumn("common", in_common("members_a", "members_b"))
     return checkpoint(both.where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b"))
 
 
@@ -228,8 +228,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     shared = checkpoint(in_band.groupBy("key").count().where("count > 1"))
     placed = checkpoint(in_band.join(small(shared), "key"))
 
-    links = confirmed(pivots(placed), classes, keyed, percent)
-    links = links.unionByName(unsettled(placed, classes, components(links), keyed, percent))
+    # only classes that meet another one need their sets
+    nodes = checkpoint(placed.select("node").distinct())
+    meeting = checkpoint(classes.join(small(nodes), "node").select("node", "n", "_k1", "_k2", "bands", "signature"))
+    sets = (keyed.join(small(meeting.select("node", "_k1", "_k2")), ["_k1", "_k2"]).dropDuplicates(["node"])
+            .select("node", set_of("text").alias("members")))
+    involved = checkpoint(meeting.select("node", "n", "bands", "signature").join(sets, "node"))
+    links = confirmed(pivots(placed), involved, percent)
+    links = links.unionByName(confirmed(unsettled(placed, involved, components(links), percent), involved, percent))
     rooted = classes.select("cls", "node", "least").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(groups, "root").select("cls", "component_id")
