@@ -171,8 +171,7 @@ from found a join found b on a.k = b.k and (a.start, -a."end", a.type) < (b.star
  and a.start < b."end" - 2 and b.start < a."end" - 2"""))
 def overlap_pairs(spark, sf_dir):
     """Which findings collide with which."""
-    rows = explode_findings(raw_findings(contacts(spark, sf_dir), "notes"), "contact_id")
-    return overlap.overlap_pairs(rows, "contact_id")
+    return overlap.overlap_pairs(raw_findings(contacts(spark, sf_dir), "notes"), "contact_id")
 
 
 @query(lambda: o.scan(CONTACTS, "contact_id", "notes", """
@@ -426,6 +425,23 @@ def contextual_hook(spark, sf_dir):
     return found.select("contact_id", "type", "match", "method")
 
 
+@query(lambda: o.scan("documents", "doc_id", "text", """
+, per as (select k, count(*) as n from kept group by k)
+select case when k % 7 <> 0 then epoch_ms((1704067200 + 86400 * (k % 40)) * 1000) end as timestamp,
+ case when k % 7 = 0 then '?' else '/in/doc_' || k || '.txt' end as file, case when k % 7 = 0 then '?' else n::varchar end as total_findings,
+ k % 7 <> 0 as readable, date '2024-01-01' + (k % 40)::integer as date from per""".lstrip("\n")))
+def audit_json_logs(spark, sf_dir):
+    """Audit records as JSON logs in folders by date, some of them damaged, and what is read of them."""
+    path = scratch(spark, "logs")
+    doc = F.regexp_extract("file", r"(\d+)", 1).cast("bigint")
+    records = _audits(spark, sf_dir).withColumn("timestamp", F.timestamp_seconds(1704067200 + 86400 * (doc % 40)))
+    audit.write_audit_logs(records.drop("findings"), path + "-whole")
+    cut = spark.read.text(path + "-whole")
+    doc = F.regexp_extract("value", r"doc_(\d+)", 1).cast("bigint")
+    cut.withColumn("value", F.when(doc % 7 == 0, F.substring("value", 1, 40)).otherwise(F.col("value"))).write.partitionBy("date").text(path)
+    return audit.read_audit_logs(spark, path).select("timestamp", "file", "total_findings", "readable", "date")
+
+
 @query(lambda: o.scan("documents", "doc_id", "text",
                       "select 'regex' as method, count(distinct k) as records, count(*) as findings from kept"))
 def audit_by_method(spark, sf_dir):

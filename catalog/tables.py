@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
+from veilspark.functions.masks import TOKENIZE
 from veilspark.functions.values import coerce
 from veilspark.operators.normalize import cast_columns, infer_types as infer
 from veilspark.operators.normalize import lower_names, normalize_rows as normalize
+from veilspark.operators import vault
 from veilspark.operators.classify import sensitive_columns
 from veilspark.operators.scrub import plan_levels
 from veilspark.plans.jobs import recover_table, scrub_table
@@ -16,7 +20,7 @@ from veilspark.streaming import scrub as streaming
 
 from . import oracle as o
 from .base import CONTACTS, contacts, query, table
-from .masking import _scrub_sql
+from .masking import _scrub_sql, demo_key
 
 STRINGS = ("full_name", "email", "phone", "ssn", "credit_card", "ip_address", "salary", "dept", "remark", "notes")
 
@@ -44,11 +48,11 @@ def json_roundtrip(spark, sf_dir):
     return src.read_json(spark, path)
 
 
-@query("select cast(n_nationkey as varchar) as n_nationkey, n_name, cast(n_regionkey as varchar) as n_regionkey from nation")
+@query("select cast(doc_id as varchar) as doc_id, text, lang, source from documents where not coalesce(text, '') = ''")
 def csv_json_csv(spark, sf_dir):
-    """CSV to JSON and back."""
+    """Documents from CSV to JSON and back, with all their quotes and line breaks."""
     first, second, third = (scratch(spark, n) for n in ("csv", "json", "csv"))
-    src.write_csv(table(spark, sf_dir, "nation"), first)
+    src.write_csv(table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source").where("text <> ''"), first)
     src.csv_to_json(spark, first, second)
     src.json_to_csv(spark, second, third)
     return src.read_csv(spark, third)
@@ -243,3 +247,99 @@ def stream_scan(spark, sf_dir):
     streaming.scan_stream(stream, "text", out, state, size=2000).awaitTermination()
     return spark.read.parquet(out).select("doc_id", F.explode(F.expr("transform(findings, f -> f.type)")).alias("type")) \
         .groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _two_phase(spark, sf_dir):
+    """A stream whose files arrive in two lots; a batch of the first lot runs twice, as it does after a failure."""
+    incoming, out, state = (scratch(spark, n) for n in ("incoming", "scrubbed", "state"))
+    rows = contacts(spark, sf_dir)
+    for lot in (0, 1):
+        rows.where(F.col("contact_id") % 2 == lot).coalesce(1).write.mode("append").parquet(incoming)
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
+        streaming.scrub_arriving(stream, out, state, "external").awaitTermination()
+        if lot == 0:
+            streaming.scrub_batch(spark.read.parquet(incoming), 0, out, state, "external")
+    return out, state
+
+
+@query(lambda: _scrub_sql(o.mask_full, drop=("notes",)))
+def stream_two_phase(spark, sf_dir):
+    """Classified by its first batch inside the stream, restarted, a batch run twice; equals the batch job."""
+    return streaming.read_scrubbed(spark, _two_phase(spark, sf_dir)[0])
+
+
+COUNTED = ("full_name", "email", "phone", "ssn", "credit_card", "ip_address", "salary")
+
+
+@query(lambda: f"select '_rows' as counter, count(*) as n from {CONTACTS} c" + "".join(
+    f" union all select '{c}', count(*) filter (where regexp_matches(coalesce({c}::varchar, ''), '\\S')) from {CONTACTS} c" for c in COUNTED))
+def stream_counters(spark, sf_dir):
+    """Rows and cells the stream has masked, each batch counted once whatever ran twice."""
+    return streaming.counters(spark, _two_phase(spark, sf_dir)[1]).where("counter <> 'contact_id'")
+
+
+DEPARTMENTS = ("Engineering", "Legal", "Sales", "Support")  # nobody is in Legal
+
+
+@query(" union all ".join(f"""select '{d}' as dept, count(*) filter (where dept = '{d}') as total_rows,
+ count(*) filter (where dept = '{d}' and coalesce(email, '') <> '') as emails, 0::bigint as rows_read from {CONTACTS} c""".replace(
+     "0::bigint as rows_read", f"count(*) filter (where dept = '{d}') as rows_read") for d in DEPARTMENTS))
+def empty_table_job(spark, sf_dir):
+    """A job per department; the table of one has a header and no rows, and so has its result."""
+    done = []
+    for dept in DEPARTMENTS:
+        source, target = scratch(spark, "in") + ".csv", scratch(spark, "out") + ".csv"
+        src.write_csv(contacts(spark, sf_dir).where(F.col("dept") == dept), source)
+        result = scrub_table(spark, source, target, "external")
+        back = src.read_csv(spark, target)
+        if back.columns and "notes" in back.columns:
+            raise ValueError("a deleted column came back")
+        done.append(back.agg(F.lit(dept).alias("dept"), F.lit(result.total_rows).cast("bigint").alias("total_rows"),
+                             F.lit(result.pii_by_column.get("email", 0)).cast("bigint").alias("emails"), F.count(F.lit(1)).alias("rows_read")))
+    return functools.reduce(lambda a, b: a.unionByName(b), done)
+
+
+ORDER_EMAILS = "select o_orderkey, 'user' || o_custkey || '@example.com' as email from orders"
+
+
+@query(f"""select c.contact_id::varchar as contact_id, count(*) as orders from {CONTACTS} c join ({ORDER_EMAILS}) x on x.email = c.email group by all""")
+def vault_shared(spark, sf_dir):
+    """Two tables tokenised by two jobs with one vault join on their tokens as they did on their values."""
+    people, buys, one, two = (scratch(spark, n) + ".csv" for n in ("people", "orders", "one", "two"))
+    common = scratch(spark, "vault")
+    src.write_csv(contacts(spark, sf_dir).select("contact_id", "email"), people)
+    src.write_csv(table(spark, sf_dir, "orders").selectExpr("o_orderkey", "concat('user', o_custkey, '@example.com') as email"), buys)
+    for source, target in ((people, one), (buys, two)):
+        scrub_table(spark, source, target, password="open sesame", levels={"email": TOKENIZE}, vault_path=common)
+    masked = src.read_csv(spark, one)
+    if not masked.where("email like 'user%'").isEmpty():
+        raise ValueError("an e-mail is not masked")
+    return masked.join(src.read_csv(spark, two), "email").groupBy("contact_id").agg(F.count(F.lit(1)).alias("orders"))
+
+
+@query(f"""with a as (select distinct email as v from {CONTACTS} c where regexp_matches(coalesce(email, ''), '\S')),
+b as (select distinct phone as v from {CONTACTS} c)
+select (select count(*) from a) as first_run, (select count(*) from b where v not in (select v from a)) as second_run, 0::bigint as third_run,
+ (select count(*) from (from a union from b) t) as entries""")
+def vault_grows(spark, sf_dir):
+    """A second job adds only what is new to a vault, and a job that runs again adds nothing."""
+    path, key = scratch(spark, "vault"), demo_key()
+    df = contacts(spark, sf_dir)
+    added = [vault.extend_vault(df, columns, path, key) for columns in (["email"], ["email", "phone"], ["phone", "email"])]
+    return spark.read.parquet(path).agg(*(F.lit(n).cast("bigint").alias(c) for n, c in zip(added, ("first_run", "second_run", "third_run"), strict=True)),
+                                        F.count(F.lit(1)).alias("entries"))
+
+
+@query(lambda: " union all ".join(f"""select '{p}' as preset, 'csv' as format, count(*) as total_rows, 11 as total_columns,
+ count(*) filter (where regexp_matches(coalesce(email, ''), '\S')) as emails, count(*) as phones, 'clean' as dept, 'SENSITIVE' as salary from {CONTACTS} c"""
+                                  for p in ("external", "internal")))
+def scrub_audit(spark, sf_dir):
+    """The audit records of scrub jobs, appended to a table and read back."""
+    audits = scratch(spark, "audits")
+    source = scratch(spark, "in") + ".csv"
+    src.write_csv(contacts(spark, sf_dir), source)
+    for preset in ("external", "internal"):
+        scrub_table(spark, source, scratch(spark, "out") + ".csv", preset, audit_path=audits)
+    return spark.read.parquet(audits).select(
+        "preset", "format", "total_rows", "total_columns", F.col("pii_by_column")["email"].alias("emails"), F.col("pii_by_column")["phone"].alias("phones"),
+        F.col("column_classification")["dept"].alias("dept"), F.col("column_classification")["salary"].alias("salary"))

@@ -150,14 +150,17 @@ def test_redaction_clamps_and_replaces(one, spark):
 def test_overlap_pairs_and_dropped(spark):
     texts = _random_texts(200, 11, 14)
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
-    pairs = {(r["id"], r["type_a"], r["start_a"], r["type_b"], r["start_b"])
-             for r in overlap.overlap_pairs(explode_findings(raw_findings(df, "t"), "id"), "id").collect()}
+    found = overlap.overlap_pairs(raw_findings(df, "t"), "id")
+    pairs = {(r["id"], r["type_a"], r["start_a"], r["type_b"], r["start_b"]) for r in found.collect()}
     want = set()
     for i, t in enumerate(texts):
         spans = [(s, -e, k) for k, s, e, _ in plain.raw(t)]
         want |= {(i, a[2], a[0], b[2], b[0]) for a in spans for b in spans
                  if a < b and a[0] < -b[1] - 2 and b[0] < -a[1] - 2}
     assert pairs == want
+    assert not re.search("Exchange|Join", found._jdf.queryExecution().executedPlan().toString())
+    many = spark.createDataFrame([(1, [(i, i + 9, "x") for i in range(0, 60_000, 3)])], "id int, findings array<struct<start:int,`end`:int,type:string>>")
+    assert overlap.overlap_pairs(many, "id").count() == 2 * 20_000 - 3
     marked = marked_findings(df, "t")
     kept, dropped = overlap.kept_findings(marked, "id"), overlap.dropped_findings(marked, "id")
     assert kept.count() + dropped.count() == sum(len(plain.raw(t)) for t in texts)

@@ -1,9 +1,11 @@
 import json
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tests import plain
@@ -13,6 +15,7 @@ from veilspark.operators.scrub import plan_levels, scrub, scrub_counts, scrub_su
 from veilspark.plans.jobs import recover_table, scan_documents, scrub_table
 from veilspark.session import hide_keys, scratch, shared_dir
 from veilspark.sources import csvblocks, documents, sqldump, tables
+from veilspark.streaming import scrub as scrub_module
 from veilspark.streaming.scrub import RunningCounters, freeze_policy, scrub_stream
 
 EMPLOYEES = ("name,email,phone,notes\n"
@@ -377,6 +380,89 @@ def test_stream_equals_batch_and_freezes_policy(spark, tmp_path):
     assert counters.totals == {"_rows": 20, "email": 20}
 
 
+def test_a_stream_that_fails_between_rows_and_counts(spark, tmp_path, monkeypatch):
+    incoming, out, state = (str(tmp_path / n) for n in ("incoming", "out", "state"))
+    rows_of = lambda lo, hi: spark.createDataFrame([(i, f"user{i}@example.com", "x" if i % 2 else None) for i in range(lo, hi)], "id int, email string, contact string")
+    for lo in (0, 10, 20):
+        rows_of(lo, lo + 10).coalesce(1).write.mode("append").parquet(incoming)
+    stream = lambda: spark.readStream.schema("id int, email string, contact string").option("maxFilesPerTrigger", 1).parquet(incoming)
+    whole, calls = scrub_module.Observation, []
+
+    class Breaks(whole):
+        @property
+        def get(self):
+            calls.append(1)
+            if len(calls) == 2:
+                raise RuntimeError("lost between rows and counts")
+            return super().get
+    monkeypatch.setattr(scrub_module, "Observation", Breaks)
+    with pytest.raises(StreamingQueryException):
+        scrub_module.scrub_arriving(stream(), out, state, "external").awaitTermination()
+    scrub_module.scrub_arriving(stream(), out, state, "internal").awaitTermination()  # the frozen policy holds
+    got = scrub_module.read_scrubbed(spark, out)
+    assert got.count() == 30 == got.select("id").distinct().count() and got.where("email like 'anon_%'").count() == 30
+    assert {r["counter"]: r["n"] for r in scrub_module.counters(spark, state).collect()} == {"_rows": 30, "email": 30}
+    assert scrub_module.frozen_policy(spark, f"{state}/policy") == {"email": "scrub"}
+
+
+def test_streams_without_rows_write_nothing(spark, tmp_path):
+    incoming, out, state = (str(tmp_path / n) for n in ("incoming", "out", "state"))
+    spark.createDataFrame([], "id int, email string").coalesce(1).write.parquet(incoming)
+    scrub_module.scrub_arriving(spark.readStream.schema("id int, email string").parquet(incoming), out, state).awaitTermination()
+    assert scrub_module.frozen_policy(spark, f"{state}/policy") is None
+
+
+def test_one_vault_for_many_jobs(spark, tmp_path):
+    path, other, merged = (str(tmp_path / n) for n in ("v", "w", "m"))
+    one = spark.createDataFrame([("a@b.com", "x1"), ("c@d.org", None)], "email string, note string")
+    key = vault.vault_key(spark, path, "pw", rounds=1000)
+    assert vault.extend_vault(one, ["email"], path, key) == 2 and vault.extend_vault(one, ["email", "note"], path, key) == 1
+    assert vault.extend_vault(one, ["email", "note"], path, key) == 0
+    again = vault.vault_key(spark, path, "pw", rounds=1000)
+    assert again == key
+    with pytest.raises(ValueError, match="wrong password"):
+        vault.vault_key(spark, path, "other", rounds=1000)
+    key2 = vault.vault_key(spark, other, "pw", rounds=1000)
+    assert key2.salt != key.salt and vault.extend_vault(one, ["email"], other, key2) == 2
+    assert vault.merge_vaults(spark, [path, other], "pw", merged, rounds=1000) == 5
+    opened = vault.open_vault(*vault.load_vault(spark, merged, "pw", rounds=1000))
+    for k in (key, key2):
+        masked = scrub(one, {"email": "tokenize"}, k.token)
+        assert rows(vault.recover(masked, opened).select("email", "note")) == rows(one)
+    # the same entry twice, as two jobs at once may add it, is no collision; two values are
+    twice = spark.read.parquet(path).drop("salt")
+    assert vault.collisions(twice.union(twice), key).isEmpty() and not vault.collisions(twice.union(twice)).isEmpty()
+    clash = twice.withColumn("token", F.lit("TOK_0"))
+    assert vault.collisions(clash, key).count() == 1
+    empty = str(tmp_path / "e")
+    assert vault.extend_vault(one.limit(0), ["email"], empty, key) == 0
+    assert vault.vault_key(spark, empty, "any", rounds=1000).salt
+
+
+def test_only_cells_like_tokens_are_shuffled(spark):
+    key = vault.VaultKey.derive("pw", b"salt", 1000)
+    df = spark.createDataFrame([(i, f"user{i}@example.com", f"plain {i}", None) for i in range(50)], "id int, email string, a string, b string")
+    masked = scrub(df, {"email": "tokenize"}, key.token)
+    opened = vault.open_vault(vault.build_vault(df, ["email"], key), key)
+    out = vault.recover(masked, opened, row_key=["id"], broadcast_rows=0)
+    assert rows(out.drop("recovered_cells")) == rows(df)
+    cells = masked.select(F.explode(F.array("email", "a", "b")).alias("c"))
+    assert cells.where(F.col("c").rlike(vault.TOKEN_SHAPE)).count() == 50
+
+
+def test_recent_audits_read_the_newest_days(spark, tmp_path):
+    path = str(tmp_path / "audits")
+    days = spark.range(400).select(F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 43200).alias("timestamp"), F.format_string("/in/f%d.txt", "id").alias("file"),
+                                   F.lit(1).alias("total_findings"), F.create_map(F.lit("regex"), F.lit(1).cast("bigint")).alias("by_method"))
+    audit.append_audit(days, path)
+    records = spark.read.parquet(path)
+    got = audit.recent_audits(records, 5)
+    assert [r["file"] for r in got.collect()] == [f"f{i}.txt" for i in range(399, 394, -1)] and got.first()["of_total"] == 400
+    assert re.search(r"PartitionFilters: \[.*date.*>= 2024-07-1", got._jdf.queryExecution().executedPlan().toString())
+    assert audit.recent_audits(records.drop("date"), 5).collect() == got.collect()
+    assert audit.recent_audits(records.where("false"), 5).count() == 0
+
+
 def test_shared_folder_comes_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert named is None or shared_dir(spark) == named.rstrip("/")

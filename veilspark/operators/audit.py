@@ -44,29 +44,63 @@ def append_audit(records: DataFrame, path: str) -> None:
         .write.mode("append").partitionBy("date").parquet(path)
 
 
+# Fixed value: fields of an audit record kept as JSON.
+JSON_RECORD = ("timestamp string, file string, redaction_style string, total_findings bigint, "
+               "by_category map<string,bigint>, by_method map<string,bigint>, scanned_chars bigint")
+
+
+def _record(value: str, log: Column) -> list[Column]:
+    r = F.from_json(value, JSON_RECORD)
+    good = r["timestamp"].isNotNull()
+    return [F.to_timestamp(r["timestamp"]).alias("timestamp"), F.when(good, r["file"]).otherwise(log).alias("file"),
+            F.when(good, r["total_findings"].cast("string")).otherwise("?").alias("total_findings"),
+            F.when(good, r["by_method"]).alias("by_method"), good.alias("readable")]
+
+
 def read_audit_files(spark: SparkSession, path: str) -> DataFrame:
     """Audit records kept as one JSON file per run; unreadable files show as ``?``."""
-    schema = ("timestamp string, file string, redaction_style string, total_findings bigint, "
-              "by_category map<string,bigint>, by_method map<string,bigint>, scanned_chars bigint")
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="audit_*.json", recursiveFileLookup=True) \
-        .select(F.col("_metadata.file_path").alias("log"), F.from_json("value", schema).alias("r"))
-    good = F.col("r.timestamp").isNotNull()
-    return files.select(
-        F.to_timestamp("r.timestamp").alias("timestamp"),
-        F.when(good, F.col("r.file")).otherwise(F.expr(filename("log"))).alias("file"),
-        F.when(good, F.col("r.total_findings").cast("string")).otherwise("?").alias("total_findings"),
-        F.when(good, F.col("r.by_method")).alias("by_method"), good.alias("readable"))
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="audit_*.json", recursiveFileLookup=True)
+    return files.select(*_record("value", F.expr(filename("_metadata.file_path"))))
+
+
+def write_audit_logs(records: DataFrame, path: str, mode: str = "append") -> None:
+    """Audit records as JSON lines, one file per task, in folders by date."""
+    day = F.date_format("timestamp", "yyyy-MM-dd").alias("date")
+    text = F.to_json(F.struct(F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
+                              *[F.col(name(c)) for c in records.columns if c != "timestamp"]))
+    records.select(text.alias("value"), day).write.mode(mode).partitionBy("date").text(path)
+
+
+def read_audit_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Audit records of JSON lines, with the date of their folder; a line that can't be read shows as ``?``."""
+    lines = spark.read.text(path)
+    return lines.where("trim(value) <> ''").select(*_record("value", F.lit("?")), F.col("date").cast("date").alias("date"))
 
 
 def recent_audits(records: DataFrame, n: int = 10) -> DataFrame:
-    """The newest n records with their detectors, and how many there are in all."""
-    total = records.agg(F.count(F.lit(1)))
+    """The newest n records with their detectors, and how many there are in all.
+
+    Of a table by date only the newest days are read, as many as hold n records; the others are counted, and of a Parquet
+    table that takes no more than its footers.
+    """
+    if "date" in records.columns:
+        per_day = records.groupBy("date").agg(F.count(F.lit(1)).alias("n"))  # one row per day
+        days = sorted(((r["date"], r["n"]) for r in per_day.collect() if r["date"] is not None), reverse=True)
+        total, seen, first = F.lit(sum(d[1] for d in days)).cast("bigint"), 0, None
+        for day, count in days:
+            if seen >= n:
+                break
+            seen, first = seen + count, day
+        if first is not None:
+            records = records.where(F.col("date") >= F.lit(first))
+    else:
+        total = records.agg(F.count(F.lit(1))).scalar()
     newest = records.orderBy(F.desc("timestamp"), "file").limit(n)
     return newest.select(
         F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("date"),
         F.expr(filename("file")).alias("file"), "total_findings",
         F.expr(f"coalesce({method_label('by_method')}, '?')").alias("method"),
-        total.scalar().alias("of_total"))
+        total.alias("of_total"))
 
 
 def by_method(records: DataFrame) -> DataFrame:

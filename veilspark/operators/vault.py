@@ -8,6 +8,7 @@ import os
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,9 @@ from .lookup import fits_broadcast, salted_lookup
 PBKDF2_ROUNDS = 600_000
 KEY_BYTES = 32
 
+# Fixed value: what tokens look like; other cells need no look into a vault.
+TOKEN_SHAPE = r"^(?:tok_[0-9a-f]+@masked\.local|(?:\+1-555-|XXX-XX-|TOK-CC-|Person_|TOK_)[0-9a-f]+)$"
+
 
 @dataclass(frozen=True)
 class VaultKey:
@@ -58,10 +62,20 @@ def tokenised_columns(levels: dict[str, str]) -> list[str]:
     return [c for c, level in levels.items() if level == TOKENIZE]
 
 
-def collisions(vault: DataFrame) -> DataFrame:
-    """Tokens that stand for more than one value. Recovery is only safe if there are none."""
-    return vault.groupBy("token").agg(F.count(F.lit(1)).alias("values_per_token")) \
-        .where(F.col("values_per_token") > 1)
+def collisions(vault: DataFrame, key: VaultKey | None = None) -> DataFrame:
+    """Tokens that stand for more than one value. Recovery is only safe if there are none.
+
+    With the key, entries of one token that two runs have added for the same value count once.
+    """
+    value = F.lit(1) if key is None else F.expr(f"sha2(aes_decrypt(value_enc, unhex('{key.cipher}'), 'GCM'), 256)")
+    per_token = vault.groupBy("token")
+    if key is None:
+        found = per_token.agg(F.count(value).alias("values_per_token"))
+    else:  # the least and the greatest tell; a token of many entries never gathers them
+        hide_keys(vault.sparkSession)
+        told = vault.select("token", value.alias("v")).groupBy("token").agg(F.min("v").alias("a"), F.max("v").alias("b"))
+        found = told.select("token", F.when(F.col("a") == F.col("b"), 1).otherwise(2).cast("bigint").alias("values_per_token"))
+    return found.where(F.col("values_per_token") > 1)
 
 
 def open_vault(vault: DataFrame, key: VaultKey) -> DataFrame:
@@ -89,6 +103,68 @@ def load_vault(spark: SparkSession, path: str, password: str,
     return stored.drop("salt"), key
 
 
+def vault_key(spark: SparkSession, path: str, password: str, rounds: int = PBKDF2_ROUNDS) -> VaultKey:
+    """The key of a vault, with the salt it has if it exists and is not empty; an error if the password does not fit."""
+    try:
+        stored, key = load_vault(spark, path, password, rounds)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return VaultKey.derive(password, rounds=rounds)
+    if stored.isEmpty():
+        return VaultKey.derive(password, rounds=rounds)
+    open_vault(stored, key)
+    return key
+
+
+def extend_vault(df: DataFrame, columns: Iterable[str], path: str, key: VaultKey, token_digits: int = 24) -> int:
+    """Add what is new in some columns to a vault, made if there is none. Returns the number of entries added.
+
+    Tokens are a digest of key, type and value, so tables tokenised with one vault join on their tokens. Entries a
+    vault has are found by an anti-join on tokens alone; a run that is repeated after a failure adds nothing twice. The result
+    is checked: an error if a token stands for two values.
+    """
+    spark = df.sparkSession
+    fresh = build_vault(df, columns, key, token_digits)
+    try:
+        known = spark.read.parquet(path).select("token")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = None
+    # the anti-join reads the vault that is written to, so what is new is written aside first
+    new = checkpoint(fresh if known is None else fresh.join(known, "token", "left_anti"))
+    n = new.count()
+    if n or known is None:
+        new.withColumn("salt", F.lit(key.salt)).write.mode("append").parquet(path)
+    whole = spark.read.parquet(path)
+    if not collisions(whole, key).isEmpty():
+        raise ValueError("two values share a token: use more token digits")
+    return n
+
+
+def merge_vaults(spark: SparkSession, paths: Sequence[str], password: str, target: str, rounds: int = PBKDF2_ROUNDS) -> int:
+    """One vault out of several of the same password, whatever their salts; returns its entries.
+
+    Tokens stay as they are, so every table that was tokenised with any of the vaults can be recovered with the
+    new one; values are encrypted anew under one key. Equal entries count once; an error if vaults disagree on a token.
+    """
+    hide_keys(spark)
+    key = vault_key(spark, target, password, rounds)
+    opened = []
+    for path in paths:
+        stored, own = load_vault(spark, path, password, rounds)
+        values = open_vault(stored.drop("pii_type"), own).join(stored.select("token", "pii_type"), "token")
+        opened.append(values.distinct())
+    union = functools.reduce(lambda a, b: a.unionByName(b), opened)
+    per_token = checkpoint(union.groupBy("token").agg(F.min("value").alias("value"), F.max("value").alias("other"), F.min("pii_type").alias("pii_type")))
+    if not per_token.where("value <> other").isEmpty():
+        raise ValueError("a token stands for different values in these vaults")
+    sealed = per_token.select("token", "pii_type", F.expr(f"aes_encrypt(encode(value, 'UTF-8'), unhex('{key.cipher}'), 'GCM')").alias("value_enc"))
+    save_vault(sealed, target, key)
+    return per_token.count()
+
+
 def read_single_blob_vault(spark: SparkSession, path: str, password: str, salt: bytes) -> DataFrame:
     """``(token, value)`` from a vault file that is one encrypted JSON map.
 
@@ -107,14 +183,16 @@ def read_single_blob_vault(spark: SparkSession, path: str, password: str, salt:
 
 
 def recover(df: DataFrame, opened: DataFrame, columns: Sequence[str] | None = None,
-            row_key: Sequence[str] | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+            row_key: Sequence[str] | None = None, broadcast_rows: int = BROADCAST_ROWS,
+            shape: str | None = TOKEN_SHAPE) -> DataFrame:
     """Replace every cell that is a token by its value; all other cells stay.
 
     By default every string column is looked at. The added ``recovered_cells``
     counts the replacements of a row. A vault too large to broadcast is joined once, to narrow
     cells of all columns, whose values come back to the rows by ``row_key``. The key
     must tell rows apart, NULLs included, or it is an error; without one
-    rows are numbered and written to the shared folder first.
+    rows are numbered and written to the shared folder first. Only cells of the ``shape`` of tokens are
+    shuffled then; a vault of other tokens needs another shape, or None.
     """
     columns = list(columns or [f.name for f in df.schema.fields
                                if f.dataType.simpleString() == "string" and f.name not in (row_key or ())])
@@ -122,9 +200,9 @@ def recover(df: DataFrame, opened: DataFrame, columns: Sequence[str] | None = No
         raise ValueError(f"rows share a key: {', '.join(row_key)}")
     if not fits_broadcast(opened, broadcast_rows):
         if row_key:
-            return _recover_by_cells(df, opened, columns, list(row_key))
+            return _recover_by_cells(df, opened, columns, list(row_key), shape)
         numbered = checkpoint(df.withColumn("_row", F.monotonically_increasing_id()))
-        return _recover_by_cells(numbered, opened, columns, ["_row"]).drop("_row")
+        return _recover_by_cells(numbered, opened, columns, ["_row"], shape).drop("_row")
     out = df.withColumn("recovered_cells", F.lit(0))
     for c in columns:
         table = opened.select(F.col("token").alias(c), F.col("value").alias("_value"))
@@ -136,11 +214,11 @@ def recover(df: DataFrame, opened: DataFrame, columns: Sequence[str] | None = No
     return out.select(*df.columns, "recovered_cells")
 
 
-def _recover_by_cells(df: DataFrame, opened: DataFrame, columns: list[str], row_key: list[str]) -> DataFrame:
+def _recover_by_cells(df: DataFrame, opened: DataFrame, columns: list[str], row_key: list[str], shape: str | None) -> DataFrame:
     keys = [f"_key{i}" for i in range(len(row_key))]
     named = [F.col(name(c)).alias(k) for c, k in zip(row_key, keys)]
     cells = df.select(*named, F.posexplode(F.array(*[F.col(name(c)) for c in columns])).alias("_at", "token"))
-    cells = cells.where(F.col("token").isNotNull())
+    cells = cells.where(F.col("token").rlike(shape) if shape else F.col("token").isNotNull())
     found = salted_lookup(cells, opened, "token", spread_by=[*keys, "_at"]) \
         .where(F.col("value").isNotNull())
     # a row has as many entries as it has columns, so these maps stay small

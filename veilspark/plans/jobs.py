@@ -13,8 +13,7 @@ from ..operators.audit import append_audit, scan_audit, scrub_audit
 from ..operators.classify import column_labels, sensitive_columns
 from ..operators.detect import scan
 from ..operators.scrub import observed, plan_levels, scrub
-from ..operators.vault import (VaultKey, build_vault, collisions, load_vault, open_vault, recover,
-                               save_vault, tokenised_columns)
+from ..operators.vault import extend_vault, load_vault, open_vault, recover, tokenised_columns, vault_key
 from ..policy import DEFAULT_PRESET
 from ..sources.documents import redacted_documents
 from ..sources.sqldump import read_sql_dump, write_sql_dump
@@ -49,13 +48,14 @@ class ScrubResult:
 def scrub_table(spark: SparkSession, source: str, target: str, preset: str = DEFAULT_PRESET,
                 password: str | None = None, fmt: str | None = None, audit_path: str | None = None,
                 order_by: str | None = None, sample_rows: int | None = None, digits: int = 4, type_from_column: bool = False,
-                levels: dict[str, str] | None = None, **read_options) -> ScrubResult:
+                levels: dict[str, str] | None = None, vault_path: str | None = None, **read_options) -> ScrubResult:
     """Classify, mask, write, and record what was done.
 
     Classification reads every row, unless ``sample_rows`` says how many; the scrub itself
     is one map-only pass that counts while it writes. Recoverable tokens need a
-    password; their vault is written to ``target + '.vault'`` and checked before any masked row is
-    written. A table without sensitive columns is copied as it is, whatever its format.
+    password; their vault is written and checked before any masked row is. It stands at ``target + '.vault'``, or at
+    ``vault_path``, which may be there already: then its key is used and only new values are added, so that tables of
+    several jobs join on their tokens. A table without sensitive columns is copied as it is, whatever its format.
     ``read_options`` go to the reader; ``quoted_newlines=False`` spares CSV the pass that looks for
     records over several lines.
     """
@@ -66,10 +66,9 @@ def scrub_table(spark: SparkSession, source: str, target: str, preset: str = DEF
     if TOKENIZE in levels.values():
         if not password:
             raise ValueError("this preset tokenises: pass a password")
-        key = VaultKey.derive(password)
-        save_vault(build_vault(df, tokenised_columns(levels), key), target + ".vault", key)
-        if collisions(spark.read.parquet(target + ".vault")).limit(1).count():
-            raise ValueError("two values share a token: use more token digits")
+        vault_path = vault_path or target + ".vault"
+        key = vault_key(spark, vault_path, password)
+        extend_vault(df, tokenised_columns(levels), vault_path, key)
     metrics = Observation()
     masked = scrub(observed(df, levels, metrics), levels, key.token if key else None, digits,
                    type_from_column=type_from_column)
@@ -80,7 +79,7 @@ def scrub_table(spark: SparkSession, source: str, target: str, preset: str = DEF
         rows, [c for c in df.columns if c in levels], [c for c in df.columns if levels.get(c) == DELETE],
         sum(counts.values()), sum(n for c, n in counts.items() if levels[c] != PRESERVE), counts)
     if key:
-        result.vault_path = target + ".vault"
+        result.vault_path = vault_path
     if audit_path:
         append_audit(scrub_audit(
             spark, input_file=source, output_file=target, table_format=fmt, preset=preset,

@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..functions.sql import name
 from ..operators.chunking import READ_CHUNK, READ_OVERLAP, chunked_findings
-from ..operators.scrub import observed, scrub
+from ..operators.classify import sensitive_columns
+from ..operators.scrub import observed, plan_levels, scrub
+from ..policy import DEFAULT_PRESET
+
+
+#: column of the folders that batches are written to
+BATCH = "batch_number"
 
 
 def freeze_policy(spark: SparkSession, path: str, levels: dict[str, str]) -> dict[str, str]:
@@ -20,6 +27,17 @@ def freeze_policy(spark: SparkSession, path: str, levels: dict[str, str]) -> dic
     return json.loads(spark.read.text(path).first()[0])
 
 
+def frozen_policy(spark: SparkSession, path: str) -> dict[str, str] | None:
+    """The levels stored by ``freeze_policy``, None before that."""
+    try:
+        row = spark.read.text(path).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return json.loads(row[0]) if row else None
+
+
 class RunningCounters(StreamingQueryListener):
     """Sums up what every micro-batch of observed streams reports."""
 
@@ -58,6 +76,52 @@ def scrub_stream(stream: DataFrame, levels: dict[str, str], target: str, checkpo
             .trigger(availableNow=True).outputMode("append").start())
 
 
+def scrub_batch(batch: DataFrame, number: int, target: str, checkpoint: str, preset: str = DEFAULT_PRESET,
+                token_key: str | None = None, **options) -> None:
+    """Scrub one batch into a folder of its own number and enter its counts in the ledger, ``checkpoint/ledger``.
+
+    A batch that runs again, after a failure at any point, overwrites both.
+    """
+    spark = batch.sparkSession
+    levels = frozen_policy(spark, f"{checkpoint}/policy")
+    if levels is None:
+        if batch.isEmpty():
+            return
+        levels = freeze_policy(spark, f"{checkpoint}/policy", plan_levels(sensitive_columns(batch), preset))
+    metrics = Observation()
+    masked = scrub(observed(batch, levels, metrics), levels, token_key, **options)
+    masked.write.mode("overwrite").parquet(f"{target}/{BATCH}={number}")
+    counted = [(k, int(v)) for k, v in metrics.get.items()]
+    (spark.createDataFrame(counted, "counter string, n bigint").coalesce(1)
+     .write.mode("overwrite").parquet(f"{checkpoint}/ledger/{BATCH}={number}"))
+
+
+def scrub_arriving(stream: DataFrame, target: str, checkpoint: str, preset: str = DEFAULT_PRESET,
+                   token_key: str | None = None, **options) -> StreamingQuery:
+    """Scrub a stream that nobody has classified: its first rows are, and what they say holds for all that follow.
+
+    The first batch with rows is classified and the policy is stored before anything is written; later batches and
+    restarts read it. Every row is written and counted once, see ``scrub_batch``; ``read_scrubbed`` and ``counters`` read
+    the results. The stream may come in any number of batches; without rows nothing is written.
+    """
+    def one(batch: DataFrame, number: int) -> None:
+        scrub_batch(batch, number, target, checkpoint, preset, token_key, **options)
+    return (stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{checkpoint}/state")
+            .trigger(availableNow=True).start())
+
+
+def read_scrubbed(spark: SparkSession, target: str) -> DataFrame:
+    """What ``scrub_arriving`` has written."""
+    return spark.read.option("basePath", target).parquet(f"{target}/{BATCH}=*").drop(BATCH)
+
+
+def counters(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(counter, n): rows (``_rows``) and filled cells per sensitive column of all batches so far, each batch once."""
+    path = f"{checkpoint}/ledger"
+    ledger = spark.read.option("basePath", path).parquet(f"{path}/{BATCH}=*")
+    return ledger.groupBy("counter").agg(F.sum("n").alias("n"))
+
+
 def scan_stream(stream: DataFrame, text: str, target: str, checkpoint: str, fmt: str = "parquet",
                 size: int = READ_CHUNK, overlap: int = READ_OVERLAP) -> StreamingQuery:
     """Findings of documents as they arrive, long documents in chunks with margins.
