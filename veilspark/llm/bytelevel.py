@@ -21,8 +21,8 @@ from tokenizers.models import BPE
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: characters from here on go through the tokenizer whole
 RARE = "ɐ"
-#: pieces a process remembers, some 120 MB of them
-REMEMBERED = 1_000_000
+#: pieces a task remembers, some 75 MB of them
+REMEMBERED = 600_000
 LONGEST_REMEMBERED = 64
 MARKS = ",.;:!?"
 
@@ -42,24 +42,29 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class _Pieces(dict):
-    """Ids of a piece with the space before it. Raises LookupError for one that may not be cut off."""
+class _Remembered(dict):
+    """Ids by text, in two halves: when the young one is full it becomes the old one, and what is asked for again moves up."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, most: int):
         super().__init__()
-        self.encode = encode
-        self.marks = {m: encode(m) for m in MARKS}
-
-    def __missing__(self, piece: str) -> bytes:
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            raise LookupError
-        if piece[-1] in MARKS and piece[:-1].isalpha():  # a mark after a word is a pre-token of its own
-            return self[piece[:-1]] + self.marks[piece[-1]]
-        ids = self.encode(" " + piece)
-        if len(self) < REMEMBERED and len(piece) <= LONGEST_REMEMBERED:
-            self[piece] = ids
+        self.encode, self.half, self.old = encode, most // 2, {}
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.old.get(text)
+        if ids is None:
+            ids = self.encode(text)
+            if len(text) > LONGEST_REMEMBERED:
+                return ids
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[text] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 class Encoder:
     """Texts to ids, as bytes of integers of one type."""
@@ -74,29 +79,41 @@ class Encoder:
         self.find = regex.compile(PATTERN).findall
         self.letters = byte_letters()
         self.model = tokenizer.model.tokenize
-        self.pieces = _Pieces(self.unit) if self.by_pieces else {}
+        self.space = self.letters[32]
+        self.ids = [i.to_bytes(np.dtype(kind).itemsize, "little") for i in range(tokenizer.get_vocab_size())]
+        self.pieces = _Remembered(self.piece, REMEMBERED)
+        self.parts = _Remembered(self.part, REMEMBERED // 4)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
 
+    def part(self, text: str) -> bytes:
+        """Ids of one pre-token."""
+        spelt = text.replace(" ", self.space) if text.isascii() and text.isprintable() else text.encode().decode("latin-1").translate(self.letters)
+        ids = self.ids
+        return b"".join([ids[t.id] for t in self.model(spelt)])
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of a piece with the space before it. Raises LookupError for one that may not be cut off."""
+        if piece.isalpha():  # one pre-token
+            return self.part(" " + piece) if piece.isascii() or max(piece) < RARE else self.whole(" " + piece)
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            raise LookupError
+        if piece[-1] in MARKS and piece[:-1].isalpha():  # a mark after a word is a pre-token of its own
+            return self.pieces[piece[:-1]] + self.parts[piece[-1]]
+        return self.unit(" " + piece)
+
     def unit(self, text: str) -> bytes:
         if not text:
             return b""
         if max(text) >= RARE:
             return self.whole(text)
-        if text.isascii() and text.isprintable():
-            spelt = text.replace(" ", self.letters[32])  # the other printable letters stand for themselves
-            parts = [text] if text.removeprefix(" ").isalpha() else self.find(text)
-            if len(parts) == 1:
-                return array(self.code, [t.id for t in self.model(spelt)]).tobytes()
-            at, ids = 0, []
-            for part in parts:
-                ids += [t.id for t in self.model(spelt[at: at + len(part)])]
-                at += len(part)
-            return array(self.code, ids).tobytes()
-        letters, model = self.letters, self.model
-        return array(self.code, [t.id for part in self.find(text)
-                                 for t in model(part.encode().decode("latin-1").translate(letters))]).tobytes()
+        return b"".join(map(self.parts.__getitem__, self.find(text)))
+
+    def forget(self) -> None:
+        """Give the memory of remembered pieces back."""
+        self.pieces.forget()
+        self.parts.forget()
 
     def __call__(self, text: str) -> bytes:
         if not self.by_pieces or any(t in text for t in self.added):

@@ -56,10 +56,13 @@ def id_type(path: str) -> str:
 def _tokenise(path: str, end_id: int, kind: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = encoder_of(path, kind), np.array([end_id], kind).tobytes()
-        for batch in batches:
-            for at in range(0, len(batch), AT_ONCE):
-                some = batch.iloc[at: at + AT_ONCE]
-                yield pd.DataFrame({"doc": some["doc"], "ids": [encode(t or "") + end for t in some["text"]]})
+        try:
+            for batch in batches:
+                for at in range(0, len(batch), AT_ONCE):
+                    some = batch.iloc[at: at + AT_ONCE]
+                    yield pd.DataFrame({"doc": some["doc"], "ids": [encode(t or "") + end for t in some["text"]]})
+        finally:  # the process goes on to other stages
+            encode.forget()
     return run
 
 
