@@ -327,6 +327,15 @@ def test_lookup_with_hot_and_null_keys(spark):
     assert rows(salted_lookup(left, table, "k", hot_rows=10**9).select("id", "k", "v")) == want
 
 
+def test_broadcast_size_counts_nested_columns(spark):
+    from veilspark.operators.lookup import fits_broadcast
+    df = spark.range(100).select("id", F.array_repeat(F.lit(12345678), 100).alias("a"), F.struct(F.lit("x" * 50).alias("s")).alias("t"),
+                                 F.create_map(F.lit(1), F.lit("y" * 50)).alias("m"))
+    assert fits_broadcast(df, size=150_000) and not fits_broadcast(df, size=90_000)
+    assert not fits_broadcast(df.select("a"), size=80_000) and not fits_broadcast(df.select("m"), size=5_000)
+    assert fits_broadcast(df.select("id"), size=800) and not fits_broadcast(df.select("id"), size=799) and not fits_broadcast(df, rows=99)
+
+
 def test_join_preservation(spark):
     left = spark.createDataFrame([("a",), ("a",), ("b",), ("x",), (None,)], "k string")
     right = spark.createDataFrame([("a",), ("b",), ("b",), ("y",)], "k string")

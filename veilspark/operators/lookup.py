@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.sql import name
 from ..session import BROADCAST_BYTES, BROADCAST_ROWS, checkpoint
 
 #: a key with up to so many rows fits one task comfortably; one with more gets a task for each so many
@@ -15,11 +17,19 @@ HOT_ROWS = 1_000_000
 NULL_SALTS = 64
 
 
+def _width(field: T.StructField) -> Column:
+    """Bytes of a column's value: of texts and binaries as they are, of nested values as JSON, of others eight."""
+    column = F.col(name(field.name))
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)).cast("bigint")
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(column.alias("v")))), F.lit(0)).cast("bigint")
+    return F.lit(8).cast("bigint")
+
+
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Whether a table is small in rows and in bytes of text; looks at one row more than allowed."""
-    texts = [F.octet_length(F.col(f"`{f.name}`")) for f in df.schema.fields
-             if f.dataType.simpleString() in ("string", "binary")]
-    width = sum((F.coalesce(t, F.lit(0)).cast("bigint") for t in texts), F.lit(0).cast("bigint"))
+    """Whether a table is small in rows and in bytes; looks at one row more than allowed."""
+    width = sum((_width(f) for f in df.schema.fields), F.lit(0).cast("bigint"))
     n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
     return n <= rows and total <= size
 

@@ -55,9 +55,13 @@ def totals(df: DataFrame, *by: str, findings: str = "findings") -> DataFrame:
 
 
 def rollup(df: DataFrame, source: str, findings: str = "findings") -> DataFrame:
-    """Findings by source and category, with subtotals per source and a grand total."""
-    return (explode_findings(df, source, findings=findings)
-            .rollup(source, "category").agg(F.count(F.lit(1)).alias("n")))
+    """Findings by source and category, with subtotals per source and a grand total.
+
+    Only categories leave a row's findings; they are counted first, and the subtotals come from the counts.
+    """
+    each = F.explode(F.expr(transform(name(findings), lambda f: f"{f}.category"))).alias("category")
+    counts = df.select(source, each).groupBy(source, "category").agg(F.count(F.lit(1)).alias("n"))
+    return counts.rollup(source, "category").agg(F.sum("n").alias("n"))
 
 
 def scan_totals(df: DataFrame, text: str = "text", findings: str = "findings") -> DataFrame:
