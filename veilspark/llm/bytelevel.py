@@ -21,8 +21,8 @@ from tokenizers.models import BPE
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: characters from here on go through the tokenizer whole
 RARE = "ɐ"
-#: pieces a task remembers, some 75 MB of them
-REMEMBERED = 600_000
+#: pieces a process remembers, some 170 MB of them
+REMEMBERED = 1_000_000
 LONGEST_REMEMBERED = 64
 MARKS = ",.;:!?"
 
@@ -111,7 +111,7 @@ class Encoder:
         return b"".join(map(self.parts.__getitem__, self.find(text)))
 
     def forget(self) -> None:
-        """Give the memory of remembered pieces back."""
+        """Let go of remembered pieces."""
         self.pieces.forget()
         self.parts.forget()
 

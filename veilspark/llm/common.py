@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +54,17 @@ def clear_of(df: DataFrame, *names: str) -> DataFrame:
 def small(df: DataFrame) -> DataFrame:
     """The table with a hint to broadcast it, if a look at its rows and bytes allows that."""
     return F.broadcast(df) if fits_broadcast(df) else df
+
+
+@functools.cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # not every C library has it
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """At the end of a Python task: memory that is free goes back to the machine, for the process lives on to other stages."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)

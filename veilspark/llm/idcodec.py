@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from ..session import scratch
 from .bytelevel import encoder_of, tokenizer_of
+from .common import give_back
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -53,7 +54,7 @@ def id_type(path: str) -> str:
     return "<u2" if tokenizer_of(path).get_vocab_size() <= 1 << 16 else "<u4"
 
 
-def _tokenise(path: str, end_id: int, kind: str):
+def _tokenise(path: str, end_id: int, kind: str, forget: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = encoder_of(path, kind), np.array([end_id], kind).tobytes()
         try:
@@ -61,18 +62,23 @@ def _tokenise(path: str, end_id: int, kind: str):
                 for at in range(0, len(batch), AT_ONCE):
                     some = batch.iloc[at: at + AT_ONCE]
                     yield pd.DataFrame({"doc": some["doc"], "ids": [encode(t or "") + end for t in some["text"]]})
-        finally:  # the process goes on to other stages
-            encode.forget()
+        finally:
+            if forget:
+                encode.forget()
+            give_back()
     return run
 
 
 def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None,
-              end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids): ids with the end id, of ``id_type``; NULL is an empty text."""
+              end_id: int = END_ID, forget: bool = False) -> DataFrame:
+    """(doc_id, ids): ids with the end id, of ``id_type``; NULL is an empty text.
+
+    Processes remember pieces from one task to the next, unless they are to ``forget`` them.
+    """
     path = path or public_tokenizers.path(VOCABULARY)
     # an id may be NULL, so it goes through Python as text
     return (docs.select(F.col(key).cast("string").alias("doc"), F.col(text).alias("text"))
-            .mapInPandas(_tokenise(path, end_id, id_type(path)), "doc string, ids binary")
+            .mapInPandas(_tokenise(path, end_id, id_type(path), forget), "doc string, ids binary")
             .select(F.col("doc").cast("bigint").alias("doc_id"), "ids"))
 
 
@@ -228,6 +234,7 @@ def _encode(lengths: np.ndarray, block_ids: int, every: int, kind: str):
                     block, start, held, docs, parts = block + 1, start + held, 0, [], []
         if parts:
             yield close()
+        give_back()
     return run
 
 
@@ -280,6 +287,7 @@ def read_ids(spark: SparkSession, path: str, longest: int = LONGEST) -> DataFram
                         "doc": [None if d is None or d != d else str(int(d)) for d in r.doc_ids],
                         "start": starts + before[r.file] + r.start,
                         "ids": [raw[4 * a: 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]})
+        give_back()
 
     return (blocks.select("file", "start", F.col("doc_ids").cast("array<string>").alias("doc_ids"), "doc_lens", "n_ids", "every", "offsets", "bits")
             .mapInPandas(run, "doc string, start bigint, ids binary")
@@ -299,16 +307,16 @@ def digest(ids: DataFrame) -> DataFrame:
                       F.crc32("ids").alias("ids_crc32"))
 
 
-def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, forget: bool = False) -> DataFrame:
     """Encode docs into files of the format in the shared folder, and read them back: (doc_id, start, ids).
 
     NULL and empty texts have the end id alone; NULL ids come first; repeated rows each have their
     ids; other columns are not read; an empty table gives none. A text is one document however long,
-    and its block holds it whole.
+    and its block holds it whole. ``forget`` saves memory at the cost of time, where other stages share the processes.
     """
     spark = docs.sparkSession
     tokens = scratch(spark, "tokens")
-    tokenised(docs, key, text).write.parquet(tokens)
+    tokenised(docs, key, text, forget=forget).write.parquet(tokens)
     path = path or scratch(spark, "ids")
     write_ids(spark.read.parquet(tokens), path, id_type(public_tokenizers.path(VOCABULARY)))
     return read_ids(spark, path)

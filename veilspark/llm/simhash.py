@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import checkpoint
-from .common import packed, with_row_key
+from .common import give_back, packed, with_row_key
 
 SHINGLE = 3
 SEED = 42
@@ -58,8 +58,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 @F.pandas_udf(T.LongType())
-def fingerprint_of(texts: pd.Series) -> pd.Series:
-    return pd.Series([fingerprint(t) for t in texts], dtype="int64")
+def fingerprint_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield pd.Series([fingerprint(t) for t in texts], dtype="int64")
+    give_back()
 
 
 def parts_for(fingerprints: int) -> int:

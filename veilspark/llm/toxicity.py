@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import checkpoint
-from .common import clear_of
+from .common import clear_of, give_back
 
 #: labelled rows the model is fitted on: those of the smallest digests of their id
 MOST_LABELLED = 8_000
@@ -160,6 +160,8 @@ def _features_udf(lexicon: Iterable[str]):
         known: dict[str, bool] = {}
         for texts in batches:
             yield pd.Series([features(t, chosen, known=known) for t in texts])
+        known.clear()
+        give_back()
     return F.pandas_udf(run, T.ArrayType(T.DoubleType()))
 
 
