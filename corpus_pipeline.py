@@ -17,30 +17,45 @@ from veilspark.session import scratch
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, learnt from labels, doesn't reject."""
+    """Documents that the toxicity model, learnt from labels, doesn't reject.
+
+    NULL, empty and very long texts are scored like others; repeated rows share their fate; columns of any name stay; no documents give none.
+    """
     scored = toxicity.judge(packed(docs, "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "toxic"))
     return scored.where("predicted = 0").select("_row.*")
 
 
 def keep_one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest id."""
+    """Of each group of near duplicates the document of the smallest id.
+
+    NULL and empty texts are one group; rows without an id yield to those with one; equal rows of that id stay together in one row.
+    """
     return simhash.one_per_group(docs)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passages to speak of."""
+    """Documents that hold no benchmark passages to speak of.
+
+    NULL and empty texts have none and stay; without a benchmark all stay; repeated rows share their fate.
+    """
     judged = decontam.judge(packed(docs, "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
     return judged.where("not contaminated").select("_row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them.
+
+    A NULL source is one of its own, the last; a document without words is taken as often as the mix passes it; equal rows are each drawn for themselves.
+    """
     return mixing.copies(mixing.mix(packed(docs, "doc_id", "text", "source"))).select("_row.*")
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document of the mix what the coded files hold: doc_id, start, n_tokens, ids_crc32."""
-    return idcodec.digest(idcodec.round_trip(docs))
+    """Per document of the mix what the coded files hold: doc_id, start, n_tokens, ids_crc32.
+
+    NULL and empty texts have the end id alone; NULL ids come first; a document taken twice has two rows.
+    """
+    return idcodec.digest(idcodec.round_trip(docs, forget=True))
 
 
 STAGES = [("toxicity", keep_civil), ("near_duplicates", keep_one_of_a_kind), ("decontamination", keep_uncontaminated),
