@@ -1,4 +1,7 @@
 import math
+import re
+import zlib
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -229,3 +232,69 @@ def test_a_long_conversation_comes_in_parts(spark):
     rows = [(1, t, "user", f"t{t}") for t in range(2500)] + [(2, t, "user", f"t{t}") for t in range(2400)]
     got = chat.render(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert sorted((r.conv_id, r.part, r.n_turns) for r in got) == [(1, 0, 2500), (1, 1, 2500), (1, 2, 2500)]
+
+
+# --- restated independently ---------------------------------------------------
+
+def documents(spark, folder="sf0.001"):
+    return spark.read.parquet(f"/root/testdata/{folder}/documents.parquet").select("doc_id", "text")
+
+
+def test_quality_columns_against_brute_force(spark):
+    docs = documents(spark)
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("quality = 1").select("doc_id")
+    for r in quality.judge(docs, labels).collect():
+        text = r.text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        windows = [tuple(words[i:i + 5]) for i in range(len(words) - 4)]
+        often = {w for w, n in Counter(windows).items() if n > 1}
+        covered = {i + k for i, w in enumerate(windows) if w in often for k in range(5)}
+        want = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), sum(x in lines[:i] for i, x in enumerate(lines)), len(covered))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and not (r.base_failed and r.kept)
+
+
+def slow_features(text, lexicon):
+    """The thirteen features, word by word."""
+    text = text or ""
+    signs = dict(zip("01345 7@$!".replace(" ", ""), "oieastasi"))
+    found = re.findall(r"[^\W_]+(?:[@$!*'’][^\W_]+)*", text.lower())
+    inside = r"[^\W\d_][013457@$!*]+[^\W\d_]"
+    words = ["".join(signs.get(c, c) for c in w) if re.search(inside, w) else w for w in found]
+    listed = [any(m == "=" + w or not m.startswith("=") and w.startswith(m) and len(w) > len(m) for m in lexicon) for w in words]
+    you = [w in toxicity.SECOND_PERSON for w in words]
+    insults = sum(w in toxicity.INSULTS for w in words)
+    near = sum(any(you[max(0, i - 3): i + 4]) for i, hit in enumerate(listed) if hit)
+    n, chars = max(1, len(words)), max(1, len(text))
+    shouted = [w for w in text.split() if len(w) > 2 and w.isupper()]
+    return [insults / n, math.log1p(insults), sum(listed) / n, math.log1p(sum(listed)), math.log1p(len({w for w, x in zip(words, listed) if x})),
+            near / n, sum(you) / n, sum(c.isupper() for c in text) / chars, len(shouted) / n, len(re.findall(r"[!-/:-@\[-`{-~]", text)) / chars,
+            text.count("!") / chars, len(re.findall(inside, text)) / n, math.log1p(len(words))]
+
+
+def test_features_against_brute_force(spark):
+    lexicon = frozenset(["=the", "=und", "conn", "idio", "=ciónes", "ther", "abscha"])
+    odd = ["You 1d10t!! you IDIOT", "st*pid a$$hole @nd y0u", "tu es un connard, toi", None, "", "don’t SHOUT at me!", "ABSCHAUM_und du"]
+    texts = [r.text for r in documents(spark).collect()][:120] + odd
+    for t in texts:
+        assert toxicity.features(t, lexicon) == pytest.approx(slow_features(t, lexicon), abs=1e-12), t
+
+
+def test_scores_are_calibrated_and_learn_from_other_folds_only(spark):
+    docs = documents(spark, "sf0.1")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic")
+    judged = toxicity.judge(docs, labels)
+    rows = [r for r in judged.join(labels, "doc_id").where("toxic is not null").select("doc_id", "toxic", "score", "predicted", "held_out").collect()]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5) and 0 <= r.score <= 1 for r in rows)
+    held = [r for r in rows if r.held_out]
+    ones, zeros = [r.score for r in held if r.toxic == 1], [r.score for r in held if r.toxic == 0]
+    area = sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros) / (len(ones) * len(zeros))
+    assert area > 0.93 and sum(r.predicted == r.toxic for r in held) / len(held) > 0.95
+    # a calibrated score is a frequency: among the held-out rows the mean score is near the share of toxic ones
+    assert abs(sum(r.score for r in held) / len(held) - len(ones) / len(held)) < 0.03
+    # labels of the held-out fold change nothing
+    turned = labels.withColumn("toxic", F.when(F.expr("pmod(crc32(cast(doc_id as string)), 5)") == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    other = {r.doc_id: r.score for r in toxicity.judge(docs, turned).where("doc_id % 50 = 0").select("doc_id", "score").collect()}
+    same = {r.doc_id: r.score for r in judged.where("doc_id % 50 = 0").select("doc_id", "score").collect()}
+    assert other == same
