@@ -317,7 +317,7 @@ def vault_shared(spark, sf_dir):
     return masked.join(src.read_csv(spark, two), "email").groupBy("contact_id").agg(F.count(F.lit(1)).alias("orders"))
 
 
-@query(f"""with a as (select distinct email as v from {CONTACTS} c where regexp_matches(coalesce(email, ''), '\S')),
+@query(f"""with a as (select distinct email as v from {CONTACTS} c where regexp_matches(coalesce(email, ''), '\\S')),
 b as (select distinct phone as v from {CONTACTS} c)
 select (select count(*) from a) as first_run, (select count(*) from b where v not in (select v from a)) as second_run, 0::bigint as third_run,
  (select count(*) from (from a union from b) t) as entries""")
@@ -331,7 +331,7 @@ def vault_grows(spark, sf_dir):
 
 
 @query(lambda: " union all ".join(f"""select '{p}' as preset, 'csv' as format, count(*) as total_rows, 11 as total_columns,
- count(*) filter (where regexp_matches(coalesce(email, ''), '\S')) as emails, count(*) as phones, 'clean' as dept, 'SENSITIVE' as salary from {CONTACTS} c"""
+ count(*) filter (where regexp_matches(coalesce(email, ''), '\\S')) as emails, count(*) as phones, 'clean' as dept, 'SENSITIVE' as salary from {CONTACTS} c"""
                                   for p in ("external", "internal")))
 def scrub_audit(spark, sf_dir):
     """The audit records of scrub jobs, appended to a table and read back."""
