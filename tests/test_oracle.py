@@ -5,6 +5,7 @@ import duckdb
 import pytest
 
 from catalog import oracle
+from tests import plain
 from veilspark.patterns import PATTERNS
 
 
@@ -19,3 +20,26 @@ def test_the_grammar_is_written_out():
     names += [n.module for n in ast.walk(ast.parse(inspect.getsource(oracle))) if isinstance(n, ast.ImportFrom)]
     assert not [n for n in names if n.startswith("veilspark")]
     assert [tuple(r) for r in oracle.PATTERNS] == [(p.category, p.type, p.regex, p.ignore_case) for p in PATTERNS]
+
+
+# Texts and the types published for them.
+VECTORS = [
+    ("Contact john.doe@example.com for details", ["email"]),
+    ("Call (555) 123-4567 or 555-987-6543", ["phone_us", "phone_us"]),
+    ("Card: 4111-1111-1111-1111 and 5500 0000 0000 0004", ["credit_card", "credit_card"]),
+    ("SSN: 123-45-6789", ["ssn"]),
+    ("Server at 192.168.1.1 responded", ["ipv4"]),
+    ("api_key = sk-abc123def456ghi789jkl", ["api_key"]),
+    ("no: 11010519491231002X", ["cn_id"]),
+    ("The quick brown fox jumps over the lazy dog", []),
+    ("Senior Engineer", []),
+    ("NULL", []),
+]
+
+
+@pytest.mark.parametrize("text, types", VECTORS)
+def test_both_grammars_by_published_vectors(text, types):
+    sql = oracle.scan("docs", "k", "text", "select type from kept order by start")
+    db = duckdb.connect().execute("create table docs as select 1 as k, ? as text", [text])
+    assert [t for t, in db.execute(sql).fetchall()] == types
+    assert [t for t, *_ in plain.greedy(plain.raw(text))] == types
