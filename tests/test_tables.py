@@ -185,6 +185,12 @@ def test_foreign_dumps(spark, tmp_path):
             sqldump.read_sql_dump(spark, file(tmp_path, f"wrong{i}.sql", wrong)).collect()
 
 
+def test_tuples_of_short_statements_travel_together():
+    batch = sqldump.pd.DataFrame({"piece": [f"INSERT INTO t VALUES ({i})" for i in range(2500)] + ["SET x = 1"]})
+    out = list(sqldump._parse(False)(iter([batch, batch])))
+    assert [len(o) for o in out] == [2500, 2500] and out[1]["cells"][7] == ["7"]
+
+
 def test_formats(spark, tmp_path):
     assert tables.table_format(spark, "/x/y.CSV") == "csv" and tables.table_format(spark, "/x/y.sql") == "sql"
     assert tables.table_format(spark, file(tmp_path, "noext", "insert into t values (1);\n")) == "sql"

@@ -37,6 +37,10 @@ _TOKEN_ESCAPED = re.compile(r"""'(?:[^'\\]|''|\\.)*'|"(?:[^"\\]|""|\\.)*"|`[^`]*
 # What a letter after a backslash stands for.
 ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "0": "\0", "b": "\b", "Z": "\x1a"}
 
+#: tuples of short statements are handed over together, up to this many and this much text
+ROWS_AT_ONCE = 10_000
+CHARS_AT_ONCE = 16 << 20
+
 TUPLE = "table string, columns array<string>, cells array<string>"
 
 
@@ -186,9 +190,16 @@ def parse_insert(statement: str, escapes: bool = False) -> list[tuple[str, list[
 def _parse(escapes: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows, size = [], 0
             for piece in batch["piece"]:
-                if rows := parse_insert(piece, escapes):
-                    yield pd.DataFrame(rows, columns=["table", "columns", "cells"])
+                rows += parse_insert(piece, escapes)
+                size += len(piece)
+                if len(rows) >= ROWS_AT_ONCE or size >= CHARS_AT_ONCE:
+                    if rows:
+                        yield pd.DataFrame(rows, columns=["table", "columns", "cells"])
+                    rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=["table", "columns", "cells"])
     return run
 
 
