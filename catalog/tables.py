@@ -223,7 +223,8 @@ def json_array(spark, sf_dir):
     path = scratch(spark, "array")
     rows = table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")
     whole = rows.groupBy((F.col("c_custkey") / 100).cast("int").alias("g")).agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value"))
-    whole.write.partitionBy("g").text(path)
+    # few bytes in many files: as many tasks as there are cores write them, whatever the size of the rows
+    whole.repartition(spark.sparkContext.defaultParallelism, "g").write.partitionBy("g").text(path)
     return src.read_json(spark, path).drop("g")
 
 

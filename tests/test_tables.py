@@ -125,6 +125,22 @@ def test_json_shapes(spark, tmp_path):
     assert rows(tables.read_csv(spark, str(tmp_path / "c"))) == [("A", "1"), ("B", None)]
 
 
+def test_many_array_files_are_read_by_the_schema_of_all(spark, tmp_path):
+    for i, text in enumerate(('[{"a": 1}, {"a": 2}]', '[{"b": "x", "a": 3.5}]', " \n", '{"c": [1]}')):
+        (tmp_path / "many" / f"g={i}").mkdir(parents=True)
+        file(tmp_path / "many" / f"g={i}", "one.json", text)
+    df = tables.read_json(spark, str(tmp_path / "many"))
+    assert df.dtypes == [("a", "double"), ("b", "string"), ("c", "array<bigint>"), ("g", "int")]
+    assert rows(df) == sorted([(1.0, None, None, 0), (2.0, None, None, 0), (3.5, "x", None, 1), (None, None, [1], 3)], key=str)
+    assert rows(tables.read_json(spark, str(tmp_path / "many")).select("a", "g")) == rows(df.select("a", "g"))
+    # texts of a batch are gone through together; only what follows a value moves
+    batch = tables.pd.DataFrame({"value": ["[1] 2", "{}", ""]})
+    assert [o["rest"].tolist() for o in tables._whole_value(iter([batch]))] == [["2"]]
+    file(tmp_path / "many" / "g=0", "two.json", "[{}]\n[{}]")
+    with pytest.raises(ValueError, match="after the first JSON value"):
+        tables.read_json(spark, str(tmp_path / "many"))
+
+
 DUMP = '''-- it's a dump
 SET NAMES utf8;
 INSERT INTO `users` (`id`, `name`, "note") VALUES (1, 'O''Brien, (x)', NULL), (2, "say ""hi""", NOW()),

@@ -76,10 +76,12 @@ def is_json_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> bo
 
 def _whole_value(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
+        rests = []
         for text in batch["value"]:
             text = text.lstrip("\ufeff").strip()
             _, end = json.JSONDecoder().raw_decode(text) if text else (None, 0)
-            yield pd.DataFrame({"rest": [text[end:].strip()[:40]]})
+            rests.append(text[end:].strip()[:40])
+        yield pd.DataFrame({"rest": [r for r in rests if r]}, dtype=str)
 
 
 def read_json(spark: SparkSession, path: str, lines: bool | None = None, encoding: str = "UTF-8") -> DataFrame:
@@ -91,13 +93,17 @@ def read_json(spark: SparkSession, path: str, lines: bool | None = None, encodin
     """
     if lines is None:
         lines = is_json_lines(spark, path, encoding)
+    reader = spark.read.option("multiLine", not lines).option("encoding", encoding).option("mode", "FAILFAST")
     if not lines:
-        whole = spark.read.option("encoding", encoding).text(path, wholetext=True)
-        more = whole.mapInPandas(_whole_value, "rest string").where("rest <> ''").first()
+        whole = spark.read.option("encoding", encoding).text(path, wholetext=True).select("value")
+        more = whole.mapInPandas(_whole_value, "rest string").agg(F.min("rest")).first()[0]
         if more is not None:
-            raise ValueError(f"content after the first JSON value of a file: {more[0]}")
-    return (spark.read.option("multiLine", not lines).option("encoding", encoding)
-            .option("mode", "FAILFAST").json(path))
+            raise ValueError(f"content after the first JSON value of a file: {more}")
+        # Told the schema by the texts, the reader needs none of its own from the files: for that it would
+        # give each file a configuration that names all others.
+        texts = whole.rdd.map(lambda r: r["value"])
+        reader = reader.schema(spark.read.option("mode", "FAILFAST").json(texts).schema)
+    return reader.json(path)
 
 
 def write_json(df: DataFrame, path: str, sort_keys: bool = False, mode: str = "errorifexists") -> None:
