@@ -248,6 +248,25 @@ def test_classification(spark):
     assert classify.sensitive_columns(named) == ["Full_Name"]
 
 
+def test_row_numbers_are_not_sensitive(spark, tmp_path):
+    many = spark.range(1, 30001)
+    look = {"numbers": "id", "evens": "id * 2", "as_text": "cast(id as string)", "twice": "id div 2", "gaps": "if(id % 10 = 0, null, id)",
+            "zips": "10000 + id % 700", "sparse": "10000 + id * 2", "padded": "lpad(id, 5, '0')", "passports": "100000000 + id",
+            "mixed": "if(id = 9, 'a@b.com', cast(id as string))", "mail": "concat('u', id, '@x.org')", "zip_code": "id"}
+    df = many.select(*[F.expr(v).alias(c) for c, v in look.items()])
+    assert {r["column"] for r in classify.classify(df).where("sensitive").collect()} == set(look)
+    assert classify.sensitive_columns(df) == ["zips", "sparse", "padded", "passports", "mixed", "mail", "zip_code"]
+    # a few zip codes one after another, or one in each row, are not the rows' numbers
+    few = spark.range(5).selectExpr("10001 + id as a", "cast(90210 - id as string) as b", "id as c")
+    assert classify.sensitive_columns(few) == ["a", "b"]
+    # the whole job leaves the key alone
+    source = str(tmp_path / "k.csv")
+    tables.write_csv(many.selectExpr("id as contact", "concat('u', id, '@x.org') as email"), source)
+    result = scrub_table(spark, source, str(tmp_path / "out.csv"), "external")
+    out = tables.read_csv(spark, str(tmp_path / "out.csv"))
+    assert result.sensitive_columns == ["email"] and out.agg(F.count_distinct("contact"), F.sum("contact")).first()[:] == (30000, 450015000.0)
+
+
 def test_scrub_levels_and_counts(spark):
     df = spark.createDataFrame([(1, "Alice", "a@b.com", "x"), (2, None, " ", "y")], "id int, name string, email string, notes string")
     external = scrub(df, plan_levels(["name", "email", "notes"], "external"))

@@ -25,6 +25,10 @@ THRESHOLD = 0.3
 SAMPLE_ROWS = 100
 TYPE_ROWS = 10
 
+# A number of a row, and how many numbers up to the largest there may be for each that occurs.
+_ROW_NUMBER = r"\A(?:0|[1-9][0-9]{0,17})\z"
+NUMBERS_EACH = 2
+
 
 def _nested(t: T.DataType) -> bool:
     return isinstance(t, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))
@@ -129,17 +133,45 @@ def _count_sample(rows: DataFrame, columns: Sequence[T.StructField], patterns: S
         "kind", F.expr(cell_type("example", patterns)))
 
 
+def numbering_columns(df: DataFrame, columns: Sequence[str]) -> set[str]:
+    """Those of some columns that number the rows: 1, 2, 3 and so on, in any order.
+
+    Every filled cell is a whole number without a sign or leading zeros, at least half of all numbers up to the
+    largest occur, and a number stands in two rows on average at most. Such a number tells a row by its place and nothing
+    else, although many of them look like zip codes by their length. Zip codes, phone, passport or card numbers are
+    too sparse, or repeat too often, to be taken for one. Every row counts; only columns of numbers that are small for
+    their number of rows go through the count of distinct values, which shuffles.
+    """
+    texts = {c: F.col(name(c)).cast("string") for c in columns}
+    filled = {c: F.expr(f"coalesce({is_filled(f'CAST({name(c)} AS STRING)')}, false)") for c in columns}
+    if not columns:
+        return set()
+    seen = df.agg(*[F.struct(F.count_if(filled[c]).alias("n"), F.count_if(filled[c] & ~texts[c].rlike(_ROW_NUMBER)).alias("others"),
+                             F.max(F.when(texts[c].rlike(_ROW_NUMBER), texts[c].cast("bigint"))).alias("most")).alias(f"c{i}")
+                    for i, c in enumerate(columns)]).first()
+    small = {c: r for c, r in zip(columns, seen, strict=True) if r["n"] and not r["others"] and r["most"] <= NUMBERS_EACH * r["n"]}
+    found = set()
+    for c, r in small.items():
+        distinct = df.where(filled[c]).select(texts[c]).distinct().count()
+        if max(r["most"], r["n"]) <= NUMBERS_EACH * distinct:
+            found.add(c)
+    return found
+
+
 def sensitive_columns(df: DataFrame, **options) -> list[str]:
     """Names of the sensitive columns, in table order. Collects one row per column.
 
-    Columns whose names say it are not looked at, so a columnar source never reads them.
+    Columns whose names say it are not looked at, so a columnar source never reads them. Columns that
+    number the rows are not sensitive, whatever their numbers look like to ``classify``: masked, rows would lose
+    their identity and nobody gain privacy.
     """
     found = {c for c in df.columns if is_sensitive_name(c) and not _nested(df.schema[c].dataType)}
     order = options.get("order_by") or ()
     keys = {order} if isinstance(order, str) else set(order)
     rest = df.select([name(c) for c in df.columns if c not in found or c in keys])
     if set(rest.columns) - found:
-        found |= {r["column"] for r in classify(rest, **options).where("sensitive").select("column").collect()}
+        by_content = {r["column"] for r in classify(rest, **options).where("sensitive").select("column").collect()} - found
+        found |= by_content - numbering_columns(rest, sorted(by_content))
     return [c for c in df.columns if c in found]
 
 
