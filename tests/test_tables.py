@@ -233,6 +233,16 @@ def test_documents_and_inventory(spark, tmp_path):
     assert inventory.list_files(spark, str(root), recursive=False).count() == 4
 
 
+def test_size_limits_are_nearest_bytes(spark, tmp_path):
+    # 0.01 MB are 10485.76 bytes, 0.02 MB 20971.52
+    files = spark.createDataFrame([(f"/d/{n}.txt", n) for n in (10485, 10486, 10487, 20971, 20972, 20973)], "path string, length bigint")
+    over = lambda mb: {r["path"] for r in documents.oversized(files, mb).collect()}
+    assert over(0.01) == {f"/d/{n}.txt" for n in (10487, 20971, 20972, 20973)} and over(0.02) == {"/d/20973.txt"}
+    assert {r["path"] for r in inventory.scannable(files, 0.01).collect()} == {"/d/10485.txt", "/d/10486.txt"}
+    file(tmp_path, "a.txt", "x" * 10486)
+    assert documents.read_documents(spark, str(tmp_path), max_mb=0.01).first()["status"] == "read"
+
+
 # --- classification and scrubbing ------------------------------------------
 
 def test_classification(spark):

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions.files import extension, stem
 from ..functions.spans import redact
 from ..functions.sql import name, struct, transform
-from ..operators.inventory import MAX_FILE_MB, SCANNED_SUFFIXES, list_files, scannable, with_encoding
+from ..operators.inventory import MAX_FILE_MB, SCANNED_SUFFIXES, limit_bytes, list_files, scannable, with_encoding
 from ..operators.report import counts_of, value_free
 
 
@@ -36,7 +36,7 @@ def read_documents(spark: SparkSession, path: str, max_mb: float | None = None,
     """
     listed = scannable(list_files(spark, path), None, suffixes)
     binary = F.lower(F.expr(extension("path"))).isin(*BINARY_SUFFIXES)
-    large = F.lit(False) if max_mb is None else F.col("length") > int(max_mb * 1024 * 1024)
+    large = F.lit(False) if max_mb is None else F.col("length") > limit_bytes(max_mb)
     status = F.when(binary, "binary format").when(large, "too large").otherwise("read")
     left = listed.where(binary | large).select("path", "length", F.lit(None).cast("string").alias("encoding"),
                                                F.lit(None).cast("string").alias("text"), status.alias("status"))
@@ -49,7 +49,7 @@ def read_documents(spark: SparkSession, path: str, max_mb: float | None = None,
 
 def oversized(files: DataFrame, max_mb: float = MAX_FILE_MB) -> DataFrame:
     """Files a scan refuses for their size, with the size in MB."""
-    return files.where(F.col("length") > int(max_mb * 1024 * 1024)) \
+    return files.where(F.col("length") > limit_bytes(max_mb)) \
         .select("path", F.round(F.col("length") / 1048576, 2).alias("size_mb"))
 
 
