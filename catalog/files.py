@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from veilspark.functions import files as fx
 from veilspark.operators import inventory as inv
 from veilspark.session import scratch, spread
-from veilspark.sources.documents import oversized, redacted_name
+from veilspark.sources.documents import oversized, redacted_name, write_documents
 from veilspark.sources.documents import read_documents as documents_of
 from veilspark.sources.tables import format_column
 
@@ -140,6 +140,6 @@ def file_inventory(spark, sf_dir):
 def read_documents(spark, sf_dir):
     """Documents written as a tree of text files, found and read again."""
     path = scratch(spark, "tree")
-    documents(spark, sf_dir).write.partitionBy("doc_id").text(path)
-    doc_id = F.regexp_extract("path", "doc_id=([0-9]+)/", 1).cast("bigint").alias("doc_id")
+    write_documents(documents(spark, sf_dir), path)
+    doc_id = F.regexp_extract("path", "doc_id=(-?[0-9]+)_[0-9]+[.]txt$", 1).try_cast("bigint").alias("doc_id")
     return documents_of(spark, path).select(doc_id, "text", "length", "encoding", "status")

@@ -233,6 +233,21 @@ def test_documents_and_inventory(spark, tmp_path):
     assert inventory.list_files(spark, str(root), recursive=False).count() == 4
 
 
+def test_documents_as_files_of_few_folders(spark, tmp_path):
+    texts = ["", None, "two\nlines", "é\u3000\x00 end\r\n", "x" * 70000, "same", "same"]
+    data = [(i // 2 if i < 8 else i, texts[i % 7]) for i in range(2300)] + [(-3, "minus")]
+    root = f"file://{tmp_path}/tree"
+    documents.write_documents(spark.createDataFrame(data, "doc_id bigint, text string").repartition(2), root)
+    back = documents.read_documents(spark, root)
+    got = back.select(F.regexp_extract("path", "doc_id=(-?[0-9]+)_", 1).cast("bigint"), "text", "length", "encoding", "status").collect()
+    want = [(k, (t or "") + "\n", len((t or "").encode()) + 1, "utf-8", "read") for k, t in data]
+    assert sorted(map(tuple, got)) == sorted(want)
+    folders = [f for f in (tmp_path / "tree").iterdir()]
+    assert len(folders) == 4 and max(len(list(f.iterdir())) for f in folders) == 1000
+    documents.write_documents(back.where("false"), str(tmp_path / "none"), "path")
+    assert documents.read_documents(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_size_limits_are_nearest_bytes(spark, tmp_path):
     # 0.01 MB are 10485.76 bytes, 0.02 MB 20971.52
     files = spark.createDataFrame([(f"/d/{n}.txt", n) for n in (10485, 10486, 10487, 20971, 20972, 20973)], "path string, length bigint")

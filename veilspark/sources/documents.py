@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow.fs import FileSystem
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +50,36 @@ def read_documents(spark: SparkSession, path: str, max_mb: float | None = None,
     return files.select("path", "length", "encoding", text.alias("text"), F.lit("read").alias("status")).union(left)
 
 
+#: files of a folder that ``write_documents`` makes
+FILES_IN_FOLDER = 1000
+
+
+def write_documents(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
+    """A tree with one UTF-8 file per row, ``<folder>/<key>=<value>_<n>.txt``: the text and a newline, of NULL the newline alone.
+
+    Tasks write their files themselves, through Arrow's file systems (local or mounted folders, HDFS, object stores), and a folder for
+    each thousand, so a file costs neither a folder nor a step of the driver. Rows are in order of the key within a
+    task; a task that runs again writes the same files again. Rows of the same key have files of their own.
+    """
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = FileSystem.from_uri(path)
+        n = 0
+        for batch in batches:
+            for k, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                folder = f"{root}/{TaskContext.get().partitionId():05d}-{n // FILES_IN_FOLDER:06d}"
+                if n % FILES_IN_FOLDER == 0:
+                    files.create_dir(folder, recursive=True)
+                with files.open_output_stream(f"{folder}/{key}={k}_{n}.txt") as out:
+                    out.write((content or b"") + b"\n")
+                n += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([n], pa.int64())})
+
+    files, root = FileSystem.from_uri(path)
+    files.create_dir(root, recursive=True)  # there also without rows
+    texts = df.select(F.col(name(key)).cast("string"), F.col(name(text)).cast("binary"), F.col(name(key)).alias("_order"))
+    texts.sortWithinPartitions("_order").drop("_order").mapInArrow(write, "files bigint").write.format("noop").mode("overwrite").save()
+
+
 def oversized(files: DataFrame, max_mb: float = MAX_FILE_MB) -> DataFrame:
     """Files a scan refuses for their size, with the size in MB."""
     return files.where(F.col("length") > limit_bytes(max_mb)) \
