@@ -25,6 +25,11 @@ def _decode(content: pd.Series, encoding: pd.Series) -> pd.Series:
                       for raw, enc in zip(content, encoding)])
 
 
+#: Spark counts a file as 4 MB at least and so gives a task 32 small ones; this many of its tasks become one, as
+#: long as there are some for each core
+TASKS_IN_ONE = 16
+TASKS_PER_CORE = 8
+
 #: suffixes of files that hold no plain text
 BINARY_SUFFIXES = (".pdf", ".docx", ".xlsx", ".xls")
 
@@ -35,15 +40,17 @@ def read_documents(spark: SparkSession, path: str, max_mb: float | None = None,
 
     Status is ``read``, ``binary format``, or ``too large`` where ``max_mb`` sets a limit; without a
     text the others are still listed, and their content isn't read. UTF-8 files are read inside the JVM;
-    other encodings are found out and decoded in Arrow batches.
+    other encodings are found out and decoded in Arrow batches. Small files share tasks, see ``TASKS_IN_ONE``.
     """
     listed = scannable(list_files(spark, path), None, suffixes)
+    planned = listed.select("path").rdd.getNumPartitions()
+    tasks = max(planned // TASKS_IN_ONE, TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     binary = F.lower(F.expr(extension("path"))).isin(*BINARY_SUFFIXES)
     large = F.lit(False) if max_mb is None else F.col("length") > limit_bytes(max_mb)
     status = F.when(binary, "binary format").when(large, "too large").otherwise("read")
     left = listed.where(binary | large).select("path", "length", F.lit(None).cast("string").alias("encoding"),
-                                               F.lit(None).cast("string").alias("text"), status.alias("status"))
-    files = with_encoding(listed.where(~(binary | large)))
+                                               F.lit(None).cast("string").alias("text"), status.alias("status")).coalesce(tasks)
+    files = with_encoding(listed.where(~(binary | large)).coalesce(tasks))
     utf8 = F.col("encoding") == "utf-8"
     text = F.when(utf8, F.col("content").cast("string")).otherwise(
         _decode(F.when(~utf8, F.col("content")), F.col("encoding")))
