@@ -12,17 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.files import extension, stem
+from ..functions.files import encoding_by_mark, extension, stem
 from ..functions.spans import redact
 from ..functions.sql import name, struct, transform
-from ..operators.inventory import MAX_FILE_MB, SCANNED_SUFFIXES, limit_bytes, list_files, scannable, with_encoding
+from ..operators.inventory import MAX_FILE_MB, SCANNED_SUFFIXES, guess_encoding, limit_bytes, list_files, scannable
 from ..operators.report import counts_of, value_free
 
 
-@F.pandas_udf(T.StringType())
-def _decode(content: pd.Series, encoding: pd.Series) -> pd.Series:
-    return pd.Series([None if raw is None else bytes(raw).decode(enc, errors="replace")
-                      for raw, enc in zip(content, encoding)])
+@F.pandas_udf(T.StructType([T.StructField("encoding", T.StringType()), T.StructField("text", T.StringType())]))
+def _decode(content: pd.Series, marked: pd.Series) -> pd.DataFrame:
+    """Encoding and text of bytes; the encoding is found out unless a mark has settled it."""
+    encoding = [known or guess_encoding(raw) for raw, known in zip(content, marked)]
+    text = [None if raw is None else bytes(raw).decode(enc, errors="replace") for raw, enc in zip(content, encoding)]
+    return pd.DataFrame({"encoding": encoding, "text": text}, dtype=object)
 
 
 #: Spark counts a file as 4 MB at least and so gives a task 32 small ones; this many of its tasks become one, as
@@ -50,11 +52,12 @@ def read_documents(spark: SparkSession, path: str, max_mb: float | None = None,
     status = F.when(binary, "binary format").when(large, "too large").otherwise("read")
     left = listed.where(binary | large).select("path", "length", F.lit(None).cast("string").alias("encoding"),
                                                F.lit(None).cast("string").alias("text"), status.alias("status")).coalesce(tasks)
-    files = with_encoding(listed.where(~(binary | large)).coalesce(tasks))
-    utf8 = F.col("encoding") == "utf-8"
-    text = F.when(utf8, F.col("content").cast("string")).otherwise(
-        _decode(F.when(~utf8, F.col("content")), F.col("encoding")))
-    return files.select("path", "length", "encoding", text.alias("text"), F.lit("read").alias("status")).union(left)
+    files = listed.where(~(binary | large)).coalesce(tasks).withColumn("marked", F.expr(encoding_by_mark("content")))
+    utf8 = F.coalesce(F.col("marked") == "utf-8", F.lit(False))
+    other = files.withColumn("other", _decode(F.when(~utf8, F.col("content")), F.when(~utf8, F.col("marked"))))
+    text = F.when(utf8, F.col("content").cast("string")).otherwise(F.col("other.text"))
+    return other.select("path", "length", F.coalesce("marked", "other.encoding").alias("encoding"), text.alias("text"),
+                        F.lit("read").alias("status")).union(left)
 
 
 #: files of a folder that ``write_documents`` makes
