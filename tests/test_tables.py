@@ -292,6 +292,17 @@ def test_row_numbers_are_not_sensitive(spark, tmp_path):
     assert result.sensitive_columns == ["email"] and out.agg(F.count_distinct("contact"), F.sum("contact")).first()[:] == (30000, 450015000.0)
 
 
+def test_row_numbers_with_jumps_or_repeats_are_not_sensitive(spark):
+    look = {"from_0": "id + id div 5000 * 999995000", "from_1": "id + 1 + id div 5000 * 99995000", "holes": "if(id % 3 = 0, null, id + id div 5000 * 999995000)",
+            "as_text": "cast(id + id div 5000 * 999995000 as string)", "references": "id % 30000 div 2", "many_references": "id % 15000",
+            "passports": "100000000 + id", "and_a_zero": "if(id = 0, 0, 100000000 + id)", "and_a_few": "if(id < 200, id, 100000000 + id)",
+            "zips": "if(id = 0, 1, 10000 + id * 7 % 9000)", "phones": "if(id < 60, id, 2000000000 + id * 9973)",
+            "not_from_0": "2000000000 + id + id div 5000 * 999995000", "padded": "lpad(id, 9, '0')"}
+    df = spark.range(60000).select(*[F.expr(v).alias(c) for c, v in look.items()])
+    assert {"from_0", "from_1", "holes", "as_text"} <= {r["column"] for r in classify.classify(df).where("sensitive").collect()}
+    assert classify.sensitive_columns(df) == ["passports", "and_a_zero", "and_a_few", "zips", "phones", "not_from_0", "padded"]
+
+
 def test_scrub_levels_and_counts(spark):
     df = spark.createDataFrame([(1, "Alice", "a@b.com", "x"), (2, None, " ", "y")], "id int, name string, email string, notes string")
     external = scrub(df, plan_levels(["name", "email", "notes"], "external"))

@@ -28,6 +28,8 @@ TYPE_ROWS = 10
 # A number of a row, and how many numbers up to the largest there may be for each that occurs.
 _ROW_NUMBER = r"\A(?:0|[1-9][0-9]{0,17})\z"
 NUMBERS_EACH = 2
+# Fixed value: numbers of a block, one bit each.
+BLOCK = 50
 
 
 def _nested(t: T.DataType) -> bool:
@@ -136,28 +138,47 @@ def _count_sample(rows: DataFrame, columns: Sequence[T.StructField], patterns: S
 def numbering_columns(df: DataFrame, columns: Sequence[str]) -> set[str]:
     """Those of some columns that number the rows: 1, 2, 3 and so on, in any order.
 
-    Every filled cell is a whole number without a sign or leading zeros, at least half of all numbers up to the
-    largest occur, and a number stands in two rows on average at most. Such a number tells a row by its place and nothing
-    else, although many of them look like zip codes by their length. Zip codes, phone, passport or card numbers are
-    too sparse, or repeat too often, to be taken for one. Every row counts; only columns of numbers that are small for
-    their number of rows go through the count of distinct values, which shuffles.
+    Every filled cell is a whole number without a sign or leading zeros. Either at least half of all numbers up to the
+    largest occur, and a number stands in two rows on average at most. Or the numbers begin at the lowest and go on in runs,
+    with jumps between them, as sequences of several sources or references to numbered rows do: of the blocks of fifty that
+    occur, at least half of the numbers do, and the run of blocks from the lowest on is no shorter than runs are on average.
+    Such a number tells a row by its place and nothing
+    else, although many of them look like zip codes, passports or phones by their length. Zip codes, phone, passport or card
+    numbers are too sparse, or have no such beginning, to be taken for one. Every row counts; only columns of numbers that are small for
+    their number of rows, or begin at the lowest, go through the count of blocks, which shuffles one row per block and task.
     """
     texts = {c: F.col(name(c)).cast("string") for c in columns}
     filled = {c: F.expr(f"coalesce({is_filled(f'CAST({name(c)} AS STRING)')}, false)") for c in columns}
     if not columns:
         return set()
+    numbers = {c: F.when(texts[c].rlike(_ROW_NUMBER), texts[c].cast("bigint")) for c in columns}
     seen = df.agg(*[F.struct(F.count_if(filled[c]).alias("n"), F.count_if(filled[c] & ~texts[c].rlike(_ROW_NUMBER)).alias("others"),
-                             F.max(F.when(texts[c].rlike(_ROW_NUMBER), texts[c].cast("bigint"))).alias("most")).alias(f"c{i}")
+                             F.min(numbers[c]).alias("least"), F.max(numbers[c]).alias("most")).alias(f"c{i}")
                     for i, c in enumerate(columns)]).first()
-    small = {c: r for c, r in zip(columns, seen, strict=True) if r["n"] and not r["others"] and r["most"] <= NUMBERS_EACH * r["n"]}
     found = set()
-    for c, r in small.items():
-        distinct = df.where(filled[c]).select(texts[c]).distinct().count()
-        if max(r["most"], r["n"]) <= NUMBERS_EACH * distinct:
-            found.add(c)
+    for c, r in zip(columns, seen, strict=True):
+        if r["n"] and not r["others"] and (r["most"] <= NUMBERS_EACH * r["n"] or r["least"] <= 1):
+            b = _blocks(df.where(filled[c]).select(numbers[c].alias("number")))
+            small = max(r["most"], r["n"]) <= NUMBERS_EACH * b["numbers"]
+            in_runs = r["least"] <= 1 and BLOCK * b["blocks"] <= NUMBERS_EACH * b["numbers"] and b["first"] * b["runs"] >= b["blocks"]
+            if small or in_runs:
+                found.add(c)
     return found
 
 
+def _blocks(numbers: DataFrame):
+    """One row: distinct numbers, blocks they are in, runs of blocks one after another, and blocks of the first run if it begins at zero."""
+    per_block = numbers.groupBy(F.expr(f"number div {BLOCK}").alias("block")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, CAST(number % {BLOCK} AS INT))")).alias("bits"))
+    # each block also reports to the next one
+    near = per_block.select(F.inline(F.array(
+        F.struct("block", "bits"), F.struct((F.col("block") + 1).alias("block"), F.lit(None).cast("bigint").alias("bits")))))
+    here, after = F.col("bits").isNotNull(), F.col("reports") > F.col("bits").isNotNull().cast("int")
+    return near.groupBy("block").agg(F.max("bits").alias("bits"), F.count(F.lit(1)).alias("reports")).agg(
+        F.sum(F.bit_count("bits")).alias("numbers"), F.count_if(here).alias("blocks"), F.count_if(here & ~after).alias("runs"),
+        F.min(F.when(~here, F.col("block"))).alias("first")).first()
+
+
 def sensitive_columns(df: DataFrame, **options) -> list[str]:
     """Names of the sensitive columns, in table order. Collects one row per column.
 
