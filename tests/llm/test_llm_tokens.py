@@ -117,6 +117,18 @@ def test_pieces_say_what_the_tokenizer_says(text):
         bytelevel.tokenizer_of(path).encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(max_codepoint=127), st.sampled_from(" \n\t\x0b\x1c\x1f'stremvld1a.")), max_size=20))
+def test_ascii_is_cut_by_the_standard_library(text):
+    import public_tokenizers
+    import regex
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = bytelevel.Encoder(bytelevel.tokenizer_of(path), "<u4")
+    assert encoder.find_ascii(text) == regex.findall(bytelevel.PATTERN, text)
+    encoder.find = None
+    assert np.frombuffer(encoder(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_other_tokenizers_go_whole():
     import public_tokenizers
     path = public_tokenizers.path("word_bpe_49k.json")

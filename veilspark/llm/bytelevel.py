@@ -19,6 +19,9 @@ from tokenizers.models import BPE
 
 # Fixed value: the pattern of byte-level pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The same for ASCII, which the standard library finds faster.
+PATTERN_ASCII = (r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+"
+                 r"|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 #: characters from here on go through the tokenizer whole
 RARE = "ɐ"
 #: pieces a process remembers, some 170 MB of them
@@ -26,6 +29,7 @@ REMEMBERED = 1_000_000
 LONGEST_REMEMBERED = 64
 MARKS = ",.;:!?"
 
+_rare = re.compile(f"[{RARE}-\U0010ffff]").search
 _APART = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -76,7 +80,7 @@ class Encoder:
                           and tokenizer.padding is None and before.startswith("ByteLevel(add_prefix_space=False")
                           and "use_regex=True" in before)
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self.find = regex.compile(PATTERN).findall
+        self.find, self.find_ascii = regex.compile(PATTERN).findall, re.compile(PATTERN_ASCII).findall
         self.letters = byte_letters()
         self.model = tokenizer.model.tokenize
         self.space = self.letters[32]
@@ -96,7 +100,10 @@ class Encoder:
     def piece(self, piece: str) -> bytes:
         """Ids of a piece with the space before it. Raises LookupError for one that may not be cut off."""
         if piece.isalpha():  # one pre-token
-            return self.part(" " + piece) if piece.isascii() or max(piece) < RARE else self.whole(" " + piece)
+            if piece.isascii():
+                ids = self.ids
+                return b"".join([ids[t.id] for t in self.model(self.space + piece)])
+            return self.whole(" " + piece) if _rare(piece) else self.part(" " + piece)
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise LookupError
         if piece[-1] in MARKS and piece[:-1].isalpha():  # a mark after a word is a pre-token of its own
@@ -106,7 +113,9 @@ class Encoder:
     def unit(self, text: str) -> bytes:
         if not text:
             return b""
-        if max(text) >= RARE:
+        if text.isascii():
+            return b"".join(map(self.parts.__getitem__, self.find_ascii(text)))
+        if _rare(text):
             return self.whole(text)
         return b"".join(map(self.parts.__getitem__, self.find(text)))
 
