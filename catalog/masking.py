@@ -164,9 +164,12 @@ def private_ip_filter(spark, sf_dir):
 
 # --- scrubbing --------------------------------------------------------------
 
+ROW_KEY = "contact_id"
+
+
 def _levels(spark, sf_dir, preset):
     df = contacts(spark, sf_dir)
-    return df, plan_levels(sensitive_columns(df), preset)
+    return df, plan_levels(sensitive_columns(df, ROW_KEY), preset)
 
 
 GENERIC = "'generic'"

@@ -20,7 +20,7 @@ from veilspark.streaming import scrub as streaming
 
 from . import oracle as o
 from .base import CONTACTS, contacts, query, table
-from .masking import _scrub_sql, demo_key
+from .masking import ROW_KEY, _scrub_sql, demo_key
 
 STRINGS = ("full_name", "email", "phone", "ssn", "credit_card", "ip_address", "salary", "dept", "remark", "notes")
 
@@ -193,7 +193,7 @@ def scrub_csv_job(spark, sf_dir):
     """CSV in, classified, scrubbed, written, read back."""
     source, target = scratch(spark, "in") + ".csv", scratch(spark, "out") + ".csv"
     src.write_csv(contacts(spark, sf_dir), source)
-    scrub_table(spark, source, target, "external", audit_path=scratch(spark, "audit"))
+    scrub_table(spark, source, target, "external", audit_path=scratch(spark, "audit"), row_key=ROW_KEY)
     return src.read_csv(spark, target)
 
 
@@ -202,7 +202,7 @@ def recover_csv_job(spark, sf_dir):
     """Tokenised with a password, then recovered with it."""
     source, masked, back = (scratch(spark, n) + ".csv" for n in ("in", "masked", "back"))
     src.write_csv(contacts(spark, sf_dir), source)
-    scrub_table(spark, source, masked, "admin", password="open sesame")
+    scrub_table(spark, source, masked, "admin", password="open sesame", row_key=ROW_KEY)
     recover_table(spark, masked, back, "open sesame")
     return src.read_csv(spark, back)
 
@@ -212,7 +212,7 @@ def recover_json_job(spark, sf_dir):
     """JSON lines tokenised with a password, then recovered with it."""
     source, masked, back = (scratch(spark, n) + ".json" for n in ("in", "masked", "back"))
     src.write_json(contacts(spark, sf_dir), source)
-    scrub_table(spark, source, masked, "admin", password="open sesame")
+    scrub_table(spark, source, masked, "admin", password="open sesame", row_key=ROW_KEY)
     recover_table(spark, masked, back, "open sesame")
     return src.read_json(spark, back)
 
@@ -234,7 +234,7 @@ def stream_scrub(spark, sf_dir):
     incoming, out, state = (scratch(spark, n) for n in ("incoming", "scrubbed", "state"))
     contacts(spark, sf_dir).write.parquet(incoming)
     first = spark.read.parquet(incoming)
-    levels = plan_levels(sensitive_columns(first), "external")
+    levels = plan_levels(sensitive_columns(first, ROW_KEY), "external")
     streaming.scrub_stream(spark.readStream.schema(first.schema).parquet(incoming), levels, out, state).awaitTermination()
     return spark.read.parquet(out)
 
@@ -257,9 +257,9 @@ def _two_phase(spark, sf_dir):
     for lot in (0, 1):
         rows.where(F.col("contact_id") % 2 == lot).coalesce(1).write.mode("append").parquet(incoming)
         stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
-        streaming.scrub_arriving(stream, out, state, "external").awaitTermination()
+        streaming.scrub_arriving(stream, out, state, "external", row_key=ROW_KEY).awaitTermination()
         if lot == 0:
-            streaming.scrub_batch(spark.read.parquet(incoming), 0, out, state, "external")
+            streaming.scrub_batch(spark.read.parquet(incoming), 0, out, state, "external", row_key=ROW_KEY)
     return out, state
 
 
@@ -291,7 +291,7 @@ def empty_table_job(spark, sf_dir):
     for dept in DEPARTMENTS:
         source, target = scratch(spark, "in") + ".csv", scratch(spark, "out") + ".csv"
         src.write_csv(contacts(spark, sf_dir).where(F.col("dept") == dept), source)
-        result = scrub_table(spark, source, target, "external")
+        result = scrub_table(spark, source, target, "external", row_key=ROW_KEY)
         back = src.read_csv(spark, target)
         if back.columns and "notes" in back.columns:
             raise ValueError("a deleted column came back")
@@ -340,7 +340,7 @@ def scrub_audit(spark, sf_dir):
     source = scratch(spark, "in") + ".csv"
     src.write_csv(contacts(spark, sf_dir), source)
     for preset in ("external", "internal"):
-        scrub_table(spark, source, scratch(spark, "out") + ".csv", preset, audit_path=audits)
+        scrub_table(spark, source, scratch(spark, "out") + ".csv", preset, audit_path=audits, row_key=ROW_KEY)
     return spark.read.parquet(audits).select(
         "preset", "format", "total_rows", "total_columns", F.col("pii_by_column")["email"].alias("emails"), F.col("pii_by_column")["phone"].alias("phones"),
         F.col("column_classification")["dept"].alias("dept"), F.col("column_classification")["salary"].alias("salary"))

@@ -303,6 +303,32 @@ def test_row_numbers_with_jumps_or_repeats_are_not_sensitive(spark):
     assert classify.sensitive_columns(df) == ["passports", "and_a_zero", "and_a_few", "zips", "phones", "not_from_0", "padded"]
 
 
+def test_row_numbers_with_jumps_of_any_width_are_not_sensitive(spark):
+    look = {"odd_jumps": "id + id div 5000 * 1000000007", "powers_of_2": "id % 5000 + shiftleft(id div 5000, 30)",
+            "evens": "id % 5000 * 2 + id div 5000 * 1000000007", "holes": "if(id % 7 > 3, null, id + id div 5000 * 1000000007)",
+            "ragged": "if(id % 5000 > 4997 - id * 7 div 5000 % 3, null, id + 1 + id div 5000 * 1000000007)",
+            "short_first": "if(id < 900, id, id + (1 + id div 10000) * 1000000007)", "far_apart": "if(id < 60, id, 2000000000 + id * 53)",
+            "not_from_0": "id + (1 + id div 5000) * 1000000007"}
+    df = spark.range(60000).select(*[F.expr(v).alias(c) for c, v in look.items()])
+    assert {r["column"] for r in classify.classify(df).where("sensitive").collect()} == set(look)
+    assert classify.sensitive_columns(df) == ["short_first", "far_apart", "not_from_0"]
+
+
+def test_a_row_key_that_the_caller_names_is_not_masked(spark, tmp_path):
+    df = spark.range(2000000000, 2000000300).selectExpr("id as account", "id as other", "concat('u', id, '@x.org') as email")
+    assert classify.sensitive_columns(df) == ["account", "other", "email"]
+    assert classify.sensitive_columns(df, "account") == classify.sensitive_columns(df, ["account"], order_by="account", sample_rows=9) == ["other", "email"]
+    assert classify.sensitive_columns(df, ["account", "other", "email"]) == ["email"]
+    source, target = str(tmp_path / "in.csv"), str(tmp_path / "out.csv")
+    tables.write_csv(df, source)
+    assert scrub_table(spark, source, target, "external", row_key="account").sensitive_columns == ["other", "email"]
+    assert tables.read_csv(spark, target).agg(F.min("account"), F.count_distinct("account")).first()[:] == ("2000000000", 300)
+    incoming, out, state = (str(tmp_path / n) for n in ("incoming", "scrubbed", "state"))
+    df.write.parquet(incoming)
+    scrub_module.scrub_arriving(spark.readStream.schema(df.schema).parquet(incoming), out, state, "external", row_key="account").awaitTermination()
+    assert scrub_module.read_scrubbed(spark, out).agg(F.min("account"), F.count_distinct("account")).first()[:] == (2000000000, 300)
+
+
 def test_scrub_levels_and_counts(spark):
     df = spark.createDataFrame([(1, "Alice", "a@b.com", "x"), (2, None, " ", "y")], "id int, name string, email string, notes string")
     external = scrub(df, plan_levels(["name", "email", "notes"], "external"))

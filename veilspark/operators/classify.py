@@ -28,8 +28,9 @@ TYPE_ROWS = 10
 # A number of a row, and how many numbers up to the largest there may be for each that occurs.
 _ROW_NUMBER = r"\A(?:0|[1-9][0-9]{0,17})\z"
 NUMBERS_EACH = 2
-# Fixed value: numbers of a block, one bit each.
+# Numbers of a block, one bit each, and how long the first run of numbers is at least, for an average of one.
 BLOCK = 50
+FIRST_RUN = 0.9
 
 
 def _nested(t: T.DataType) -> bool:
@@ -140,8 +141,8 @@ def numbering_columns(df: DataFrame, columns: Sequence[str]) -> set[str]:
 
     Every filled cell is a whole number without a sign or leading zeros. Either at least half of all numbers up to the
     largest occur, and a number stands in two rows on average at most. Or the numbers begin at the lowest and go on in runs,
-    with jumps between them, as sequences of several sources or references to numbered rows do: of the blocks of fifty that
-    occur, at least half of the numbers do, and the run of blocks from the lowest on is no shorter than runs are on average.
+    with jumps between them, as sequences of several sources or references to numbered rows do: from the first to the last number
+    of every run, fifty at least, half of the numbers occur, and the run from the lowest on is no shorter than nine tenths of the average.
     Such a number tells a row by its place and nothing
     else, although many of them look like zip codes, passports or phones by their length. Zip codes, phone, passport or card
     numbers are too sparse, or have no such beginning, to be taken for one. Every row counts; only columns of numbers that are small for
@@ -160,38 +161,50 @@ def numbering_columns(df: DataFrame, columns: Sequence[str]) -> set[str]:
         if r["n"] and not r["others"] and (r["most"] <= NUMBERS_EACH * r["n"] or r["least"] <= 1):
             b = _blocks(df.where(filled[c]).select(numbers[c].alias("number")))
             small = max(r["most"], r["n"]) <= NUMBERS_EACH * b["numbers"]
-            in_runs = r["least"] <= 1 and BLOCK * b["blocks"] <= NUMBERS_EACH * b["numbers"] and b["first"] * b["runs"] >= b["blocks"]
+            in_runs = (r["least"] <= 1 and b["span"] <= NUMBERS_EACH * b["numbers"]
+                       and max(b["first_end"] - r["least"] + 1, BLOCK) * b["runs"] >= FIRST_RUN * b["span"])
             if small or in_runs:
                 found.add(c)
     return found
 
 
 def _blocks(numbers: DataFrame):
-    """One row: distinct numbers, blocks they are in, runs of blocks one after another, and blocks of the first run if it begins at zero."""
+    """One row: distinct numbers, runs of blocks one after another, numbers they span, and the last number of the first run.
+
+    A run spans what lies between its first and last number, wherever blocks begin, but a run of one block all of that block.
+    """
     per_block = numbers.groupBy(F.expr(f"number div {BLOCK}").alias("block")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, CAST(number % {BLOCK} AS INT))")).alias("bits"))
-    # each block also reports to the next one
+        F.bit_or(F.expr(f"shiftleft(1L, CAST(number % {BLOCK} AS INT))")).alias("bits"),
+        F.min("number").alias("low"), F.max("number").alias("high"))
+    # each block also reports to those before and after it
+    none = [F.lit(None).cast("bigint").alias(c) for c in ("bits", "low", "high")]
     near = per_block.select(F.inline(F.array(
-        F.struct("block", "bits"), F.struct((F.col("block") + 1).alias("block"), F.lit(None).cast("bigint").alias("bits")))))
-    here, after = F.col("bits").isNotNull(), F.col("reports") > F.col("bits").isNotNull().cast("int")
-    return near.groupBy("block").agg(F.max("bits").alias("bits"), F.count(F.lit(1)).alias("reports")).agg(
-        F.sum(F.bit_count("bits")).alias("numbers"), F.count_if(here).alias("blocks"), F.count_if(here & ~after).alias("runs"),
-        F.min(F.when(~here, F.col("block"))).alias("first")).first()
-
-
-def sensitive_columns(df: DataFrame, **options) -> list[str]:
+        F.struct("block", "bits", "low", "high", F.lit(0).alias("side")),
+        F.struct((F.col("block") + 1).alias("block"), *none, F.lit(-1).alias("side")),
+        F.struct((F.col("block") - 1).alias("block"), *none, F.lit(1).alias("side")))))
+    known = near.groupBy("block").agg(*[F.max(c).alias(c) for c in ("bits", "low", "high")],
+                                      (F.min("side") == -1).alias("before"), (F.max("side") == 1).alias("after")).where("bits IS NOT NULL")
+    start, end = F.col("after") & ~F.col("before"), F.col("before") & ~F.col("after")
+    unused = (F.when(start, F.col("low") % BLOCK).when(end, BLOCK - 1 - F.col("high") % BLOCK).otherwise(0))
+    return known.agg(F.sum(F.bit_count("bits")).alias("numbers"), F.count_if(~F.col("before")).alias("runs"),
+                     F.sum(F.lit(BLOCK) - unused).alias("span"), F.min(F.when(~F.col("after"), F.col("high"))).alias("first_end")).first()
+
+
+def sensitive_columns(df: DataFrame, row_key: str | Sequence[str] = (), **options) -> list[str]:
     """Names of the sensitive columns, in table order. Collects one row per column.
 
     Columns whose names say it are not looked at, so a columnar source never reads them. Columns that
     number the rows are not sensitive, whatever their numbers look like to ``classify``: masked, rows would lose
-    their identity and nobody gain privacy.
+    their identity and nobody gain privacy. Nor are columns that the caller names as ``row_key``: numbers that don't begin at
+    the lowest can't be told from phones or passports, so only the caller knows. A name that says it goes before that.
     """
     found = {c for c in df.columns if is_sensitive_name(c) and not _nested(df.schema[c].dataType)}
     order = options.get("order_by") or ()
     keys = {order} if isinstance(order, str) else set(order)
-    rest = df.select([name(c) for c in df.columns if c not in found or c in keys])
-    if set(rest.columns) - found:
-        by_content = {r["column"] for r in classify(rest, **options).where("sensitive").select("column").collect()} - found
+    known = found | ({row_key} if isinstance(row_key, str) else set(row_key))
+    rest = df.select([name(c) for c in df.columns if c not in known or c in keys])
+    if set(rest.columns) - known:
+        by_content = {r["column"] for r in classify(rest, **options).where("sensitive").select("column").collect()} - known
         found |= by_content - numbering_columns(rest, sorted(by_content))
     return [c for c in df.columns if c in found]
 

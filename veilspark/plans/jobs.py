@@ -48,20 +48,22 @@ class ScrubResult:
 def scrub_table(spark: SparkSession, source: str, target: str, preset: str = DEFAULT_PRESET,
                 password: str | None = None, fmt: str | None = None, audit_path: str | None = None,
                 order_by: str | None = None, sample_rows: int | None = None, digits: int = 4, type_from_column: bool = False,
-                levels: dict[str, str] | None = None, vault_path: str | None = None, **read_options) -> ScrubResult:
+                levels: dict[str, str] | None = None, vault_path: str | None = None, row_key: str | Sequence[str] = (),
+                **read_options) -> ScrubResult:
     """Classify, mask, write, and record what was done.
 
     Classification reads every row, unless ``sample_rows`` says how many; the scrub itself
     is one map-only pass that counts while it writes. Recoverable tokens need a
     password; their vault is written and checked before any masked row is. It stands at ``target + '.vault'``, or at
     ``vault_path``, which may be there already: then its key is used and only new values are added, so that tables of
-    several jobs join on their tokens. A table without sensitive columns is copied as it is, whatever its format.
+    several jobs join on their tokens. Columns named as ``row_key`` are not classified by content, see ``sensitive_columns``.
+    A table without sensitive columns is copied as it is, whatever its format.
     ``read_options`` go to the reader; ``quoted_newlines=False`` spares CSV the pass that looks for
     records over several lines.
     """
     df, fmt = read_table(spark, source, fmt, **read_options)
     if levels is None:
-        levels = plan_levels(sensitive_columns(df, order_by=order_by, sample_rows=sample_rows), preset)
+        levels = plan_levels(sensitive_columns(df, row_key=row_key, order_by=order_by, sample_rows=sample_rows), preset)
     key = None
     if TOKENIZE in levels.values():
         if not password:

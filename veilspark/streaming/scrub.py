@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -77,7 +78,7 @@ def scrub_stream(stream: DataFrame, levels: dict[str, str], target: str, checkpo
 
 
 def scrub_batch(batch: DataFrame, number: int, target: str, checkpoint: str, preset: str = DEFAULT_PRESET,
-                token_key: str | None = None, **options) -> None:
+                token_key: str | None = None, row_key: str | Sequence[str] = (), **options) -> None:
     """Scrub one batch into a folder of its own number and enter its counts in the ledger, ``checkpoint/ledger``.
 
     A batch that runs again, after a failure at any point, overwrites both.
@@ -87,7 +88,7 @@ def scrub_batch(batch: DataFrame, number: int, target: str, checkpoint: str, pre
     if levels is None:
         if batch.isEmpty():
             return
-        levels = freeze_policy(spark, f"{checkpoint}/policy", plan_levels(sensitive_columns(batch), preset))
+        levels = freeze_policy(spark, f"{checkpoint}/policy", plan_levels(sensitive_columns(batch, row_key), preset))
     metrics = Observation()
     masked = scrub(observed(batch, levels, metrics), levels, token_key, **options)
     masked.write.mode("overwrite").parquet(f"{target}/{BATCH}={number}")
@@ -97,15 +98,15 @@ def scrub_batch(batch: DataFrame, number: int, target: str, checkpoint: str, pre
 
 
 def scrub_arriving(stream: DataFrame, target: str, checkpoint: str, preset: str = DEFAULT_PRESET,
-                   token_key: str | None = None, **options) -> StreamingQuery:
+                   token_key: str | None = None, row_key: str | Sequence[str] = (), **options) -> StreamingQuery:
     """Scrub a stream that nobody has classified: its first rows are, and what they say holds for all that follow.
 
-    The first batch with rows is classified and the policy is stored before anything is written; later batches and
-    restarts read it. Every row is written and counted once, see ``scrub_batch``; ``read_scrubbed`` and ``counters`` read
-    the results. The stream may come in any number of batches; without rows nothing is written.
+    The first batch with rows is classified, but for the columns of ``row_key``, and the policy is stored before anything
+    is written; later batches and restarts read it. Every row is written and counted once, see ``scrub_batch``;
+    ``read_scrubbed`` and ``counters`` read the results. The stream may come in any number of batches; without rows nothing is written.
     """
     def one(batch: DataFrame, number: int) -> None:
-        scrub_batch(batch, number, target, checkpoint, preset, token_key, **options)
+        scrub_batch(batch, number, target, checkpoint, preset, token_key, row_key, **options)
     return (stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{checkpoint}/state")
             .trigger(availableNow=True).start())
 
