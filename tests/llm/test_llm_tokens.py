@@ -129,6 +129,27 @@ def test_ascii_is_cut_by_the_standard_library(text):
     assert np.frombuffer(encoder(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_known_words_are_not_encoded_anew():
+    import public_tokenizers
+    encoder = bytelevel.Encoder(bytelevel.tokenizer_of(public_tokenizers.path("byte_bpe_50k.json")), "<u2")
+    model, asked = encoder.model, []
+    encoder.model = lambda spelt: asked.append(spelt) or model(spelt)
+    for text in ("a thbleed über", "a thbleed### thbleed, thbleed\nA über\n### über99", "A\n###\nb\u00a0c a\n\nb 1\n 2"):
+        assert encoder(text) == encoder.whole(text)
+    assert asked.count("Ġthbleed") == 1 and asked.count("ĠÃ¼ber") == 1
+
+
+@pytest.mark.parametrize("kind", ["<u2", "<u4"])
+def test_ids_of_a_slice_share_its_memory(kind):
+    import pyarrow as pa
+    texts = [[5, 70], [], [65535], [1, 2, 3], []]
+    raw = pa.array([np.array(t, kind).tobytes() for t in texts], pa.binary())
+    for a, b in ((0, 5), (1, 4), (2, 2), (4, 5)):
+        ids, bounds = idcodec._flat(raw[a:b], kind)
+        assert [ids[x:y].tolist() for x, y in zip(bounds, bounds[1:])] == texts[a:b]
+    assert [x.tolist() for x in idcodec._flat(pa.array([], pa.binary()), kind)] == [[], [0]]
+
+
 def test_other_tokenizers_go_whole():
     import public_tokenizers
     path = public_tokenizers.path("word_bpe_49k.json")

@@ -8,6 +8,7 @@ make, texts that hold the string of an added token, and pieces of rare scripts,
 
 from __future__ import annotations
 
+import codecs
 import functools
 import re
 from array import array
@@ -81,7 +82,8 @@ class Encoder:
                           and "use_regex=True" in before)
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.find, self.find_ascii = regex.compile(PATTERN).findall, re.compile(PATTERN_ASCII).findall
-        self.letters = byte_letters()
+        letters = byte_letters()
+        self.letters = "".join(letters[b] for b in range(256))
         self.model = tokenizer.model.tokenize
         self.space = self.letters[32]
         self.ids = [i.to_bytes(np.dtype(kind).itemsize, "little") for i in range(tokenizer.get_vocab_size())]
@@ -93,7 +95,7 @@ class Encoder:
 
     def part(self, text: str) -> bytes:
         """Ids of one pre-token."""
-        spelt = text.replace(" ", self.space) if text.isascii() and text.isprintable() else text.encode().decode("latin-1").translate(self.letters)
+        spelt = text.replace(" ", self.space) if text.isascii() and text.isprintable() else codecs.charmap_decode(text.encode(), "strict", self.letters)[0]
         ids = self.ids
         return b"".join([ids[t.id] for t in self.model(spelt)])
 
@@ -108,16 +110,22 @@ class Encoder:
             raise LookupError
         if piece[-1] in MARKS and piece[:-1].isalpha():  # a mark after a word is a pre-token of its own
             return self.pieces[piece[:-1]] + self.parts[piece[-1]]
+        line, end, later = piece.partition("\n")
+        if end and not later[0].isspace() and not line[-1].isspace():  # a line's end between two words is a pre-token of its own
+            return self.pieces[line] + self.parts[end] + self.unit(later)
         return self.unit(" " + piece)
 
     def unit(self, text: str) -> bytes:
         if not text:
             return b""
         if text.isascii():
-            return b"".join(map(self.parts.__getitem__, self.find_ascii(text)))
-        if _rare(text):
+            found = self.find_ascii(text)
+        elif _rare(text):
             return self.whole(text)
-        return b"".join(map(self.parts.__getitem__, self.find(text)))
+        else:
+            found = self.find(text)
+        pieces, parts = self.pieces, self.parts
+        return b"".join([pieces[t[1:]] if t[0] == " " and t[1:].isalpha() else parts[t] for t in found])
 
     def forget(self) -> None:
         """Let go of remembered pieces."""

@@ -19,6 +19,7 @@ from itertools import groupby, islice
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,9 @@ BLOCKS = T.StructType([
     T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("doc_lens", T.ArrayType(T.LongType())),
     T.StructField("n_ids", T.LongType()), T.StructField("every", T.IntegerType()),
     T.StructField("offsets", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType())])
+BLOCKS_ARROW = pa.schema({"file": pa.int32(), "block": pa.int64(), "start": pa.int64(), "doc_ids": pa.list_(pa.int64()),
+                          "doc_lens": pa.list_(pa.int64()), "n_ids": pa.int64(), "every": pa.int32(),
+                          "offsets": pa.list_(pa.int64()), "bits": pa.binary()})
 
 
 # -- tokenising
@@ -55,13 +59,14 @@ def id_type(path: str) -> str:
 
 
 def _tokenise(path: str, end_id: int, kind: str, forget: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder_of(path, kind), np.array([end_id], kind).tobytes()
         try:
             for batch in batches:
                 for at in range(0, len(batch), AT_ONCE):
-                    some = batch.iloc[at: at + AT_ONCE]
-                    yield pd.DataFrame({"doc": some["doc"], "ids": [encode(t or "") + end for t in some["text"]]})
+                    some = batch.slice(at, AT_ONCE)
+                    ids = pa.array([encode(t or "") + end for t in some["text"].to_pylist()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([some["doc"], ids], ["doc", "ids"])
         finally:
             if forget:
                 encode.forget()
@@ -78,7 +83,7 @@ def tokenised(docs: DataFrame, key: str = "doc_id", text: str = "text", path: st
     path = path or public_tokenizers.path(VOCABULARY)
     # an id may be NULL, so it goes through Python as text
     return (docs.select(F.col(key).cast("string").alias("doc"), F.col(text).alias("text"))
-            .mapInPandas(_tokenise(path, end_id, id_type(path), forget), "doc string, ids binary")
+            .mapInArrow(_tokenise(path, end_id, id_type(path), forget), "doc string, ids binary")
             .select(F.col("doc").cast("bigint").alias("doc_id"), "ids"))
 
 
@@ -143,21 +148,29 @@ def decoding_table(lengths: np.ndarray, longest: int = LONGEST) -> tuple[np.ndar
 
 def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, every: int = EVERY) -> tuple[bytes, np.ndarray]:
     """The bits of ids, most significant first, and the bit offset of every ``every``-th id."""
-    sizes = lengths[ids].astype(np.int64)
+    if not len(ids):
+        return b"", np.zeros(0, np.int64)
+    sizes, code = lengths[ids].astype(np.uint8, copy=False), codes[ids]
+    sums = np.cumsum(np.add.reduceat(sizes, np.arange(0, len(ids), every), dtype=np.int64))
+    total, offsets = int(sums[-1]), np.concatenate(([0], sums[:-1]))
+    # neighbours become one code, as long as that has at most 64 bits
+    width = max(int(lengths.max()), 1)
+    while 2 * width <= 64:
+        width *= 2
+        code, sizes = (np.pad(x, (0, len(x) % 2)) for x in (code.astype(np.uint32 if width <= 32 else np.uint64, copy=False), sizes))
+        code, sizes = code[::2] << sizes[1::2] | code[1::2], sizes[::2] + sizes[1::2]
+    code, sizes = code.astype(np.uint64, copy=False), sizes.astype(np.int64)
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    total = int(ends[-1]) if len(ids) else 0
     words = np.zeros(total // 64 + 2, np.uint64)
-    if total:
-        # codes are added up by the 64-bit word they begin in; at most one of a word reaches into the next
-        word, over = starts >> 6, (starts & 63) + sizes - 64
-        code = codes[ids].astype(np.uint64)
-        main = code << np.maximum(-over, 0).astype(np.uint64) >> np.maximum(over, 0).astype(np.uint64)
-        first = np.flatnonzero(np.diff(word, prepend=-1))
-        words[word[first]] = np.add.reduceat(main, first)
-        across = np.flatnonzero(over > 0)
-        words[word[across] + 1] += code[across] << (64 - over[across]).astype(np.uint64)
-    return words.astype(">u8").tobytes()[: (total + 7) // 8], starts[::every]
+    # codes are added up by the 64-bit word they begin in; at most one of a word reaches into the next
+    word, over = starts >> 6, (starts & 63) + sizes - 64
+    main = code << np.maximum(-over, 0).astype(np.uint64) >> np.maximum(over, 0).astype(np.uint64)
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    words[word[first]] = np.add.reduceat(main, first)
+    across = np.flatnonzero(over > 0)
+    words[word[across] + 1] += code[across] << (64 - over[across]).astype(np.uint64)
+    return words.astype(">u8").tobytes()[: (total + 7) // 8], offsets
 
 
 def unpack(blocks: list[tuple[bytes, np.ndarray, int]], table: tuple[np.ndarray, np.ndarray],
@@ -195,39 +208,53 @@ def unpack(blocks: list[tuple[bytes, np.ndarray, int]], table: tuple[np.ndarray,
 
 # -- writing and reading
 
+def _flat(values: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of some documents as one array that shares their memory, and where each document's begin and end."""
+    if not len(values):
+        return np.zeros(0, kind), np.zeros(1, np.int64)
+    values = values.cast(pa.binary())
+    _, offsets, data = values.buffers()
+    size = np.dtype(kind).itemsize
+    bounds = np.frombuffer(offsets, np.int32)[values.offset: values.offset + len(values) + 1].astype(np.int64)
+    ids = np.frombuffer(data, kind, (bounds[-1] - bounds[0]) // size, bounds[0]) if bounds[-1] > bounds[0] else np.zeros(0, kind)
+    return ids, (bounds - bounds[0]) // size
+
+
 def _count(kind: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(0, np.int64)
         for batch in batches:
             for at in range(0, len(batch), AT_ONCE):
-                found = np.bincount(np.frombuffer(b"".join(batch["ids"].iloc[at: at + AT_ONCE]), kind))
+                found = np.bincount(_flat(batch["ids"].slice(at, AT_ONCE), kind)[0])
                 if len(found) > len(counts):
                     counts = np.pad(counts, (0, len(found) - len(counts)))
                 counts[: len(found)] += found
         at = np.flatnonzero(counts)
-        yield pd.DataFrame({"id": at, "n": counts[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["id", "n"])
     return run
 
 
 def _encode(lengths: np.ndarray, block_ids: int, every: int, kind: str):
     codes, short = canonical(lengths).astype(np.uint32), lengths.astype(np.uint8)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file = TaskContext.get().partitionId()
         block = start = held = 0
         docs: list[int | None] = []
         parts: list[np.ndarray] = []
 
-        def close() -> pd.DataFrame:
+        def close() -> pa.RecordBatch:
             ids = np.concatenate(parts)
             bits, offsets = pack(ids, codes, short, every)
-            return pd.DataFrame({"file": [file], "block": [block], "start": [start], "doc_ids": [docs], "doc_lens": [[len(p) for p in parts]],
-                                 "n_ids": [len(ids)], "every": [every], "offsets": [offsets.tolist()], "bits": [bits]})
+            return pa.RecordBatch.from_pylist([{
+                "file": file, "block": block, "start": start, "doc_ids": docs, "doc_lens": [len(p) for p in parts],
+                "n_ids": len(ids), "every": every, "offsets": offsets.tolist(), "bits": bits}], BLOCKS_ARROW)
 
         for batch in batches:
-            for doc, raw in zip(batch["doc"], batch["ids"], strict=True):
+            ids, bounds = _flat(batch["ids"], kind)
+            for doc, a, b in zip(batch["doc"].to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 docs.append(None if doc is None else int(doc))
-                parts.append(np.frombuffer(raw, kind))
+                parts.append(ids[a:b])
                 held += len(parts[-1])
                 if held >= block_ids:
                     yield close()
@@ -245,7 +272,7 @@ def write_ids(tokens: DataFrame, path: str, kind: str = "<u4", longest: int = LO
     ``tokens`` is read twice, so it should be a written table. No rows give a code without ids.
     """
     spark = tokens.sparkSession
-    counted = tokens.mapInPandas(_count(kind), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counted = tokens.select("ids").mapInArrow(_count(kind), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     # one count for each id of the vocabulary
     counts = np.zeros(int(counted["id"].max()) + 1 if len(counted) else 0, np.int64)
     counts[counted["id"].astype(np.int64)] = counted["n"]
@@ -256,7 +283,7 @@ def write_ids(tokens: DataFrame, path: str, kind: str = "<u4", longest: int = LO
     ordered = (tokens.repartitionByRange(F.col("doc_id").asc_nulls_first())
                .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids"))
     (ordered.select(F.col("doc_id").cast("string").alias("doc"), "ids")
-     .mapInPandas(_encode(lengths, block_ids, every, kind), BLOCKS).write.parquet(f"{path}/blocks"))
+     .mapInArrow(_encode(lengths, block_ids, every, kind), BLOCKS).write.parquet(f"{path}/blocks"))
 
 
 def read_ids(spark: SparkSession, path: str, longest: int = LONGEST) -> DataFrame:
@@ -273,24 +300,22 @@ def read_ids(spark: SparkSession, path: str, longest: int = LONGEST) -> DataFram
         before[file] = total
         total += per_file[file]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = sorted(batch.itertuples(index=False), key=lambda r: r.every)
+            rows = sorted(batch.to_pandas().itertuples(index=False), key=lambda r: r.every)
             for every, some in _few(rows):
                 decoded = unpack([(r.bits, np.asarray(r.offsets), r.n_ids) for r in some], table, every, longest)
                 for r, ids in zip(some, decoded, strict=True):
-                    lens = np.asarray(r.doc_lens, np.int64)
-                    ends = np.cumsum(lens)
-                    starts = ends - lens
-                    raw = ids.astype("<u4").tobytes()
-                    yield pd.DataFrame({
-                        "doc": [None if d is None or d != d else str(int(d)) for d in r.doc_ids],
-                        "start": starts + before[r.file] + r.start,
-                        "ids": [raw[4 * a: 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]})
+                    ends = np.cumsum(np.asarray(r.doc_lens, np.int64))
+                    bounds = np.concatenate(([0], ends))
+                    docs = pa.array([None if d is None else str(d) for d in r.doc_ids], pa.string())
+                    values = pa.Array.from_buffers(pa.binary(), len(docs), [
+                        None, pa.py_buffer((4 * bounds).astype(np.int32)), pa.py_buffer(ids.astype("<u4", copy=False))])
+                    yield pa.RecordBatch.from_arrays([docs, pa.array(bounds[:-1] + before[r.file] + r.start), values], ["doc", "start", "ids"])
         give_back()
 
     return (blocks.select("file", "start", F.col("doc_ids").cast("array<string>").alias("doc_ids"), "doc_lens", "n_ids", "every", "offsets", "bits")
-            .mapInPandas(run, "doc string, start bigint, ids binary")
+            .mapInArrow(run, "doc string, start bigint, ids binary")
             .select(F.col("doc").cast("bigint").alias("doc_id"), "start", "ids"))
 
 
