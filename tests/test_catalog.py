@@ -20,3 +20,18 @@ def test_query_agrees_with_its_sql(spark, db, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["category", "type", "n"]
+
+
+@pytest.mark.parametrize("most", ["0", "7"])
+def test_a_stream_in_two_lots_holds_every_row(spark, tmp_path, most):
+    """Negative keys and none, and lots of several files."""
+    spark.range(-40, 40).selectExpr("if(id = 3, null, id) as c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", most)
+    try:
+        found = entry.queries()["stream_two_phase"](spark, str(tmp_path))
+        assert sorted(r[0] for r in found.where("contact_id is not null").collect()) == [k for k in range(-40, 40) if k != 3]
+        assert found.count() == 80
+        counted = {r["counter"]: r["n"] for r in entry.queries()["stream_counters"](spark, str(tmp_path)).collect()}
+        assert counted["_rows"] == 80 and counted["salary"] == 79
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
