@@ -55,7 +55,8 @@ CONTACT_COLUMNS = ("contact_id", "full_name", "email", "phone", "ssn", "credit_c
 def contacts(spark: SparkSession, sf_dir: str, base: str = "customer", key: str = "c_custkey") -> DataFrame:
     """A table with personal data in every shape, one row per row of the base table."""
     keys = table(spark, sf_dir, base).select(F.col(key).alias("c_custkey"))
-    return spark.sql(CONTACTS_SQL, customer=spread(keys))
+    # concat of the SQL side leaves NULLs out, so a row without a key has cells there
+    return spark.sql(CONTACTS_SQL.replace("concat(", "concat_ws('',"), customer=spread(keys))
 
 
 CONTACTS = "(" + CONTACTS_SQL.replace("{customer}", "customer") + ")"
