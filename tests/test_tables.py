@@ -1,6 +1,7 @@
 import json
 import random
 import re
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -248,6 +249,62 @@ def test_documents_as_files_of_few_folders(spark, tmp_path):
     assert documents.read_documents(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_trees_are_listed_and_read_by_tasks(spark, tmp_path):
+    root = tmp_path / "a tree"
+    data = {"top.txt": b"", "a b/x.txt": b"x", "p%20q.txt": b"q", "_x=1.txt": b"y", "_x.txt": b"n", "_metadata/m.MD": b"m", "_metadata.txt": b"n",
+            "_y/z.txt": b"n", "_k=1/z.txt": b"z", ".h/z.txt": b"n", "d._COPYING_/q.txt": b"n", "e._COPYING_": b"n", "é/Ä.TXT": "ä".encode(),
+            "x.PDF": b"p", "noext": b"n", ".txt": b"n", "deep/er/and/deeper/mark.txt": b"\xef\xbb\xbfm", "deep/le.log": b"\xff\xfeu\x00\x00\xd8",
+            "deep/be.log": b"\xfe\xff\x00u", "deep/g.md": "测试".encode("gbk"), "deep/l.txt": b"caf\xe9 \xff", "deep/s.txt": b"\xed\xa0\x80ab",
+            "big.txt": b"b" * 20000} | {f"many/{i}/{j}.txt": f"{i}é{j}".encode() for i in range(7) for j in range(9)}
+    for name, content in data.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(content)
+    for link, to in {"link": "a b", "file.txt": "a b/x.txt", "broken.txt": "none", "loop": "loop"}.items():
+        (root / link).symlink_to(to)
+    docs = documents.read_documents(spark, str(root), max_mb=0.01)
+    # the driver has no listing; the patterns are for Spark's own readers
+    assert docs.inputFiles() == [] and documents.read_documents(spark, str(root / "de*")).inputFiles() != []
+    got = {r["path"]: r for r in docs.collect()}
+    by_spark = {r["path"]: r["length"] for r in inventory.scannable(inventory.list_files(spark, str(root)), None).collect()}
+    assert {p: r["length"] for p, r in got.items()} == by_spark and len(got) == 16 + 63
+    whole = {r["path"]: tuple(r) for r in documents.read_documents(spark, f"file:{root}/").collect()}
+    other = {r["path"]: tuple(r) for name in ("de*", "man*", "[abép]*") for r in documents.read_documents(spark, str(root / name)).collect()}
+    assert {p: whole[p] for p in other} == other and len(other) > 60
+    state = {p.rsplit("/", 1)[-1]: (r["encoding"], r["status"], r["text"]) for p, r in got.items()}
+    assert state["x.PDF"] == (None, "binary format", None) and state["big.txt"] == (None, "too large", None)
+    assert state["mark.txt"][0] == "utf-8-sig" and state["le.log"][0] == "utf-16-le" and state["Ä.TXT"] == ("utf-8", "read", "ä")
+    (root / "later.txt").write_text("listed when worked out")
+    assert docs.count() == len(got) + 1
+
+
+def test_walks_pass_files_and_leave_folders(tmp_path, monkeypatch):
+    for i in range(5):
+        (tmp_path / "t" / str(i)).mkdir(parents=True)
+        for j in range(70):
+            (tmp_path / "t" / str(i) / f"{j}.txt").write_text("x")
+    monkeypatch.setattr(inventory, "BATCH_ROWS", 50)
+    batch = lambda rows: inventory.pa.RecordBatch.from_pylist(rows, inventory.LISTED)
+    rows = lambda found: [r for b in found for r in b.to_pylist()]
+    known = {"path": "file:/known.txt", "length": 3, "lot": 7}
+    start = batch([known, {"path": f"file:{tmp_path}", "length": None, "lot": 0}])
+    first = rows(inventory._walk(4)([start]))
+    assert first[0] == known and sorted(r["path"][-4:] for r in first[1:]) == [f"/t/{i}" for i in range(5)]
+    out = list(inventory._walk(None)([batch(first[:3]), batch(first[3:])]))
+    lots = Counter(r["lot"] for r in rows(out)[1:])
+    assert len(rows(out)) == 351 and max(b.num_rows for b in out) == 50 and max(lots.values()) == 32 and len(lots) == 15
+    assert {r["path"] for r in rows(inventory._walk(1000)([start]))} == {r["path"] for r in rows(out)}
+    monkeypatch.setattr(inventory, "FILES_OF_ONE", 100)
+    assert sum(r["length"] is None for r in rows(inventory._walk(1000)([start]))) == 3
+
+
+def test_texts_leave_in_batches(tmp_path, monkeypatch):
+    paths = [f"file:{file(tmp_path, f'{i}.txt', 'x' * 40)}" for i in range(5)] + ["file:/none.pdf"]
+    monkeypatch.setattr(documents, "BATCH_BYTES", 80)
+    batch = documents.pa.RecordBatch.from_pydict({"path": paths, "length": [40] * 6, "status": ["read"] * 5 + ["binary format"]})
+    out = list(documents._texts([batch, batch.slice(5), batch.slice(0, 0)]))
+    assert [b.num_rows for b in out] == [2, 2, 2, 1] and [r["text"] for b in out for r in b.to_pylist()] == ["x" * 40] * 5 + [None] * 2
+
+
 def test_size_limits_are_nearest_bytes(spark, tmp_path):
     # 0.01 MB are 10485.76 bytes, 0.02 MB 20971.52
     files = spark.createDataFrame([(f"/d/{n}.txt", n) for n in (10485, 10486, 10487, 20971, 20972, 20973)], "path string, length bigint")

@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 from ..functions.files import encoding_by_mark, extension, stem
 from ..functions.spans import redact
 from ..functions.sql import name, struct, transform
-from ..operators.inventory import MAX_FILE_MB, SCANNED_SUFFIXES, guess_encoding, limit_bytes, list_files, scannable
+from ..operators.inventory import (MAX_FILE_MB, SCANNED_SUFFIXES, decode, guess_encoding, limit_bytes, list_files,
+                                   list_folder, local_folder, local_name, scannable)
 from ..operators.report import counts_of, value_free
 
 
@@ -27,6 +28,33 @@ def _decode(content: pd.Series, marked: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"encoding": encoding, "text": text}, dtype=object)
 
 
+#: bytes of content after which a batch of texts leaves Python
+BATCH_BYTES = 4 << 20
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Read and decode the files of status ``read``."""
+    def made(rows: pa.RecordBatch, found: list[tuple[str | None, str | None]]) -> pa.RecordBatch:
+        encoding, text = zip(*found)
+        return pa.RecordBatch.from_pydict({
+            "path": rows.column("path"), "length": rows.column("length"), "encoding": pa.array(encoding, pa.string()),
+            "text": pa.array(text, pa.string()), "status": rows.column("status")})
+
+    for batch in batches:
+        start, size, found = 0, 0, []
+        for k, (path, status) in enumerate(zip(batch.column("path").to_pylist(), batch.column("status").to_pylist()), 1):
+            if status != "read":
+                found.append((None, None))
+            else:
+                with open(local_name(path), "rb", buffering=0) as file:
+                    raw = file.read()
+                size += len(raw)
+                found.append(decode(raw))
+            if size >= BATCH_BYTES or k == batch.num_rows:
+                yield made(batch.slice(start, k - start), found)
+                start, size, found = k, 0, []
+
+
 #: Spark counts a file as 4 MB at least and so gives a task 32 small ones; this many of its tasks become one, as
 #: long as there are some for each core
 TASKS_IN_ONE = 16
@@ -41,17 +69,24 @@ def read_documents(spark: SparkSession, path: str, max_mb: float | None = None,
     """``(path, length, encoding, text, status)`` for every file of a tree with a known suffix.
 
     Status is ``read``, ``binary format``, or ``too large`` where ``max_mb`` sets a limit; without a
-    text the others are still listed, and their content isn't read. UTF-8 files are read inside the JVM;
-    other encodings are found out and decoded in Arrow batches. Small files share tasks, see ``TASKS_IN_ONE``.
+    text the others are still listed, and their content isn't read. Folders of local or mounted file systems are listed
+    and read by tasks, once the result is worked out; what only Spark's readers open, and patterns, Spark lists on the driver.
     """
-    listed = scannable(list_files(spark, path), None, suffixes)
-    planned = listed.select("path").rdd.getNumPartitions()
-    tasks = max(planned // TASKS_IN_ONE, TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
     binary = F.lower(F.expr(extension("path"))).isin(*BINARY_SUFFIXES)
     large = F.lit(False) if max_mb is None else F.col("length") > limit_bytes(max_mb)
     status = F.when(binary, "binary format").when(large, "too large").otherwise("read")
+    few = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    folder = local_folder(spark, path)
+    if folder is not None:
+        files = scannable(list_folder(spark, folder, few), None, suffixes).withColumn("status", status)
+        many = max(few, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return files.repartition(many, "lot").mapInArrow(
+            _texts, "path string, length bigint, encoding string, text string, status string")
+    listed = scannable(list_files(spark, path), None, suffixes)
+    tasks = max(listed.select("path").rdd.getNumPartitions() // TASKS_IN_ONE, few)
     left = listed.where(binary | large).select("path", "length", F.lit(None).cast("string").alias("encoding"),
                                                F.lit(None).cast("string").alias("text"), status.alias("status")).coalesce(tasks)
+    # UTF-8 files are read inside the JVM; other encodings are found out and decoded in Arrow batches
     files = listed.where(~(binary | large)).coalesce(tasks).withColumn("marked", F.expr(encoding_by_mark("content")))
     utf8 = F.coalesce(F.col("marked") == "utf-8", F.lit(False))
     other = files.withColumn("other", _decode(F.when(~utf8, F.col("content")), F.when(~utf8, F.col("marked"))))
